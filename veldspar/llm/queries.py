@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .quality import op9_query
 from .simhash import op2_query
+from .url_reputation import OP10_SQL, op10_query
 
 QUERIES = {
     "op2_simhash_neardup": op2_query,
+    "op9_quality_ranking": op9_query,
+    "op10_host_reputation": op10_query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_host_reputation": OP10_SQL,
+}
