@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .mixing import op8_query
 from .quality import op9_query
+from .sharding import op6_query
 from .simhash import op2_query
 from .url_reputation import OP10_SQL, op10_query
 
 QUERIES = {
     "op2_simhash_neardup": op2_query,
+    "op6_flow_reshard": op6_query,
     "op8_golden_mix": op8_query,
     "op9_quality_ranking": op9_query,
     "op10_host_reputation": op10_query,
