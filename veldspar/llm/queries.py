@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_query
 from .mixing import op8_query
 from .quality import op9_query
 from .sharding import op6_query
@@ -10,6 +11,7 @@ from .url_reputation import OP10_SQL, op10_query
 
 QUERIES = {
     "op2_simhash_neardup": op2_query,
+    "op4_benchmark_leaks": op4_query,
     "op6_flow_reshard": op6_query,
     "op8_golden_mix": op8_query,
     "op9_quality_ranking": op9_query,
