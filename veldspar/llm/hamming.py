@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import cut
 
 FULL = (1 << 64) - 1
@@ -135,6 +136,7 @@ def links(fps: DataFrame, radius: int, masks: list[int], cap: int = 8192) -> Dat
     most ``cap`` members yields a spanning forest; larger ones are dealt again by masks over
     the bits that their mask leaves open, until nothing is left over.
     """
+    ship(fps.sparkSession)
     found = None
     level_masks = dict(enumerate(masks))
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"), F.col("fp")) for i, m in level_masks.items()])).alias("r")).select("r.*")
