@@ -1,15 +1,75 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
+
+Every stage takes the documents that its predecessor kept. A row that a stage doesn't
+reject keeps all its columns; the last stage adds old_shard, shard and slot.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspar.llm import decontaminate, mixing, quality, sharding, simhash
+from veldspar.llm.common import shared_dir, table
+
+#: Near-duplicates: five words, and fingerprints up to 7 of 64 bits apart (an estimated similarity of 0.87 or more).
+SHINGLE, RADIUS = 5, 7
+OLD_SHARDS, SHARDS = 16, 24
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score is below the threshold go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near-duplicates stays."""
+    found = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number: 0, 1 or 2 times."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = taken.select("_id", "_source", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
+    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_id", "_source")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+
+
+def resharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """From 16 shards by a hash of the id to 24 of equal bytes; adds old_shard, shard and slot."""
+    placed = sharding.reshard(docs, SHARDS, sharding.hashed_shard(F.col("doc_id"), OLD_SHARDS), OLD_SHARDS)
+    return sharding.attach(docs, placed)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("sharding", resharding),
+]
+#: SimHash, classifier training and flows are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
     return docs

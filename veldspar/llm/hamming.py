@@ -141,7 +141,6 @@ def links(fps: DataFrame, radius: int, masks: list[int], cap: int = 8192) -> Dat
     level_masks = dict(enumerate(masks))
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"), F.col("fp")) for i, m in level_masks.items()])).alias("r")).select("r.*")
     while True:
-        # a bucket's value is told apart from its parents' by a hash, so a clash only merges buckets
         dealt = rows.repartition("level", "key").sortWithinPartitions("level", "key")
         result = cut(dealt.mapInArrow(lambda it: _search(it, radius, cap), "level int, key bigint, a bigint, b bigint"))
         edges = result.where("level = -1").select("a", "b")

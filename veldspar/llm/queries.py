@@ -7,9 +7,11 @@ from .mixing import op8_query
 from .quality import op9_query
 from .sharding import op6_query
 from .simhash import op2_query
+from .toxicity import op1_query
 from .url_reputation import OP10_SQL, op10_query
 
 QUERIES = {
+    "op1_subsequence_toxicity": op1_query,
     "op2_simhash_neardup": op2_query,
     "op4_benchmark_leaks": op4_query,
     "op6_flow_reshard": op6_query,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running_start, table
@@ -141,18 +141,30 @@ def hashed_shard(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("int")
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, old_path: str, new_path: str, rows_per_file: int = 100_000, id_col: str = "doc_id") -> DataFrame:
+def attach(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns old_shard, shard and slot of ``placed``; texts are shuffled once.
+
+    Rows are matched by id and crc32 of the text; among equal ones by number.
+    """
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    left = docs.withColumns({"_crc": crc, "_key": F.col(id_col)})
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_crc").orderBy(F.lit(1))))
+    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), "old_shard", "shard", "slot", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("slot", "shard")).alias("_n"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_c")) & (F.col("_nth") == F.col("_n"))
+    return left.join(right, same).drop("_crc", "_key", "_nth", "_id", "_c", "_n")
+
+
+def rewrite_affected(docs: DataFrame, placed: DataFrame, old_path: str, new_path: str, rows_per_file: int = 100_000) -> DataFrame:
     """Writes the shards that gain or lose a document under ``new_path``; returns (shard, path) of all.
 
-    A shard whose documents all stay keeps its files under ``old_path``. Ids must be unique.
+    A shard whose documents all stay keeps its files under ``old_path``.
     """
-    moved = placed.where("old_shard <> shard")
-    touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    rows = placed.join(F.broadcast(touched), "shard", "left_semi").select(F.col(id_col).alias("_id"), "shard", "slot")  # at most one for each shard
-    full = docs.join(rows, F.col(id_col) == F.col("_id")).drop("_id")
-    full.withColumn("_file", F.floor(F.col("slot") / rows_per_file)).repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file", "slot").write.mode("overwrite").partitionBy("shard").parquet(new_path)
-    is_new = touched.withColumn("_new", F.lit(True))
-    return placed.select("shard").distinct().join(F.broadcast(is_new), "shard", "left").select("shard", F.concat(F.when(F.col("_new"), F.lit(new_path)).otherwise(F.lit(old_path)), F.lit("/shard="), F.col("shard")).alias("path"))
+    touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    full = attach(docs, placed).drop("old_shard").join(F.broadcast(touched), "shard", "left_semi")  # at most one row for each shard
+    full = full.withColumn("_file", F.floor(F.col("slot") / rows_per_file)).repartition("shard", "_file")
+    full.sortWithinPartitions("shard", "slot").drop("_file", "slot").write.mode("overwrite").partitionBy("shard").parquet(new_path)
+    known = placed.select("shard").distinct().join(F.broadcast(touched.withColumn("_new", F.lit(True))), "shard", "left")
+    return known.select("shard", F.concat(F.when(F.col("_new"), F.lit(new_path)).otherwise(F.lit(old_path)), F.lit("/shard="), F.col("shard")).alias("path"))
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
