@@ -53,6 +53,10 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndar
     """Spanning forest of the links inside one bucket: breadth first, distances in blocks."""
     left, right = [], []
     rest = np.arange(len(fp))
+    if len(fp) <= 512:
+        i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius, 1))
+        if len(i) <= len(fp):  # sparse: the links themselves
+            return ([i], [j]) if len(i) else ([], [])
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
