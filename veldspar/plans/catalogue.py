@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import registry_queries
+
+_PARTS = (registry_queries,)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
