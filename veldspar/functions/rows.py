@@ -8,9 +8,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff￾￿]")
 PII = (
     ("EMAIL", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")),
@@ -85,6 +87,8 @@ def detect_companies(question: str, names: list[str]) -> list[str]:
 
 
 def _text_udf(fn, kind: str):
+    ship(SparkSession.active())
+
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else fn(x))
 
