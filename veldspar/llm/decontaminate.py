@@ -57,6 +57,8 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, radius: int
     An empty table on either side gives an empty result.
     """
     own = items.select("item_id", plain_words(F.col("text")).alias("words")).where("size(words) > 0").select("item_id", shingles(F.col("words"), shingle).alias("s"))
+    # repeated items count once; one id with several texts is several variants
+    own = own.distinct().withColumn("variant", F.xxhash64("item_id", "s"))
     own = cut(own.withColumn("n", F.size("s")).withColumn("fp", F.expr(SIMHASH)))
     exploded = own.select("item_id", "n", F.posexplode("s").alias("j", "h"))
     known = cut(exploded.groupBy("h").agg(F.collect_set(F.struct("j", "n")).alias("at"), F.countDistinct("item_id").alias("df")))
@@ -80,14 +82,15 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, radius: int
     windows = cut(windows.withColumn("w", F.xxhash64("s", "n")))
     unique = cut(windows.groupBy("w", "n").agg(F.first("s").alias("s")).withColumn("fp", F.expr(SIMHASH)))
     left = unique.select("w", "n", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("w", "n", "fp", "b.*")
-    right = own.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", "item_fp", "b.*")
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w", "item_id").distinct()
+    right = own.select("variant", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("variant", "n", "item_fp", "b.*")
+    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w", "variant").distinct()
     # exact similarity, shingle by shingle
-    a = near.join(unique.select("w", "s"), "w").select("w", "item_id", F.explode("s").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    b = near.join(own.select("item_id", "s"), "item_id").select("w", "item_id", F.explode("s").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = a.unionByName(b).groupBy("w", "item_id", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a = near.join(unique.select("w", "s"), "w").select("w", "variant", F.explode("s").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = near.join(own.select("variant", "s"), "variant").select("w", "variant", F.explode("s").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    counts = a.unionByName(b).groupBy("w", "variant", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weighed = counts.join(known.select("h", "df"), "h", "left").withColumn("weight", 1 / F.coalesce("df", F.lit(1)))
-    scored = weighed.groupBy("w", "item_id").agg((F.sum(F.col("weight") * F.least("a", "b")) / F.sum(F.col("weight") * F.greatest("a", "b"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    scored = weighed.groupBy("w", "variant").agg((F.sum(F.col("weight") * F.least("a", "b")) / F.sum(F.col("weight") * F.greatest("a", "b"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    scored = scored.join(own.select("variant", "item_id"), "variant").drop("variant")
     best = windows.select("doc_id", "text_hash", "start", "n", "w").join(scored, "w").groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("m"))
     return best.select("doc_id", "text_hash", "item_id", (-F.col("m.back")).alias("start"), F.col("m.n").alias("n_shingles"), "m.similarity")
 
