@@ -11,11 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate, mixing, quality, sharding, simhash
+from veldspar.llm import decontaminate, mixing, near_copies, quality, sharding
 from veldspar.llm.common import shared_dir, table
 
-#: Near-duplicates: five words, and fingerprints up to 7 of 64 bits apart (an estimated similarity of 0.87 or more).
-SHINGLE, RADIUS = 5, 7
+SHINGLE, SIMILARITY = 5, 0.8
 OLD_SHARDS, SHARDS = 16, 24
 
 
@@ -26,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates stays."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, radius=RADIUS)
+    found = near_copies.near_copies(docs, SHINGLE, SIMILARITY)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

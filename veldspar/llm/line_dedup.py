@@ -21,8 +21,8 @@ CAP, BLOCK, KEYS = 512, 256, 4_000_000
 
 
 def normal_lines(text: Column) -> Column:
-    """Lower case, digits as 0, other runs than letters and digits as one space; lines stay lines."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Nd}", "0")
+    """Lower case, runs of digits as 0, other runs than letters and digits as one space; lines stay lines."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Nd}+", "0")
     return F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " "), "\n")
 
 

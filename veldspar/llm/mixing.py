@@ -54,8 +54,8 @@ def targets_of(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     level = weighed.withColumn("left", F.lit(share) * F.sum("source_size").over(everything) - F.lit(most) * F.coalesce(F.sum("source_size").over(before), F.lit(0))).withColumn("w_left", F.sum("w").over(after))
     # the level at which the others fill: that of the first source which doesn't reach its cap
     level = level.withColumn("at", F.col("left") / F.col("w_left")).withColumn("full", F.col("at") * F.col("w") >= F.lit(most) * F.col("source_size"))
-    common = F.min(F.when(~F.col("full"), F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("at").alias("at")))).over(everything)
-    return level.withColumn("common", common["at"]).select("source", "source_size", F.when(F.col("full"), F.lit(most) * F.col("source_size")).otherwise(F.col("common") * F.col("w")).cast("double").alias("target"))
+    common = F.max(F.when(~F.col("full"), F.col("at"))).over(everything)  # it only falls after that source
+    return level.withColumn("common", common).select("source", "source_size", F.when(F.col("full"), F.lit(most) * F.col("source_size")).otherwise(F.col("common") * F.col("w")).cast("double").alias("target"))
 
 
 def schedule(spark: SparkSession, targets: DataFrame, block: int, n: int) -> DataFrame:
