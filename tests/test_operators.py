@@ -199,3 +199,28 @@ def test_stream_windows_and_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.action for r in spark.table("acts").collect()] == ["new", "retry", "unchanged", "changed"]
+
+
+def test_serving_functions(spark):
+    from veldspar.operators import evaluation as E
+
+    df = spark.createDataFrame([("a=b, c;; d= ;e=f",)], "raw string")
+    assert df.select(E.alias_map(F.col("raw")).alias("m")).first().m == {"a": ["b", "c"], "e": ["f"]}
+    m = spark.createDataFrame([({"x": "1", "y": "2"}, {"y": None, "z": "3"})], "old map<string,string>, new map<string,string>")
+    assert m.select(E.merged_warnings(F.col("old"), F.col("new")).alias("m")).first().m == {"x": "1", "z": "3"}
+    assert E.word_pieces("unaffable", {"un", "##aff", "##able"}) == ["un", "##aff", "##able"]
+    assert E.word_pieces("xyz", {"x"}) == ["[UNK]"]
+    assert E.longest_shared_run("the cat sat", "a cat sits") == len(" cat s")
+    assert E.wrapped_rows("Name   Value\n     more of it\nNext   Row") == "Name   Value more of it\nNext   Row"
+    arms = spark.createDataFrame([("a", 80.0, 9), ("b", 90.0, 9), ("c", 90.0, 5), ("d", None, 1)], "arm string, correct_pct double, p95_ms int")
+    assert E.best_arm(arms).first().arm == "c"
+    assert one(spark, E.is_weak(F.col("t")), t="Sorry, I don't know") is True
+    assert one(spark, E.size_request(F.col("n")), n=100) == 184
+
+
+def test_topic_cuts_are_not_neighbours(spark):
+    from veldspar.operators import evaluation as E
+
+    df = spark.createDataFrame([(1, i, d) for i, d in enumerate([0.0, 0.5, 0.9, 0.4, 0.0, 0.35])], "doc int, i int, depth double")
+    got = [r.topic for r in E.topic_groups(df, "doc", "i").orderBy("i").collect()]
+    assert got == [0, 0, 0, 1, 1, 1]
