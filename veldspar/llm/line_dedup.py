@@ -17,7 +17,7 @@ from .hamming import block_masks, links
 
 MIN_WORDS, RADIUS, SIMILARITY = 4, 3, 0.9
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
-CAP, BLOCK, KEYS = 512, 256, 4_000_000
+CAP, BLOCK, KEYS = 512, 256, 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
