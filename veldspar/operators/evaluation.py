@@ -56,9 +56,9 @@ def size_request(largest: Column, safety: float = 1.2, margin: int = 64, ceiling
 
 def alias_map(raw: Column) -> Column:
     """``a=b,c;d=e`` to a map of name to list of aliases; blanks fall away."""
-    pairs = F.filter(F.transform(F.split(raw, ";"), F.trim), lambda p: p.contains("="))
+    pairs = F.filter(F.transform(F.split(raw, ";"), lambda x: F.trim(x)), lambda p: p.contains("="))
     name = lambda p: F.trim(F.substring_index(p, "=", 1))
-    names = F.transform(pairs, lambda p: F.struct(name(p).alias("key"), F.filter(F.transform(F.split(F.substring_index(p, "=", -1), ","), F.trim), lambda x: x != "").alias("value")))
+    names = F.transform(pairs, lambda p: F.struct(name(p).alias("key"), F.filter(F.transform(F.split(F.substring_index(p, "=", -1), ","), lambda x: F.trim(x)), lambda x: x != "").alias("value")))
     return F.map_from_entries(F.filter(names, lambda e: (e["key"] != "") & (F.size(e["value"]) > 0)))
 
 
