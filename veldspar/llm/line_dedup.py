@@ -21,9 +21,8 @@ CAP, BLOCK, KEYS = 512, 256, 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
-    """Lower case, runs of digits as 0, other runs than letters and digits as one space; lines stay lines."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Nd}+", "0")
-    return F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " "), "\n")
+    """Lower case, runs of anything but letters as one space; lines stay lines."""
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\n]+", " "), "\n")
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -33,35 +32,42 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     return each.where(F.size(F.split("line", " ")) >= min_words).withColumn("key", F.xxhash64("line"))
 
 
+def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive groups of hashes: bits set in over half of a group.
+
+    Eight counters of a byte are added at once in a 64-bit word; groups above 255 are summed in parts.
+    """
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    size = np.full(parts.sum(), 255)
+    size[first + parts - 1] = sizes - 255 * (parts - 1)
+    starts = np.cumsum(size) - size
+    count = np.empty((len(size), 8, 8), np.uint8)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+        count[:, :, k] = lanes.view(np.uint8).reshape(-1, 8)
+    total = count.reshape(-1, 64)
+    if len(size) > len(sizes):
+        total = np.add.reduceat(total.astype(np.int64), first, axis=0)
+    return np.packbits(2 * total.astype(np.int64) > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
 def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, pos, key, line) to the same with the SimHash of the line's words and word pairs."""
+    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp): the SimHash of the line's words."""
     known: dict[str, int] = {}
     for b in batches:
-        rows = [x.split(" ") for x in b.column(4).to_pylist()]
         if len(known) > 500_000:
             known.clear()
-        for w in set().union(*rows) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w, 1)
-        fps = np.zeros(len(rows), np.int64)
-        at = 0
-        while at < len(rows):  # bounded pieces
-            end, total = at, 0
-            while end < len(rows) and (end == at or total + len(rows[end]) <= 200_000):
-                total += len(rows[end])
-                end += 1
-            part = rows[at:end]
-            h = np.fromiter((known[w] for r in part for w in r), np.uint64, total)
-            n = np.array([len(r) for r in part])
-            starts = np.r_[0, np.cumsum(n)[:-1]]
-            pair = (h ^ (np.roll(h, -1) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-            pair ^= pair >> np.uint64(32)
-            pair[starts + n - 1] = h[starts + n - 1]  # the last word has no pair and counts twice
-            count = np.zeros((len(part), 64), np.int64)
-            for x in (h, pair):
-                count += np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
-            fps[at:end] = np.packbits(count > n[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
-            at = end
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fps)], names=["doc_id", "doc", "pos", "key", "fp"])
+        fps = []
+        for at in range(0, b.num_rows, 1000):
+            lines = b.column(4).slice(at, 1000).to_pylist()
+            words = " ".join(lines).split(" ")
+            for w in set(words) - known.keys():
+                known[w] = xxhash.xxh64_intdigest(w, 1)
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            fps.append(_majority(h, np.array([x.count(" ") + 1 for x in lines])))
+        fp = np.concatenate(fps) if fps else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fp)], names=["doc_id", "doc", "pos", "key", "fp"])
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -141,10 +147,14 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     roots = components(near)
     shared = unique.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("root"))
     named = roots.select(F.col("id").alias("fp"), "root").unionByName(shared.join(roots.select(F.col("id").alias("fp")), "fp", "left_anti"))
-    some = cut(unique.join(named, "fp").select("key", "fp", "root"))
-    text = each.select("key", "line")
-    few = some.count() <= KEYS
-    texts = text.join(F.broadcast(some) if few else some, "key").groupBy("key").agg(F.first("line").alias("line"), F.first("fp").alias("fp"), F.first("root").alias("root"))
+    some = cut(unique.join(named, "fp").select("key", "fp", "root", "first.doc", "first.pos"))
+    # only documents with the first occurrence of a candidate are read again, and told by their hash before they are split
+    holders = cut(some.select("doc").distinct())
+    read = docs.withColumn("_doc", F.xxhash64(id_col, text_col))
+    few = holders.count() <= KEYS
+    read = read.join(F.broadcast(holders) if few else holders, F.col("_doc") == holders["doc"], "left_semi").drop("_doc")
+    text = lines_of(read, min_words, id_col, text_col).select("doc", "pos", "line")
+    texts = text.join(some, ["doc", "pos"]).groupBy("key").agg(F.first("line").alias("line"), F.first("fp").alias("fp"), F.first("root").alias("root"))
     # large groups are verified block against block
     sizes = some.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     part = texts.join(sizes, "root").withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
