@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_brute_force import roots
-from veldspar.llm import minhash, near_copies
+from veldspar.llm import decontaminate, minhash, near_copies
 
 
 @pytest.mark.parametrize("kind", ["appended", "cut", "edited", "short"])
@@ -41,3 +41,16 @@ def test_links_of_large_buckets(spark, cap):
     df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "id bigint, sig binary")
     got = [(r.a, r.b) for r in minhash.links(df, 4, 38, cap).collect()]
     assert roots(180, got) == [i // 60 * 60 for i in range(180)]
+
+
+def test_leaks_just_above_the_similarity(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for i in range(120):
+        n, edits = [(50, [24]), (57, [28]), (100, [30, 70]), (35, [32, 33, 34])][i % 4]
+        item = [f"w{rng.randrange(50000)}" for _ in range(n)]
+        copy = [f"x{rng.randrange(50000)}" if k in edits else w for k, w in enumerate(item)]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([f"y{rng.randrange(50000)}" for _ in range(40)] + copy + [f"y{rng.randrange(50000)}" for _ in range(40)])))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(120)}

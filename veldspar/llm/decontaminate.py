@@ -5,7 +5,7 @@ Native throughout: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -45,9 +45,11 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, radius: int
     """(doc_id, text_hash, item_id, start, n_shingles, similarity): the best window of each document and item.
 
     A window has as many shingles as an item. Windows start where a shared shingle lines
-    document and item up: a window that shares none has similarity 0, so none is lost.
+    document and item up: a window that shares none has similarity 0.
     Each distinct window gets a SimHash; windows and items of one size meet on radius+1
-    blocks of its bits, which finds every pair within ``radius``. Pairs are kept if their
+    blocks of its bits, which finds every pair within ``radius``; beside them they meet on the
+    item's rarest shingles, as many as weigh more than 1 - ``similarity`` of it. A pair that
+    shares none of these can't be similar enough, so none is lost. Pairs are kept if their
     weighted Jaccard similarity over shingles with repeats is at least ``similarity``, a
     shingle weighing 1 over the number of items it is in.
 
@@ -83,7 +85,14 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, radius: int
     unique = cut(windows.groupBy("w", "n").agg(F.first("s").alias("s")).withColumn("fp", F.expr(SIMHASH)))
     left = unique.select("w", "n", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("w", "n", "fp", "b.*")
     right = own.select("variant", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("variant", "n", "item_fp", "b.*")
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w", "variant").distinct()
+    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w", "variant")
+    # an item's rarest shingles: without one of them more than 1 - similarity of its weight is missed
+    heavy = own.select("variant", "n", F.explode("s").alias("h")).groupBy("variant", "n", "h").agg(F.count("*").alias("c")).join(known.select("h", "df"), "h").withColumn("weight", F.col("c") / F.col("df"))
+    before = Window.partitionBy("variant").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = heavy.withColumn("ahead", F.coalesce(F.sum("weight").over(before), F.lit(0.0))).withColumn("whole", F.sum("weight").over(Window.partitionBy("variant")))
+    heavy = heavy.where(F.col("ahead") <= (1 - similarity) * F.col("whole") + 1e-9).select("variant", "n", "h")
+    shared = unique.select("w", "n", F.explode(F.array_distinct("s")).alias("h")).join(heavy, ["n", "h"]).select("w", "variant")
+    near = near.unionByName(shared).distinct()
     # exact similarity, shingle by shingle
     a = near.join(unique.select("w", "s"), "w").select("w", "variant", F.explode("s").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     b = near.join(own.select("variant", "s"), "variant").select("w", "variant", F.explode("s").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
