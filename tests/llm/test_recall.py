@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_brute_force import roots
-from veldspar.llm import decontaminate, minhash, near_copies
+from veldspar.llm import decontaminate, line_dedup, minhash, near_copies
 
 
 @pytest.mark.parametrize("kind", ["appended", "cut", "edited", "short"])
@@ -54,3 +54,19 @@ def test_leaks_just_above_the_similarity(spark):
         docs.append((i, " ".join([f"y{rng.randrange(50000)}" for _ in range(40)] + copy + [f"y{rng.randrange(50000)}" for _ in range(40)])))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(i, i) for i in range(120)}
+
+
+@pytest.mark.parametrize(("n", "typos"), [(10, 1), (15, 1), (20, 2), (40, 3)])
+def test_misspelt_lines(spark, n, typos):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    docs = []
+    for i in range(150):
+        base = [word() for _ in range(n)]
+        copy = list(base)
+        for at in rng.sample(range(n), typos):
+            copy[at] = copy[at][:-1] + "z"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == t for i, t in docs if i % 2 == 0)
+    assert sum(got[i] == "" for i in range(1, 300, 2)) >= 0.99 * 150

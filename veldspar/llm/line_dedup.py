@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: SimHash and MinHash of normalised lines, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from . import minhash
 from .common import cut, table
 from .components import components
 from .hamming import block_masks, links
 
 MIN_WORDS, RADIUS, SIMILARITY = 4, 3, 0.9
+#: Places of a MinHash band of a line's words, bands, and the word Jaccard that signatures must not rule out.
+ROWS, BANDS, WORDS = 4, 16, 0.5
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
 CAP, BLOCK, KEYS = 512, 256, 1_000_000
 
@@ -25,11 +28,20 @@ def normal_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\n]+", " "), "\n")
 
 
-def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc, pos, line, key) of the normalised lines that take part; ``doc`` tells a row by id and text."""
-    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), normal_lines(F.col(text_col)).alias("lines"))
-    each = doc.select("doc_id", "doc", F.posexplode_outer("lines").alias("pos", "line")).select("doc_id", "doc", "pos", F.trim("line").alias("line"))
-    return each.where(F.size(F.split("line", " ")) >= min_words).withColumn("key", F.xxhash64("line"))
+def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """(doc_id, doc, pos, line, key) of the lines that take part; ``doc`` tells a row by id and text.
+
+    ``line`` is the normalised line, null for the lines of fewer than ``min_words`` words that
+    take part if ``short`` is set: their key is that of exactly their words, or marks.
+    """
+    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), normal_lines(F.col(text_col)).alias("lines"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("raw"))
+    long = F.size(F.split("line", " ")) >= min_words
+    if not short:
+        each = doc.select("doc_id", "doc", F.posexplode_outer("lines").alias("pos", "line")).select("doc_id", "doc", "pos", F.trim("line").alias("line"))
+        return each.where(long).withColumn("key", F.xxhash64("line"))
+    each = doc.select("doc_id", "doc", F.posexplode_outer(F.arrays_zip("lines", "raw")).alias("pos", "l")).select("doc_id", "doc", "pos", F.trim("l.lines").alias("line"), F.regexp_replace("l.raw", r"^\s+|\s+$", "").alias("raw"))
+    exact = F.xxhash64(F.lit("short"), F.when(F.col("line") == "", F.col("raw")).otherwise(F.col("line")))
+    return each.where(F.col("raw") != "").select("doc_id", "doc", "pos", F.when(long, F.col("line")).alias("line"), F.when(long, F.xxhash64("line")).otherwise(exact).alias("key"))
 
 
 def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -53,21 +65,43 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp): the SimHash of the line's words."""
+    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp, sig): SimHash and MinHash of the line's words.
+
+    Both are null where the line is; the signature also where the task gave it for the key before.
+    """
     known: dict[str, int] = {}
+    given: set[int] = set()
     for b in batches:
         if len(known) > 500_000:
             known.clear()
-        fps = []
+        if len(given) > 2_000_000:
+            given.clear()
+        fps: list = [None] * b.num_rows
+        sigs: list = [None] * b.num_rows
         for at in range(0, b.num_rows, 1000):
-            lines = b.column(4).slice(at, 1000).to_pylist()
+            every, keys = b.column(4).slice(at, 1000).to_pylist(), b.column(3).slice(at, 1000).to_pylist()
+            own = [i for i, x in enumerate(every) if x is not None]
+            if not own:
+                continue
+            lines = [every[i] for i in own]
             words = " ".join(lines).split(" ")
             for w in set(words) - known.keys():
                 known[w] = xxhash.xxh64_intdigest(w, 1)
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            fps.append(_majority(h, np.array([x.count(" ") + 1 for x in lines])))
-        fp = np.concatenate(fps) if fps else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fp)], names=["doc_id", "doc", "pos", "key", "fp"])
+            sizes = np.array([x.count(" ") + 1 for x in lines])
+            for i, fp in zip(own, _majority(h, sizes).tolist(), strict=True):
+                fps[at + i] = fp
+            new = []
+            for k, i in enumerate(own):
+                if keys[i] not in given:
+                    given.add(keys[i])
+                    new.append(k)
+            if new:
+                fresh = np.isin(np.arange(len(own)), new)
+                for k, x in zip(new, minhash.signatures(h[np.repeat(fresh, sizes)], sizes[fresh], ROWS * BANDS), strict=True):
+                    sigs[at + own[k]] = x.tobytes()
+        cols = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "pos", "key", "fp", "sig"])
 
 
 def edit_similarity(a: str, b: str) -> float:
@@ -94,17 +128,22 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - score / len(a)
 
 
-def verified(keys: list[int], fps: np.ndarray, lines: list[str], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links: fingerprints within the radius and lines similar enough."""
+def verified(keys: list[int], lines: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links: lines similar enough. Lengths and counts of characters rule out most pairs."""
     out, rest = [], list(range(len(keys)))
     sizes = np.array([len(x) for x in lines])
+    bags = np.zeros((len(lines), 64), np.int32)
+    for i, x in enumerate(lines):
+        bags[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
     while rest:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and rest:
             i = frontier.pop()
             ahead = np.array(rest)
-            near = np.bitwise_count(fps[ahead] ^ fps[i]) <= radius
-            near &= np.minimum(sizes[ahead], sizes[i]) >= similarity * np.maximum(sizes[ahead], sizes[i])
+            most = np.maximum(sizes[ahead], sizes[i])
+            apart = bags[ahead] - bags[i]
+            # an edit brings in one character at most and takes out one
+            near = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= (1 - similarity) * most + 1e-9
             hit = {int(j) for j in ahead[near] if edit_similarity(lines[i], lines[j]) >= similarity}
             out += [(keys[i], keys[j]) for j in hit]
             frontier += hit
@@ -112,16 +151,16 @@ def verified(keys: list[int], fps: np.ndarray, lines: list[str], radius: int, si
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, lo, hi, key, fp, line) sorted by their first three: links (a, b) of each block pair."""
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, lo, hi, key, line) sorted by their first three: links (a, b) of each block pair."""
     own, last = [], None
 
     def done() -> pa.RecordBatch:
-        found = verified([r[3] for r in own], np.array([r[4] for r in own], np.int64).view(np.uint64), [r[5] for r in own], radius, similarity)
+        found = verified([r[3] for r in own], [r[4] for r in own], similarity)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if row[:3] != last and own:
                 yield done()
                 own = []
@@ -131,36 +170,41 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -
         yield done()
 
 
-def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(doc_id, doc, pos, keeps): every line that takes part; ``keeps`` is true for one occurrence of each group.
 
-    Normalised lines link if their SimHashes differ in at most ``radius`` bits and their edit
-    similarity is at least ``similarity``; a group is a connected set of lines. The first
-    occurrence by id, then place, is kept. Lines of fewer than ``min_words`` words take no part.
+    Normalised lines link if their edit similarity is at least ``similarity``; a group is a
+    connected set of lines. Candidates are lines whose SimHashes differ in at most ``radius``
+    bits, or whose MinHash signatures of words share a band. The first occurrence by id, then
+    place, is kept. Lines of fewer than ``min_words`` words take no part, or with ``short``
+    as exact copies only.
     """
     ship(docs.sparkSession)
-    each = lines_of(docs, min_words, id_col, text_col)
-    hashed = cut(each.select("doc_id", "doc", "pos", "key", "line").mapInArrow(_simhash, "doc_id bigint, doc bigint, pos int, key bigint, fp bigint"))
-    unique = cut(hashed.groupBy("key").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.first("fp").alias("fp")))
-    # candidates: keys whose fingerprint is linked to, or shared with, another's
-    near = links(unique.select("fp").distinct(), radius, block_masks(radius), CAP)
-    roots = components(near)
-    shared = unique.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("root"))
-    named = roots.select(F.col("id").alias("fp"), "root").unionByName(shared.join(roots.select(F.col("id").alias("fp")), "fp", "left_anti"))
-    some = cut(unique.join(named, "fp").select("key", "fp", "root", "first.doc", "first.pos"))
+    each = lines_of(docs, min_words, id_col, text_col, short)
+    hashed = cut(each.select("doc_id", "doc", "pos", "key", "line").mapInArrow(_simhash, "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, sig binary"))
+    unique = cut(hashed.groupBy("key").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.first("fp").alias("fp"), F.first("sig", ignorenulls=True).alias("sig")))
+    # candidates: keys whose signature is linked to another's, or whose fingerprint is, or is shared
+    fuzzy = unique.where("fp is not null").select("key", "first", "fp")
+    near = cut(links(fuzzy.select("fp").distinct(), radius, block_masks(radius), CAP))
+    node = lambda c: F.xxhash64(F.lit("fp"), c)
+    met = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(fuzzy.groupBy("fp").count().where("count > 1").select("fp")).distinct()
+    edges = near.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).unionByName(fuzzy.join(met, "fp").select(F.col("key").alias("a"), node(F.col("fp")).alias("b")))
+    signed = unique.where("sig is not null").select(F.col("key").alias("id"), "sig")
+    roots = components(edges.unionByName(minhash.links(signed, ROWS, minhash.least_agreement(ROWS * BANDS, WORDS))))
+    some = cut(fuzzy.join(roots.select(F.col("id").alias("key"), "root"), "key").select("key", "root", "first.doc", "first.pos"))
     # only documents with the first occurrence of a candidate are read again, and told by their hash before they are split
     holders = cut(some.select("doc").distinct())
     read = docs.withColumn("_doc", F.xxhash64(id_col, text_col))
     few = holders.count() <= KEYS
     read = read.join(F.broadcast(holders) if few else holders, F.col("_doc") == holders["doc"], "left_semi").drop("_doc")
     text = lines_of(read, min_words, id_col, text_col).select("doc", "pos", "line")
-    texts = text.join(some, ["doc", "pos"]).groupBy("key").agg(F.first("line").alias("line"), F.first("fp").alias("fp"), F.first("root").alias("root"))
+    texts = text.join(some, ["doc", "pos"]).groupBy("key").agg(F.first("line").alias("line"), F.first("root").alias("root"))
     # large groups are verified block against block
     sizes = some.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     part = texts.join(sizes, "root").withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
     part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = part.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "fp", "line")
-    pairs = part.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(lambda it: _verify(it, radius, similarity), "a bigint, b bigint")
+    part = part.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "line")
+    pairs = part.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint")
     found = components(cut(pairs))
     first = found.select(F.col("id").alias("key"), "root").join(unique.select("key", "first"), "key")
     head = first.groupBy("root").agg(F.min("first").alias("head"))
@@ -169,14 +213,14 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     return hashed.join(settled, "key").select("doc_id", "doc", "pos", (F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("head"))).alias("keeps"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with text cleaned and the columns n_lines and n_removed, one row for each row.
 
     Lines that ``groups`` doesn't keep are taken out of the text, the others stay as they
     were. Null and empty texts stay (n_lines 0 and 1). Rows of equal id and text are one
     document: they keep and lose the same lines. An empty table gives an empty result.
     """
-    gone = groups(docs, min_words, radius, similarity, id_col, text_col).where(~F.col("keeps")).select("doc", "pos").distinct()
+    gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).select("doc", "pos").distinct()
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc")
     own = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(gone, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
     lines = F.split(F.col(text_col), "\n", -1)
