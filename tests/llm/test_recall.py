@@ -70,3 +70,9 @@ def test_misspelt_lines(spark, n, typos):
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert all(got[i] == t for i, t in docs if i % 2 == 0)
     assert sum(got[i] == "" for i in range(1, 300, 2)) >= 0.99 * 150
+
+
+def test_numbers_and_short_lines(spark):
+    docs = [(1, "from 1234 to 5678 at 9012 and 3456\nAll rights reserved.\n12 40\n***"), (2, "from 7777 to 8888 at 1111 and 2222\nall rights reserved\n12 41\n***\n---\n \n"), (3, "12 40\n\n")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), short=True).collect()}
+    assert got == {1: docs[0][1], 2: "from 7777 to 8888 at 1111 and 2222\n12 41\n---\n \n", 3: "\n"}

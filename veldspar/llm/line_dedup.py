@@ -24,8 +24,8 @@ CAP, BLOCK, KEYS = 512, 256, 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
-    """Lower case, runs of anything but letters as one space; lines stay lines."""
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\n]+", " "), "\n")
+    """Lower case, runs of anything but letters and digits as one space; lines stay lines."""
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " "), "\n")
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
@@ -231,5 +231,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, sim
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents``."""
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    """All of ``documents``; lines of fewer than four words as exact copies."""
+    return dedup(table(spark, sf_dir, "documents"), short=True).select("doc_id", "text", "n_lines", "n_removed")
