@@ -224,3 +224,25 @@ def test_topic_cuts_are_not_neighbours(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([0.0, 0.5, 0.9, 0.4, 0.0, 0.35])], "doc int, i int, depth double")
     got = [r.topic for r in E.topic_groups(df, "doc", "i").orderBy("i").collect()]
     assert got == [0, 0, 0, 1, 1, 1]
+
+
+def test_bootstrap_in_parts(spark):
+    import inspect
+
+    from veldspar.plans import retrieval_queries
+
+    assert "samples" not in inspect.getsource(retrieval_queries.paired_bootstrap)
+    rows = [("x", i, 0.0, float(i % 10 < 6)) for i in range(1000)]
+    whole, parts = (metrics.bootstrap(spark.createDataFrame(rows, "arm string, id int, a double, b double"), ["arm"], size=s).first() for s in (2000, 50))
+    for r in (whole, parts):  # 0.6 with a standard error of 0.0155
+        assert (r.n, r.difference, r.resolved) == (1000, 0.6, True) and abs(r.low - 0.5696) < 0.006 and abs(r.high - 0.6304) < 0.006
+
+
+def test_ranks_of_counted_values(spark):
+    rows = [("a", float(v % 37)) for v in range(500)] + [("b", None), (None, 2.0), (None, 1.0), ("c", 5.0), ("c", None)]
+    got = {r.g: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    v = sorted(float(x % 37) for x in range(500))
+    assert tuple(got["a"])[1:] == (500, v[474], v[474], v[475], v[475], (v[249] + v[250]) / 2)
+    assert tuple(got["b"])[1:] == (0, None, None, None, None, None) and tuple(got[None])[1:] == (2, 2.0, 2.0, 2.0, 2.0, 1.5) and got["c"].median == 5.0
+    plan = metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan

@@ -276,7 +276,7 @@ PAIRED = """SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4
 def paired_bootstrap(spark, sf_dir):
     lab = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     pairs = lab.select("lang", F.col("doc_id").alias("id"), F.col("toxic").cast("double").alias("a"), F.col("quality").cast("double").alias("b"))
-    return metrics.bootstrap(pairs, ["lang"], samples=400)
+    return metrics.bootstrap(pairs, ["lang"])
 
 
 QUERIES = {
