@@ -246,3 +246,13 @@ def test_ranks_of_counted_values(spark):
     assert tuple(got["b"])[1:] == (0, None, None, None, None, None) and tuple(got[None])[1:] == (2, 2.0, 2.0, 2.0, 2.0, 1.5) and got["c"].median == 5.0
     plan = metrics.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v")._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_paths_quote_the_whole_page(spark, tmp_path):
+    from urllib.parse import unquote
+
+    from veldspar.plans import text_queries
+
+    html = "<p>" + "a b/c " * 50 + "end</p>"
+    spark.createDataFrame([(1, "http://a.b/c", html)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert unquote(text_queries.paths(spark, str(tmp_path)).first().quoted) == html

@@ -34,7 +34,7 @@ SCALARS = r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ',
 def paths(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
     raw = F.concat(F.lit("Root\\a/./B/../"), F.regexp_replace("url", r"^https?://", ""))
-    return p.select("page_id", X.normal_path(raw).alias("path"), X.basename(raw).alias("name"), X.slug(raw).alias("slug"), X.url_quote(X.squeeze(F.substring("html", 1, 60))).alias("quoted"))
+    return p.select("page_id", X.normal_path(raw).alias("path"), X.basename(raw).alias("name"), X.slug(raw).alias("slug"), X.url_quote(X.squeeze(F.col("html"))).alias("quoted"))
 
 
 def pii_counts(spark, sf_dir):
