@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm import decontaminate, mixing, near_copies, quality, sharding
-from veldspar.llm.common import shared_dir, table
+from veldspar.llm.common import cut, shared_dir, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 OLD_SHARDS, SHARDS = 16, 24
@@ -24,10 +24,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays."""
+    """One row of each group of near-duplicates stays: that of the smallest id, rows without an id last."""
     found = near_copies.near_copies(docs, SHINGLE, SIMILARITY)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n")).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    first = rows.groupBy("group").agg(F.min("rank").alias("first"))
+    away = rows.join(first, "group").withColumn("stays", F.col("rank").eqNullSafe(F.col("first"))).where(~F.col("stays") | (F.col("n") > 1))
+    away = cut(away.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("stays").alias("_stays")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(away, same, "left_anti")
+    # of repeated rows of one id and text one stays
+    again = docs.join(away.where("_stays"), same)
+    again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*docs.columns)))).where("_nth = 1")
+    return kept.unionByName(again.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +47,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number: 0, 1 or 2 times."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = taken.select("_id", "_source", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
-    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_id", "_source")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    taken = mixing.mix(docs).where("taken > 0")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_crc32").orderBy(F.col("taken").desc()))
+    copies = taken.withColumn("_nth", nth).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_crc32").alias("_crc"), "_nth", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    own = docs.withColumn("_crc32", crc).withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_crc32").orderBy(F.lit(1))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_crc32") == F.col("_crc")) & (F.col("_row") == F.col("_nth"))
+    kept = own.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return kept.select(*docs.columns)
 
 
 def resharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

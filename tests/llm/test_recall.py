@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.test_brute_force import roots
 from veldspar.llm import decontaminate, line_dedup, minhash, near_copies
 
@@ -76,3 +77,18 @@ def test_numbers_and_short_lines(spark):
     docs = [(1, "from 1234 to 5678 at 9012 and 3456\nAll rights reserved.\n12 40\n***"), (2, "from 7777 to 8888 at 1111 and 2222\nall rights reserved\n12 41\n***\n---\n \n"), (3, "12 40\n\n")]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), short=True).collect()}
     assert got == {1: docs[0][1], 2: "from 7777 to 8888 at 1111 and 2222\n12 41\n---\n \n", 3: "\n"}
+
+
+def test_stages_decide_row_by_row(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, c, "s"), (None, d, "s"), (None, d + " end", "s"), (None, c, "s")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "").collect()]
+    left = [x for x in got if x[0] is None]
+    assert sorted(x for x in got if x[0]) == sorted([(1, a), (2, b), (3, c)]) and len(left) >= 1 and (None, c) not in left
+    same = [(None, text(), "t" if i % 4 else "s") for i in range(200)]
+    out = corpus_pipeline.mixing_sources(spark, spark.createDataFrame(same, "doc_id bigint, text string, source string"), "").groupBy("source", "text").count().collect()
+    times = {(r.source, r.text): r["count"] for r in out}
+    by = {s: {times.get((s, t), 0) for _, t, x in same if x == s} for s in "st"}
+    assert any(len(v) > 1 for v in by.values())

@@ -83,7 +83,7 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int, n: int) -> Dat
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, slots: int = SLOTS, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row for each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, text_crc32): one row for each row of ``docs``.
 
     Documents of a source are shuffled by a hash, laid end to end and cut into blocks of
     equally many words; slot r of a source takes block r, and starts again when all are
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     plan = schedule(spark, targets, block, min(slots, int(total) + 1))
     placed = running_start(rows, ["source"], "size", [F.col("shuffle"), F.col("doc_id"), F.col("tie")], "start")
     sizes = targets.withColumnRenamed("source", "_s")
-    placed = cut(placed.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "shuffle", "tie").withColumn("row", F.monotonically_increasing_id()))
+    placed = cut(placed.join(sizes, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "shuffle").withColumn("row", F.monotonically_increasing_id()))
     # slots by block: whole takes, and the words of the last take of a source
     span = sizes.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     slot = plan.join(span, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.col("rank") % F.col("blocks")).withColumn("pass", F.floor(F.col("rank") / F.col("blocks")))
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     took = F.aggregate("upto", F.lit(0).cast("long"), lambda acc, u: acc + F.greatest(F.least(u, hi) - lo, F.lit(0)).cast("long"))
     taken = pieces.join(uses, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).groupBy("row").agg(F.sum(took).alias("taken"))
-    return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("tie").alias("text_crc32"))
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, tkey, f0, f1, sig): a hash of the shingle set, SimHashes of the distinct words and
+    """(doc_id, text) and the text's hash to (doc_id, text_hash, tkey, f0, f1, sig): a hash of the shingle set, SimHashes of the distinct words and
     the MinHash signature of the shingle set, null for the empty set."""
     for b in batches:
         out: list[tuple] = []
@@ -46,7 +46,7 @@ def _prints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             sig = minhash.signatures(s, np.array([len(s)]), ROWS * BANDS).tobytes() if len(s) else None
             out.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), 3)), *f, sig))
         cols = [pa.array([x[k] for x in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "tkey", "f0", "f1", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "text_hash", "tkey", "f0", "f1", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,9 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, cap: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): one row for each row of ``docs``; component_id is the smallest id reachable.
+    """(doc_id, component_id, text_hash, group): one row for each row of ``docs``; component_id is the smallest id reachable.
+
+    ``group`` tells groups apart where ids repeat or are null.
 
     Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is at
     least ``similarity``. Candidates are texts whose SimHashes of distinct words, one or the
@@ -132,8 +134,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     only. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(own.mapInArrow(lambda it: _prints(it, shingle), "doc_id bigint, tkey bigint, f0 bigint, f1 bigint, sig binary"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    prints = cut(own.mapInArrow(lambda it: _prints(it, shingle), "doc_id bigint, text_hash bigint, tkey bigint, f0 bigint, f1 bigint, sig binary"))
     unique = cut(prints.groupBy("tkey").agg(F.min("doc_id").alias("low"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("sig").alias("sig")))
     signed = unique.where("sig is not null").select(F.col("tkey").alias("id"), "sig")
     edges = minhash.links(signed, ROWS, minhash.least_agreement(ROWS * BANDS, similarity), cap)
@@ -155,6 +157,6 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     found = pairs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint")
     linked = components(cut(found)).select(F.col("id").alias("tkey"), "root").join(unique.select("tkey", "low"), "tkey")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    named = linked.join(lowest, "root").select("tkey", "lowest")
-    settled = unique.join(named, "tkey", "left").select("tkey", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(settled, "tkey").select("doc_id", "component_id")
+    named = linked.join(lowest, "root").select("tkey", "lowest", "root")
+    settled = unique.join(named, "tkey", "left").select("tkey", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("root", "tkey").alias("group"))
+    return prints.join(settled, "tkey").select("doc_id", "component_id", "text_hash", "group")
