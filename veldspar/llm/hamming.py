@@ -145,7 +145,7 @@ def links(fps: DataFrame, radius: int, masks: list[int], cap: int = 8192) -> Dat
     level_masks = dict(enumerate(masks))
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"), F.col("fp")) for i, m in level_masks.items()])).alias("r")).select("r.*")
     while True:
-        dealt = rows.repartition("level", "key").sortWithinPartitions("level", "key")
+        dealt = rows.repartition("level", "key").sortWithinPartitions("level", "key", "fp")
         result = cut(dealt.mapInArrow(lambda it: _search(it, radius, cap), "level int, key bigint, a bigint, b bigint"))
         edges = result.where("level = -1").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
@@ -165,3 +165,24 @@ def links(fps: DataFrame, radius: int, masks: list[int], cap: int = 8192) -> Dat
         choice = F.create_map(*[x for lv, ms in parts.items() for x in (F.lit(lv), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(signed(m)).alias("m")) for i, m in ms]))])
         rows = over.select("fp", F.explode(choice[F.col("level")]).alias("c")).select(F.col("c.i").alias("level"), F.col("fp").bitwiseAND(F.col("c.m")).alias("key"), "fp")
         level_masks = {i: m for i, (_, m) in finer.items()}
+
+
+def bucket_links(rows: DataFrame, radius: int, cap: int = 4096) -> DataFrame:
+    """(a, b): links within ``radius`` of fingerprints that share a bucket; ``rows`` has longs key and fp.
+
+    Each bucket yields a spanning forest of its links. A bucket above ``cap`` is split in blocks
+    that are searched pair by pair in tasks of their own, so none of its links is lost.
+    """
+    ship(rows.sparkSession)
+    schema = "level int, key bigint, a bigint, b bigint"
+    search = lambda df, most: cut(df.repartition("key").sortWithinPartitions("key", "fp").select(F.lit(0).alias("level"), "key", "fp").mapInArrow(lambda it: _search(it, radius, most), schema))
+    result = search(rows.select("key", "fp"), cap)
+    near = result.where("level = -1").select("a", "b")
+    over = result.where("level = 0").select("key", F.col("a").alias("fp"))
+    sizes = cut(over.groupBy("key").agg(F.ceil(F.count("*") * 2 / cap).cast("int").alias("blocks")))
+    if not sizes.isEmpty():
+        part = over.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = part.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
+        near = near.unionByName(search(part, FULL).where("level = -1").select("a", "b"))
+    return near.where("a <> b").distinct()

@@ -1,31 +1,46 @@
-"""Fuzzy line deduplication: SimHash and MinHash of normalised lines, edit similarity, connected groups."""
+"""Fuzzy line deduplication: SimHash of normalised lines on pigeonhole blocks and MinHash bands, edit similarity, connected groups."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import minhash
-from .common import cut, table
+from .common import cut, keep, table
 from .components import components
-from .hamming import block_masks, links
+from .hamming import block_masks, bucket_links, links, signed
 
 MIN_WORDS, RADIUS, SIMILARITY = 4, 3, 0.9
-#: Places of a MinHash band of a line's words, bands, and the word Jaccard that signatures must not rule out.
-ROWS, BANDS, WORDS = 4, 16, 0.5
+#: Places of a MinHash band of a line's words, bands, and the bits in which SimHashes that meet in a band may differ.
+ROWS, BANDS, APART = 4, 12, 22
+#: Words of fewer bytes count together with the word after them.
+SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
-CAP, BLOCK, KEYS = 512, 256, 1_000_000
+CAP, BLOCK, KEYS = 16384, 256, 1_000_000
+_RNG = np.random.default_rng(5)
+BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal_lines(text: Column) -> Column:
+#: Ideographs and kana: each counts as a word.
+CJK = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"
+
+
+def normal(text: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space; lines stay lines."""
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " "), "\n")
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def spaced(plain: Column) -> Column:
+    """Ideographs and kana as words. ``plain`` must be a column of its own, or it is built several times."""
+    return F.when(plain.rlike(CJK), F.regexp_replace(F.regexp_replace(plain, f"({CJK})", " $1 "), " +", " ")).otherwise(plain)
 
 
 def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
@@ -34,7 +49,8 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short:
     ``line`` is the normalised line, null for the lines of fewer than ``min_words`` words that
     take part if ``short`` is set: their key is that of exactly their words, or marks.
     """
-    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), normal_lines(F.col(text_col)).alias("lines"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("raw"))
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), normal(F.col(text_col)).alias("plain"), F.coalesce(text_col, F.lit("")).alias("raw"))
+    doc = raw.select("doc_id", "doc", F.split(spaced(F.col("plain")), "\n").alias("lines"), F.split("raw", "\n").alias("raw"))
     long = F.size(F.split("line", " ")) >= min_words
     if not short:
         each = doc.select("doc_id", "doc", F.posexplode_outer("lines").alias("pos", "line")).select("doc_id", "doc", "pos", F.trim("line").alias("line"))
@@ -44,6 +60,40 @@ def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short:
     return each.where(F.col("raw") != "").select("doc_id", "doc", "pos", F.when(long, F.col("line")).alias("line"), F.when(long, F.xxhash64("line")).otherwise(exact).alias("key"))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): one 64-bit hash for each word of the normalised lines, and the number of words of each line.
+
+    A word of fewer than SHORT bytes is hashed with the word after it, so that "of", "the" and
+    single ideographs don't make unlike lines meet. All words of a chunk are hashed at once.
+    """
+    byte = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero((byte == 32) | (byte == 10))
+    starts = np.r_[0, ends[:-1] + 1]
+    length = ends - starts
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(length.max(), 0xD6E8FEB86659FD93, np.uint64)])
+    place = np.arange(len(byte)) - np.repeat(starts, length + 1)
+    h = _mixed(np.add.reduceat(BYTE[byte] * power[place], starts))
+    last = byte[ends] == 10
+    joined = (length < SHORT) & ~last
+    h[joined] = _mixed(h[joined] * np.uint64(3) + h[np.flatnonzero(joined) + 1])
+    return h, np.diff(np.r_[-1, np.flatnonzero(last)])
+
+
+def prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(SimHash, BANDS band values of 32 bits) of each line."""
+    h, sizes = features(lines)
+    sig = minhash.signatures(h, sizes, ROWS * BANDS).astype(np.uint64)
+    band = np.zeros((len(lines), BANDS), np.uint64)
+    for j in range(ROWS):
+        band = _mixed(band * np.uint64(5) + sig[:, j::ROWS] + np.uint64(1))
+    return _majority(h, sizes), (band >> np.uint64(32)).astype(np.uint32)
+
+
 def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """SimHash of consecutive groups of hashes: bits set in over half of a group.
 
@@ -65,169 +115,300 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp, sig): SimHash and MinHash of the line's words.
+    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp, bands).
 
-    Both are null where the line is; the signature also where the task gave it for the key before.
+    The last two are null where the line is, and where the task gave them for the key before.
     """
-    known: dict[str, int] = {}
     given: set[int] = set()
     for b in batches:
-        if len(known) > 500_000:
-            known.clear()
         if len(given) > 2_000_000:
             given.clear()
         fps: list = [None] * b.num_rows
-        sigs: list = [None] * b.num_rows
-        for at in range(0, b.num_rows, 1000):
-            every, keys = b.column(4).slice(at, 1000).to_pylist(), b.column(3).slice(at, 1000).to_pylist()
-            own = [i for i, x in enumerate(every) if x is not None]
-            if not own:
-                continue
-            lines = [every[i] for i in own]
-            words = " ".join(lines).split(" ")
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh64_intdigest(w, 1)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            sizes = np.array([x.count(" ") + 1 for x in lines])
-            for i, fp in zip(own, _majority(h, sizes).tolist(), strict=True):
-                fps[at + i] = fp
-            new = []
-            for k, i in enumerate(own):
-                if keys[i] not in given:
-                    given.add(keys[i])
-                    new.append(k)
-            if new:
-                fresh = np.isin(np.arange(len(own)), new)
-                for k, x in zip(new, minhash.signatures(h[np.repeat(fresh, sizes)], sizes[fresh], ROWS * BANDS), strict=True):
-                    sigs[at + own[k]] = x.tobytes()
-        cols = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "pos", "key", "fp", "sig"])
-
-
-def edit_similarity(a: str, b: str) -> float:
-    """1 - Levenshtein distance / longer length, by Myers' bit vectors; two empty strings give 1."""
+        bands: list = [None] * b.num_rows
+        lines, keys = b.column(4), b.column(3).to_pylist()
+        new = []
+        for i, there in enumerate(lines.is_valid().to_pylist()):
+            if there and keys[i] not in given:
+                given.add(keys[i])
+                new.append(i)
+        for at in range(0, len(new), 1000):
+            own = new[at : at + 1000]
+            fp, band = prints(lines.take(pa.array(own)).to_pylist())
+            for i, f, x in zip(own, fp.tolist(), band, strict=True):
+                fps[i], bands[i] = f, x.tobytes()
+        cols = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fps, pa.int64()), pa.array(bands, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "pos", "key", "fp", "bands"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, bands) to (key, fp): one row for each band."""
+    for b in batches:
+        own = b.column(1).to_pylist()
+        if not own:
+            continue
+        band = np.frombuffer(b"".join(own), np.uint32).reshape(len(own), BANDS)
+        key = band.astype(np.int64) + (np.arange(BANDS) << 32)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "fp"])
+
+
+def cells_of(lines: list[str], radius: int) -> np.ndarray:
+    """Keys of the bands and pigeonhole blocks of each line."""
+    masks = np.array([signed(m) for m in block_masks(radius)])
+    fp, band = prints(lines)
+    return np.concatenate([band.astype(np.int64) + (np.arange(BANDS) << 32), (fp[:, None] & masks) ^ (np.arange(len(masks)) << 8) ^ (1 << 40)], axis=1)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(set, line) to (cell, nth, set, line): one row for each band and each pigeonhole block of the line, and its number."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            cell = cells_of(part.column(1).to_pylist(), radius)
+            of = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
+            nth = pa.array(np.tile(np.arange(cell.shape[1], dtype=np.int32), len(cell)))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), nth, part.column(0).take(of), part.column(1).take(of)], names=["cell", "nth", "set", "line"])
+
+
+def edit_similarity(a: str, b: str, most: int | None = None) -> float:
+    """1 - Levenshtein distance / longer length; two empty strings give 1. Above ``most`` edits any lower value."""
     if len(a) < len(b):
         a, b = b, a
     if not a:
         return 1.0
+    longest = len(a)
+    # what both begin and end with costs nothing
+    lo = _shared(a, b, len(b), True)
+    a, b = a[lo:], b[lo:]
+    hi = _shared(a, b, len(b), False)
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
+    if not b:
+        return 1 - len(a) / longest
+    return 1 - (_distance(a, b, len(a) if most is None else most) if b else len(a)) / longest
+
+
+def _distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance by Myers' bit vectors, or any number above ``most`` if it is above."""
     peq: dict[str, int] = {}
     for i, c in enumerate(b):
         peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, 1 << max(len(b) - 1, 0)
-    pv, mv, score = full, 0, len(b)
-    if not b:
-        return 0.0
+    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    pv, mv, score, room = full, 0, len(b), most + len(a)
     for c in a:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & full, pv & xh
         score += bool(ph & top) - bool(mh & top)
+        room -= 1
+        if score > room:  # a column lowers the score by one at most
+            return most + 1
         ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
-    return 1 - score / len(a)
+    return score
+
+
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is at least ``similarity``; words changed in place are seen without a search."""
+    longest = max(len(a), len(b))
+    most = math.floor((1 - similarity) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    left, right = a.split(" "), b.split(" ")
+    if len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right, strict=True) if x != y) <= most:
+        return True
+    return edit_similarity(a, b, most) >= similarity - 1e-9
+
+
+def _shared(a: str, b: str, most: int, front: bool) -> int:
+    """Length of the longest common start, or end."""
+    low = 0
+    while low < most:
+        mid = (low + most + 1) // 2
+        if a[:mid] == b[:mid] if front else a[len(a) - mid :] == b[len(b) - mid :]:
+            low = mid
+        else:
+            most = mid - 1
+    return low
+
+
+def _bags(lines: list[str]) -> np.ndarray:
+    """Counts of characters in 64 bins and, halved, of character pairs in 256 bins; one row for each line."""
+    out = np.zeros((len(lines), 320), np.float32)
+    for i, x in enumerate(lines):
+        c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[i, :64] = np.bincount(c & 63, minlength=64)
+        out[i, 64:] = np.bincount(((c[:-1] * np.uint32(2654435761) + c[1:]) >> np.uint32(3)) & np.uint32(255), minlength=256) / 2
+    return out
 
 
-def verified(keys: list[int], lines: list[str], similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links: lines similar enough. Lengths and counts of characters rule out most pairs."""
-    out, rest = [], list(range(len(keys)))
-    sizes = np.array([len(x) for x in lines])
-    bags = np.zeros((len(lines), 64), np.int32)
-    for i, x in enumerate(lines):
-        bags[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-    while rest:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and rest:
-            i = frontier.pop()
-            ahead = np.array(rest)
-            most = np.maximum(sizes[ahead], sizes[i])
-            apart = bags[ahead] - bags[i]
-            # an edit brings in one character at most and takes out one
-            near = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= (1 - similarity) * most + 1e-9
-            hit = {int(j) for j in ahead[near] if edit_similarity(lines[i], lines[j]) >= similarity}
-            out += [(keys[i], keys[j]) for j in hit]
-            frontier += hit
-            rest = [j for j in rest if j not in hit]
+def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """False where bags rule a similarity out: an edit brings in one character and two pairs at most, and takes out as many."""
+    apart, most = a - b, (1 - similarity) * sizes + 1e-3
+    fine = np.ones(len(sizes), bool)
+    for part in (apart[:, :64], apart[:, 64:]):
+        fine &= (np.maximum(part, 0).sum(1) <= most) & (np.maximum(-part, 0).sum(1) <= most)
+    return fine
+
+
+def verified(lines: list[str], sets: np.ndarray, sides: np.ndarray, similarity: float, before: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of lines that are similar enough and join different ``sets``, as few as join them.
+
+    Sides tell which lines are compared: 0 with 1, 2 with 2. Lines that share a value of
+    ``before``, column by column, are compared elsewhere. Bags of characters rule out most.
+    """
+    out, label = [], sets.copy()
+    sizes, bags = np.array([len(x) for x in lines]), _bags(lines)
+    for i in np.flatnonzero(sides != 1):
+        ahead = np.flatnonzero((sides == 1) & (label != label[i])) if sides[i] == 0 else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        ahead = ahead[~(before[ahead] == before[i]).any(1)]
+        if not len(ahead):
+            continue
+        for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)]:
+            if label[j] != label[i] and alike(lines[i], lines[j], similarity):
+                out.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, lo, hi, key, line) sorted by their first three: links (a, b) of each block pair."""
+def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, side, set, line, nth) sorted by pair: links (a, b) between the sets of each pair of blocks.
+
+    In the nth cell of its lines, a pair that met in an earlier one is passed over.
+    """
     own, last = [], None
 
     def done() -> pa.RecordBatch:
-        found = verified([r[3] for r in own], [r[4] for r in own], similarity)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        lines, nth = [r[3] for r in own], own[0][4]
+        before = cells_of(lines, radius)[:, :nth] if nth else np.empty((len(lines), 0), np.int64)
+        found = verified(lines, np.array([r[2] for r in own]), np.array([r[1] for r in own]), similarity, before)
+        return pa.RecordBatch.from_arrays([pa.array([own[x[k]][2] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if row[:3] != last and own:
+            if row[0] != last and own:
                 yield done()
                 own = []
-            last = row[:3]
+            last = row[0]
             own.append(row)
     if own:
         yield done()
 
 
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, line, other) to (a, b, same): whether the two lines are similar enough."""
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+            near = _near(_bags(left), _bags(right), np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)]), similarity)
+            same = [bool(n) and alike(x, y, similarity) for n, x, y in zip(near, left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+
+def _between(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): similar lines of different sets. ``members`` has (group, set, key, line); groups hold several sets.
+
+    A group of up to BLOCK lines is one cell. Lines of larger groups are compared in each band
+    and pigeonhole block in which they met. A cell is cut into blocks of BLOCK lines, a set of
+    more lines into blocks of its own, and only blocks that hold different sets are paired:
+    one large set and a few other lines take work in proportion to the set.
+    """
+    counted = cut(members.join(members.groupBy("group").agg(F.count("*").alias("n")), "group"))
+    cells = counted.where(F.col("n") <= BLOCK).select(F.col("group").alias("cell"), F.lit(0).alias("nth"), "set", "line")
+    if not counted.where(F.col("n") > BLOCK).isEmpty():
+        dealt = counted.where(F.col("n") > BLOCK).select("set", "line").mapInArrow(lambda it: _cells(it, radius), "cell bigint, nth int, set bigint, line string")
+        cells = cells.unionByName(dealt)
+    cells = cut(cells)
+    parts = cells.groupBy("cell", "set").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") > BLOCK, F.col("set")))
+    shared = parts.groupBy("cell").agg(F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.lit(0)).alias("rest"), F.count("*").alias("sets")).where("sets > 1")
+    parts = parts.join(shared, "cell").select("cell", "set", "own", F.ceil(F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("n")) / BLOCK).alias("blocks"))
+    spread = F.when(F.col("own").isNull(), F.xxhash64("set")).otherwise(F.xxhash64("line"))
+    placed = cut(cells.join(parts, ["cell", "set"]).select("cell", "nth", "set", "line", "own", F.pmod(spread, F.col("blocks")).alias("block")))
+    blocks = placed.select("cell", "own", "block").distinct().withColumn("name", F.xxhash64("own", "block"))
+    other = blocks.select(F.col("cell").alias("_cell"), F.col("own").alias("_own"), F.col("name").alias("_name"))
+    met = blocks.join(other, (F.col("cell") == F.col("_cell")) & (F.col("name") <= F.col("_name")) & ~F.coalesce(F.col("own") == F.col("_own"), F.lit(False)))
+    pair, alone = F.xxhash64("cell", "name", "_name"), F.col("name") == F.col("_name")
+    sides = F.when(alone, F.array(F.struct(F.col("name").alias("name"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("name").alias("name"), F.lit(0).alias("side")), F.struct(F.col("_name").alias("name"), F.lit(1).alias("side"))))
+    met = met.select("cell", pair.alias("pair"), F.explode(sides).alias("s")).select("cell", "pair", "s.name", "s.side")
+    rows = placed.withColumn("name", F.xxhash64("own", "block")).join(met, ["cell", "name"]).select("pair", "side", "set", "line", "nth")
+    return cut(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(lambda it: _verify(it, radius, similarity), "a bigint, b bigint"))
+
+
 def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """(doc_id, doc, pos, keeps): every line that takes part; ``keeps`` is true for one occurrence of each group.
+    """(doc_id, doc, pos, keeps): the lines of groups of more than one; ``keeps`` is true for one occurrence of each.
 
     Normalised lines link if their edit similarity is at least ``similarity``; a group is a
     connected set of lines. Candidates are lines whose SimHashes differ in at most ``radius``
-    bits, or whose MinHash signatures of words share a band. The first occurrence by id, then
-    place, is kept. Lines of fewer than ``min_words`` words take no part, or with ``short``
-    as exact copies only.
+    bits (pigeonhole blocks find all of these), or that share a MinHash band of words and
+    whose SimHashes differ in at most APART bits. A spanning forest of each block's and band's
+    candidates is verified first; where lines that met stay apart by it, their sets are compared
+    line by line. The first occurrence by id, then place, is kept. Lines of fewer than
+    ``min_words`` words take no part, or with ``short`` as exact copies only.
     """
     ship(docs.sparkSession)
     each = lines_of(docs, min_words, id_col, text_col, short)
-    hashed = cut(each.select("doc_id", "doc", "pos", "key", "line").mapInArrow(_simhash, "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, sig binary"))
-    unique = cut(hashed.groupBy("key").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("first"), F.first("fp").alias("fp"), F.first("sig", ignorenulls=True).alias("sig")))
-    # candidates: keys whose signature is linked to another's, or whose fingerprint is, or is shared
-    fuzzy = unique.where("fp is not null").select("key", "first", "fp")
-    near = cut(links(fuzzy.select("fp").distinct(), radius, block_masks(radius), CAP))
-    node = lambda c: F.xxhash64(F.lit("fp"), c)
-    met = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(fuzzy.groupBy("fp").count().where("count > 1").select("fp")).distinct()
-    edges = near.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).unionByName(fuzzy.join(met, "fp").select(F.col("key").alias("a"), node(F.col("fp")).alias("b")))
-    signed = unique.where("sig is not null").select(F.col("key").alias("id"), "sig")
-    roots = components(edges.unionByName(minhash.links(signed, ROWS, minhash.least_agreement(ROWS * BANDS, WORDS))))
-    some = cut(fuzzy.join(roots.select(F.col("id").alias("key"), "root"), "key").select("key", "root", "first.doc", "first.pos"))
-    # only documents with the first occurrence of a candidate are read again, and told by their hash before they are split
-    holders = cut(some.select("doc").distinct())
-    read = docs.withColumn("_doc", F.xxhash64(id_col, text_col))
-    few = holders.count() <= KEYS
-    read = read.join(F.broadcast(holders) if few else holders, F.col("_doc") == holders["doc"], "left_semi").drop("_doc")
-    text = lines_of(read, min_words, id_col, text_col).select("doc", "pos", "line")
-    texts = text.join(some, ["doc", "pos"]).groupBy("key").agg(F.first("line").alias("line"), F.first("root").alias("root"))
-    # large groups are verified block against block
-    sizes = some.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    part = texts.join(sizes, "root").withColumn("block", F.pmod("key", F.col("blocks")).cast("int"))
-    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = part.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "line")
-    pairs = part.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint")
-    found = components(cut(pairs))
-    first = found.select(F.col("id").alias("key"), "root").join(unique.select("key", "first"), "key")
-    head = first.groupBy("root").agg(F.min("first").alias("head"))
-    moved = first.join(head, "root").select("key", "head")
-    settled = unique.join(moved, "key", "left").select("key", F.coalesce("head", "first").alias("head"))
-    return hashed.join(settled, "key").select("doc_id", "doc", "pos", (F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("head"))).alias("keeps"))
+    hashed = keep(each.select("doc_id", "doc", "pos", "key", "line").mapInArrow(_simhash, "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, bands binary"))
+    signs = hashed.where("bands is not null").select("fp", "bands")
+    near = links(signs.select("fp").distinct(), radius, block_masks(radius), CAP).unionByName(bucket_links(signs.mapInArrow(_deal, "key bigint, fp bigint"), APART, CAP))
+    # candidates as pairs of keys: of fingerprints that are linked, or that several keys share
+    names = hashed.where("fp is not null").groupBy("fp").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    left, right = (names.select(F.col("fp").alias(c), F.col("low").alias(f"key_{c}")) for c in "ab")
+    met = near.join(left, "a").join(right, "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    several = hashed.where("fp is not null").select("key", "fp").join(names.where("low < high"), "fp").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    edges = cut(met.unionByName(several).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # one occurrence of each candidate; only its document is read again
+    keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    some = cut(hashed.where("bands is not null").join(keys, "key").groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at")).select("key", F.col("at.doc").alias("_doc"), F.col("at.pos").alias("_pos")))
+    read = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("_text"))
+    holders = some.select(F.col("_doc").alias("doc")).distinct()
+    read = read.join(F.broadcast(holders) if some.count() <= KEYS else holders, "doc", "left_semi")
+    raw = read.select("doc", F.posexplode(F.split("_text", "\n")).alias("pos", "raw")).join(some, (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_pos")))
+    text = keep(raw.groupBy("key").agg(F.first("raw").alias("raw")).select("key", normal(F.col("raw")).alias("plain")).select("key", F.trim(spaced(F.col("plain"))).alias("line")))
+    lines, others = text.select(F.col("key").alias("a"), "line"), text.select(F.col("key").alias("b"), F.col("line").alias("other"))
+    tried = cut(edges.join(lines, "a").join(others, "b").select("a", "b", "line", "other").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint, same boolean"))
+    found = cut(components(tried.where("same").select("a", "b")).select(F.col("id").alias("key"), F.col("root").alias("set")))
+    # sets that met but stayed apart
+    sets = text.select("key").join(found, "key", "left").select("key", F.coalesce("set", "key").alias("set"))
+    ends = [sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab"]
+    apart = cut(tried.where("not same").select("a", "b").join(ends[0], "a").join(ends[1], "b").where("set_a <> set_b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct())
+    group = found.select("key", F.col("set").alias("group"))
+    if not apart.isEmpty():
+        open_ = components(apart).select(F.col("id").alias("set"), F.col("root").alias("group"))
+        more = components(_between(sets.join(open_, "set").join(text, "key"), radius, similarity)).select(F.col("id").alias("set"), F.col("root").alias("group"))
+        group = sets.join(more, "set", "left").select("key", F.coalesce("group", "set").alias("group"))
+    found = group
+    # a line that is linked to none is a group of its own key
+    line = hashed.select("doc_id", "doc", "pos", "key").join(found, "key", "left").select("doc_id", "doc", "pos", F.coalesce("group", "key").alias("group"))
+    heads = line.groupBy("group").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return line.join(heads, "group").select("doc_id", "doc", "pos", F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("head")).alias("keeps"))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the positions ``gone``; null where gone is null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, away: pd.Series) -> pd.Series:
+        out = []
+        for t, g in zip(texts, away, strict=True):
+            left = set(g) if g is not None and t is not None else None
+            out.append(None if left is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in left))
+        return pd.Series(out, dtype=object)
+
+    return run(F.when(gone.isNotNull(), text), gone)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with text cleaned and the columns n_lines and n_removed, one row for each row.
 
-    Lines that ``groups`` doesn't keep are taken out of the text, the others stay as they
-    were. Null and empty texts stay (n_lines 0 and 1). Rows of equal id and text are one
+    Of each group of ``groups`` one line stays; lines that are taken out leave the others as
+    they were. Null and empty texts stay (n_lines 0 and 1). Rows of equal id and text are one
     document: they keep and lose the same lines. An empty table gives an empty result.
     """
-    gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).select("doc", "pos").distinct()
-    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc")
     own = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(gone, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    clean = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
-    return own.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long"), text_col: clean}).drop("_gone")
+    clean = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_gone")))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1)))
+    return own.withColumns({"n_lines": count.cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"), text_col: clean}).drop("_gone")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
