@@ -76,11 +76,31 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndar
     return left, right
 
 
+def _small(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links inside consecutive buckets of up to SMALL members, all buckets at once; a forest where they are dense."""
+    of = np.repeat(np.arange(len(starts)), sizes)
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    own, left, right = fp[at].view(np.uint64), [], []
+    for k in range(1, sizes.max()):
+        hit = np.flatnonzero((of[k:] == of[:-k]) & (np.bitwise_count(own[k:] ^ own[:-k]) <= radius))
+        left.append(hit)
+        right.append(hit + k)
+    i, j = np.concatenate(left), np.concatenate(right)
+    dense = np.bincount(of[i], minlength=len(starts)) > sizes
+    keep = ~dense[of[i]]
+    yield fp[at[i[keep]]], fp[at[j[keep]]]
+    for n in np.flatnonzero(dense):
+        group = np.sort(fp[starts[n] : starts[n] + sizes[n]])
+        for x, y in zip(*_forest(group.view(np.uint64), radius), strict=True):
+            yield group[x], group[y]
+
+
+SMALL = 64
 LINK = pa.schema([("level", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int, cap: int) -> Iterator[pa.RecordBatch]:
-    """Rows (level, key, fp) sorted by (level, key): links as level -1, members of oversized buckets as they came."""
+    """Rows (level, key, fp) sorted by key: links as level -1, members of oversized buckets as they came."""
     carry: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     spilling = None  # the bucket whose rows pass on unread
 
@@ -93,8 +113,11 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, cap: int) -> Iterato
         two = starts[sizes == 2]
         two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
         edges.append((fp[two], fp[two + 1]))
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            own = fp[s : s + n]
+        small = (sizes > 2) & (sizes <= SMALL)
+        if small.any():
+            edges.extend(_small(fp, starts[small], sizes[small], radius))
+        for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            own = np.sort(fp[s : s + n])  # the same first member, and so the same links, in every bucket of like fingerprints
             for x, y in zip(*_forest(own.view(np.uint64), radius), strict=True):
                 edges.append((own[x], own[y]))
 
@@ -144,8 +167,9 @@ def links(fps: DataFrame, radius: int, masks: list[int], cap: int = 8192) -> Dat
     found = None
     level_masks = dict(enumerate(masks))
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"), F.col("fp")) for i, m in level_masks.items()])).alias("r")).select("r.*")
+    bucket = F.xxhash64("level", "key").alias("key")  # one column, which sorts fastest
     while True:
-        dealt = rows.repartition("level", "key").sortWithinPartitions("level", "key", "fp")
+        dealt = rows.select("level", bucket, "fp").repartition("key").sortWithinPartitions("key")
         result = cut(dealt.mapInArrow(lambda it: _search(it, radius, cap), "level int, key bigint, a bigint, b bigint"))
         edges = result.where("level = -1").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
@@ -175,7 +199,7 @@ def bucket_links(rows: DataFrame, radius: int, cap: int = 4096) -> DataFrame:
     """
     ship(rows.sparkSession)
     schema = "level int, key bigint, a bigint, b bigint"
-    search = lambda df, most: cut(df.repartition("key").sortWithinPartitions("key", "fp").select(F.lit(0).alias("level"), "key", "fp").mapInArrow(lambda it: _search(it, radius, most), schema))
+    search = lambda df, most: cut(df.repartition("key").sortWithinPartitions("key").select(F.lit(0).alias("level"), "key", "fp").mapInArrow(lambda it: _search(it, radius, most), schema))
     result = search(rows.select("key", "fp"), cap)
     near = result.where("level = -1").select("a", "b")
     over = result.where("level = 0").select("key", F.col("a").alias("fp"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,41 +25,36 @@ ROWS, BANDS, APART = 4, 12, 22
 #: Words of fewer bytes count together with the word after them.
 SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
-CAP, BLOCK, KEYS = 16384, 256, 1_000_000
+CAP, BLOCK, KEYS = 16384, 512, 1_000_000
 _RNG = np.random.default_rng(5)
 BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+MARKS = re.compile(r"[^\w\n ]+|_+")
 #: Ideographs and kana: each counts as a word.
-CJK = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"
+CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
-def normal(text: Column) -> Column:
-    """Lower case, runs of anything but letters and digits as one space; lines stay lines."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+def normal(text: str) -> str:
+    """Lower case, anything but letters and digits as spaces, ideographs and kana as words; lines stay lines."""
+    plain = MARKS.sub(" ", text.lower())
+    return plain if plain.isascii() else CJK.sub(r" \g<0> ", plain)
 
 
-def spaced(plain: Column) -> Column:
-    """Ideographs and kana as words. ``plain`` must be a column of its own, or it is built several times."""
-    return F.when(plain.rlike(CJK), F.regexp_replace(F.regexp_replace(plain, f"({CJK})", " $1 "), " +", " ")).otherwise(plain)
+def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[int, int, str | None]]:
+    """(place, key, line) of the lines that take part; the key is a hash of the normalised line.
 
-
-def lines_of(docs: DataFrame, min_words: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
-    """(doc_id, doc, pos, line, key) of the lines that take part; ``doc`` tells a row by id and text.
-
-    ``line`` is the normalised line, null for the lines of fewer than ``min_words`` words that
-    take part if ``short`` is set: their key is that of exactly their words, or marks.
+    Lines of fewer than ``min_words`` words take part if ``short`` is set, without a line: their
+    key is that of exactly their words, or marks.
     """
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), normal(F.col(text_col)).alias("plain"), F.coalesce(text_col, F.lit("")).alias("raw"))
-    doc = raw.select("doc_id", "doc", F.split(spaced(F.col("plain")), "\n").alias("lines"), F.split("raw", "\n").alias("raw"))
-    long = F.size(F.split("line", " ")) >= min_words
-    if not short:
-        each = doc.select("doc_id", "doc", F.posexplode_outer("lines").alias("pos", "line")).select("doc_id", "doc", "pos", F.trim("line").alias("line"))
-        return each.where(long).withColumn("key", F.xxhash64("line"))
-    each = doc.select("doc_id", "doc", F.posexplode_outer(F.arrays_zip("lines", "raw")).alias("pos", "l")).select("doc_id", "doc", "pos", F.trim("l.lines").alias("line"), F.regexp_replace("l.raw", r"^\s+|\s+$", "").alias("raw"))
-    exact = F.xxhash64(F.lit("short"), F.when(F.col("line") == "", F.col("raw")).otherwise(F.col("line")))
-    return each.where(F.col("raw") != "").select("doc_id", "doc", "pos", F.when(long, F.col("line")).alias("line"), F.when(long, F.xxhash64("line")).otherwise(exact).alias("key"))
+    for pos, (plain, raw) in enumerate(zip(normal(text).split("\n"), text.split("\n"), strict=True) if text else ()):
+        words = plain.split()
+        line = " ".join(words)
+        if len(words) >= min_words:
+            yield pos, signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))), line
+        elif short and (line or raw.strip()):
+            yield pos, signed(xxhash.xxh64_intdigest((line or raw.strip()).encode("utf-8", "surrogatepass"), 1)), None
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -114,29 +111,34 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total.astype(np.int64) > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, pos, key, line) to (doc_id, doc, pos, key, fp, bands).
+def _simhash(batches: Iterator[pa.RecordBatch], min_words: int, short: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, doc, text) to (doc_id, doc, pos, key, fp, bands), a row for each line that takes part.
 
-    The last two are null where the line is, and where the task gave them for the key before.
+    The last two are null for short lines, and where the task gave them for the key before.
     """
     given: set[int] = set()
     for b in batches:
         if len(given) > 2_000_000:
             given.clear()
-        fps: list = [None] * b.num_rows
-        bands: list = [None] * b.num_rows
-        lines, keys = b.column(4), b.column(3).to_pylist()
-        new = []
-        for i, there in enumerate(lines.is_valid().to_pylist()):
-            if there and keys[i] not in given:
-                given.add(keys[i])
-                new.append(i)
-        for at in range(0, len(new), 1000):
-            own = new[at : at + 1000]
-            fp, band = prints(lines.take(pa.array(own)).to_pylist())
-            for i, f, x in zip(own, fp.tolist(), band, strict=True):
+        row, pos, keys, fresh, lines = [], [], [], [], []
+        for i, text in enumerate(b.column(2)):
+            for at, key, line in lines_of(text.as_py(), min_words, short):
+                if line is not None and key not in given:
+                    given.add(key)
+                    fresh.append(len(keys))
+                    lines.append(line)
+                row.append(i)
+                pos.append(at)
+                keys.append(key)
+        fps, bands = np.zeros(len(keys), np.int64), [None] * len(keys)
+        for at in range(0, len(lines), 1000):
+            fp, band = prints(lines[at : at + 1000])
+            for i, f, x in zip(fresh[at : at + 1000], fp, band, strict=True):
                 fps[i], bands[i] = f, x.tobytes()
-        cols = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(fps, pa.int64()), pa.array(bands, pa.binary())]
+        there = np.zeros(len(keys), bool)
+        there[fresh] = True
+        of = pa.array(row, pa.int64())
+        cols = [b.column(0).take(of), b.column(1).take(of), pa.array(pos, pa.int32()), pa.array(keys, pa.int64()), pa.array(fps, mask=~there), pa.array(bands, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "pos", "key", "fp", "bands"])
 
 
@@ -170,7 +172,7 @@ def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def edit_similarity(a: str, b: str, most: int | None = None) -> float:
-    """1 - Levenshtein distance / longer length; two empty strings give 1. Above ``most`` edits any lower value."""
+    """1 - Levenshtein distance / longer length; two empty strings give 1. Given ``most`` edits, only which side of it is right."""
     if len(a) < len(b):
         a, b = b, a
     if not a:
@@ -183,6 +185,8 @@ def edit_similarity(a: str, b: str, most: int | None = None) -> float:
     a, b = a[: len(a) - hi], b[: len(b) - hi]
     if not b:
         return 1 - len(a) / longest
+    if most is not None and len(a) <= most:
+        return 1 - len(a) / longest  # an upper bound is enough
     return 1 - (_distance(a, b, len(a) if most is None else most) if b else len(a)) / longest
 
 
@@ -313,17 +317,17 @@ def _between(members: DataFrame, radius: int, similarity: float) -> DataFrame:
     more lines into blocks of its own, and only blocks that hold different sets are paired:
     one large set and a few other lines take work in proportion to the set.
     """
-    counted = cut(members.join(members.groupBy("group").agg(F.count("*").alias("n")), "group"))
+    counted = keep(members.join(members.groupBy("group").agg(F.count("*").alias("n")), "group"))
     cells = counted.where(F.col("n") <= BLOCK).select(F.col("group").alias("cell"), F.lit(0).alias("nth"), "set", "line")
     if not counted.where(F.col("n") > BLOCK).isEmpty():
         dealt = counted.where(F.col("n") > BLOCK).select("set", "line").mapInArrow(lambda it: _cells(it, radius), "cell bigint, nth int, set bigint, line string")
         cells = cells.unionByName(dealt)
-    cells = cut(cells)
+    cells = keep(cells)
     parts = cells.groupBy("cell", "set").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") > BLOCK, F.col("set")))
     shared = parts.groupBy("cell").agg(F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.lit(0)).alias("rest"), F.count("*").alias("sets")).where("sets > 1")
     parts = parts.join(shared, "cell").select("cell", "set", "own", F.ceil(F.when(F.col("own").isNull(), F.col("rest")).otherwise(F.col("n")) / BLOCK).alias("blocks"))
     spread = F.when(F.col("own").isNull(), F.xxhash64("set")).otherwise(F.xxhash64("line"))
-    placed = cut(cells.join(parts, ["cell", "set"]).select("cell", "nth", "set", "line", "own", F.pmod(spread, F.col("blocks")).alias("block")))
+    placed = keep(cells.join(parts, ["cell", "set"]).select("cell", "nth", "set", "line", "own", F.pmod(spread, F.col("blocks")).alias("block")))
     blocks = placed.select("cell", "own", "block").distinct().withColumn("name", F.xxhash64("own", "block"))
     other = blocks.select(F.col("cell").alias("_cell"), F.col("own").alias("_own"), F.col("name").alias("_name"))
     met = blocks.join(other, (F.col("cell") == F.col("_cell")) & (F.col("name") <= F.col("_name")) & ~F.coalesce(F.col("own") == F.col("_own"), F.lit(False)))
@@ -346,8 +350,8 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     ``min_words`` words take no part, or with ``short`` as exact copies only.
     """
     ship(docs.sparkSession)
-    each = lines_of(docs, min_words, id_col, text_col, short)
-    hashed = keep(each.select("doc_id", "doc", "pos", "key", "line").mapInArrow(_simhash, "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, bands binary"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    hashed = keep(own.mapInArrow(lambda it: _simhash(it, min_words, short), "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, bands binary"))
     signs = hashed.where("bands is not null").select("fp", "bands")
     near = links(signs.select("fp").distinct(), radius, block_masks(radius), CAP).unionByName(bucket_links(signs.mapInArrow(_deal, "key bigint, fp bigint"), APART, CAP))
     # candidates as pairs of keys: of fingerprints that are linked, or that several keys share
@@ -363,7 +367,8 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     holders = some.select(F.col("_doc").alias("doc")).distinct()
     read = read.join(F.broadcast(holders) if some.count() <= KEYS else holders, "doc", "left_semi")
     raw = read.select("doc", F.posexplode(F.split("_text", "\n")).alias("pos", "raw")).join(some, (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_pos")))
-    text = keep(raw.groupBy("key").agg(F.first("raw").alias("raw")).select("key", normal(F.col("raw")).alias("plain")).select("key", F.trim(spaced(F.col("plain"))).alias("line")))
+    plain = F.pandas_udf(lambda x: x.map(lambda t: " ".join(normal(t).split())), "string")
+    text = keep(raw.groupBy("key").agg(F.first("raw").alias("raw")).select("key", plain("raw").alias("line")))
     lines, others = text.select(F.col("key").alias("a"), "line"), text.select(F.col("key").alias("b"), F.col("line").alias("other"))
     tried = cut(edges.join(lines, "a").join(others, "b").select("a", "b", "line", "other").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint, same boolean"))
     found = cut(components(tried.where("same").select("a", "b")).select(F.col("id").alias("key"), F.col("root").alias("set")))
