@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_brute_force import roots
-from veldspar.llm import decontaminate, line_dedup, minhash, near_copies
+from veldspar.llm import ann, decontaminate, line_dedup, minhash, near_copies
 
 
 @pytest.mark.parametrize("kind", ["appended", "cut", "edited", "short"])
@@ -92,3 +93,23 @@ def test_stages_decide_row_by_row(spark):
     times = {(r.source, r.text): r["count"] for r in out}
     by = {s: {times.get((s, t), 0) for _, t, x in same if x == s} for s in "st"}
     assert any(len(v) > 1 for v in by.values())
+
+
+def test_clustered_vectors_are_probed(spark):
+    """On clustered vectors the radius leaves few probes: the tables return a small share of the rows and the recall holds."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((60, 32)), 40, axis=0) + 0.1 * rng.standard_normal((2400, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    codes = ann.fit(x, 20, 0.97)
+    tables = -(-codes.turns.shape[1] // ann.INDEXED)
+    assert ann.n_probes(codes.radius, tables) == len(ann.probes(codes.radius, tables)) <= ann.PROBES
+    queries = df.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS v")
+    pairs = {(r.query_id, r.uid) for r in ann.probed(codes, queries, df.selectExpr("vec_id AS uid", "embedding AS v")).collect()}
+    apart = np.bitwise_count(codes.encode(x)[::20][:, None, :] ^ codes.encode(x)[None]).sum(2)
+    assert pairs == {(20 * int(i), int(j)) for i, j in zip(*np.nonzero(apart <= codes.radius))}
+    assert len(pairs) < 0.1 * 120 * 2400
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    score = x[::20] @ x.T
+    score[np.arange(120), np.arange(0, 2400, 20)] = -np.inf
+    true = {(20 * i, int(j)) for i in range(120) for j in np.argsort(-score[i], kind="stable")[:20]}
+    assert len(got) == 2400 and len(got & true) >= 0.9 * len(true)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,10 @@ from ..runtime import ship
 from .common import cut, table
 
 #: Bounds of what is learnt from, and of one task: vectors fitted on, indexed at once, queries at once.
-SAMPLE, INDEX_ROWS, QUERY_ROWS = 8192, 16384, 2048
+SAMPLE, INDEX_ROWS, QUERY_ROWS = 8192, 4096, 2048
 ROTATIONS, SUBSTRING = 2, 8
+#: Bits of an indexed substring, and the probes of a table and query up to which the tables are probed.
+INDEXED, PROBES = 16, 150
 POPCOUNT = np.array([[(a ^ b).bit_count() for b in range(256)] for a in range(256)], np.uint8)
 
 
@@ -69,28 +73,16 @@ def fit(x: np.ndarray, k: int, recall: float, rotations: int = ROTATIONS, rounds
 
 
 def search(codes: Codes, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) positions: the k rows of largest inner product among all within the radius.
-
-    Pigeonhole: of m substrings, one of a code within radius r differs in at most r//m bits.
-    So every table is probed for the substrings that near, what the probes return is
-    measured in full, and what lies within the radius is ranked on the float vectors.
-    """
+    """(query, row) positions: the k rows of largest inner product, with ties, among all within the radius, block against block."""
     q, r = codes.encode(queries), codes.encode(rows)
-    most = codes.radius // q.shape[1]
     left, right = [], []
     for at in range(0, len(q), 128):
         part = q[at : at + 128]
-        probed = np.zeros((len(part), len(r)), bool)
         apart = np.zeros((len(part), len(r)), np.uint16)
         for t in range(q.shape[1]):
-            near = POPCOUNT[part[:, t]][:, r[:, t]]  # the table's buckets, by their distance to each query
-            probed |= near <= most
-            apart += near
-        probed &= apart <= codes.radius
+            apart += POPCOUNT[part[:, t]][:, r[:, t]]
         for i in range(len(part)):
-            hit = np.flatnonzero(probed[i])
-            if len(hit) < k:  # too few codes near enough: measure the whole block
-                hit = np.arange(len(rows))
+            hit = np.flatnonzero(apart[i] <= codes.radius)
             if len(hit):
                 score = rows[hit] @ queries[at + i]
                 if len(hit) > k:
@@ -103,6 +95,41 @@ def search(codes: Codes, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple
     return np.concatenate(left), np.concatenate(right)
 
 
+def probes(radius: int, tables: int) -> list[int]:
+    """Pigeonhole: of so many substrings, one of a code within the radius differs in at most radius // tables bits; the masks of these."""
+    return [sum(1 << b for b in bits) for n in range(min(radius // tables, INDEXED) + 1) for bits in combinations(range(INDEXED), n)]
+
+
+def n_probes(radius: int, tables: int) -> int:
+    return sum(comb(INDEXED, n) for n in range(min(radius // tables, INDEXED) + 1))
+
+
+def probed(codes: Codes, queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, uid): all codes within the radius, by substring tables joined on equality.
+
+    Every code is entered in one table for each of its substrings; a query looks up the
+    substrings that differ from its own in few enough bits. Work and shuffled rows are in
+    proportion to what the probes return.
+    """
+    tables = -(-codes.turns.shape[1] // INDEXED)
+
+    @F.pandas_udf("array<bigint>")
+    def encode(v: pd.Series) -> pd.Series:
+        own = codes.encode(np.stack(v.to_numpy()))
+        own = np.pad(own, ((0, 0), (0, -own.shape[1] % 8)))
+        return pd.Series(list(own.view(np.int64)))
+
+    def keys(code: Column) -> Column:
+        return F.array(*[F.shiftrightunsigned(F.get(code, F.lit(t * INDEXED // 64)), t * INDEXED % 64).bitwiseAND(F.lit((1 << INDEXED) - 1)) + (t << INDEXED) for t in range(tables)])
+
+    masks = F.array(*[F.lit(m).cast("long") for m in probes(codes.radius, tables)])
+    entered = index.select("uid", encode("v").alias("code")).select("uid", "code", F.explode(keys(F.col("code"))).alias("key"))
+    asked = queries.select("query_id", encode("v").alias("own")).select("query_id", "own", F.explode(keys(F.col("own"))).alias("k"), masks.alias("m"))
+    asked = asked.select("query_id", "own", "k", F.explode("m").alias("m")).select("query_id", "own", F.col("k").bitwiseXOR(F.col("m")).alias("key"))
+    apart = F.aggregate(F.zip_with("own", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return asked.join(entered, "key").where(apart <= codes.radius).select("query_id", "uid").distinct()
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -114,20 +141,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     null or non-finite component take no part, nor do rows with a null id or vectors of
     another dimension than most. Equal vectors are indexed once, with the k+1 smallest of
     their ids: no more of them can be among a query's k nearest, ties going to smaller ids.
-    A repeated id counts once. Fewer candidates than k are all returned if codes find them;
-    where a block has fewer than k codes within the radius, all its rows are measured.
-
-    Index rows and queries are dealt into blocks by hash, and each pair of blocks is one
-    group: memory is bounded, and a hot vector, indexed once, makes no hot group.
+    A repeated id counts once, with the least of its vectors.
+
+    All codes within the learnt radius are reranked. Where the radius leaves few enough
+    probes they are looked up in the tables (``probed``); where it is so wide that probes
+    would return most rows, codes are measured block against block, each pair of blocks one
+    group, which returns the same rows. Queries that this leaves with fewer than k rows are
+    measured against all rows. Memory is bounded, and a hot vector, indexed once, makes no
+    hot group.
     """
     ship(vectors.sparkSession)
     e = F.col("embedding")
     clean = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x.cast("double")).alias("v"), is_query.alias("q"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    clean = cut(clean.where(fine).dropDuplicates(["vec_id"]))
-    sizes = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0].d if sizes else 1
-    n = sizes[0]["count"] if sizes else 0
+    clean = cut(clean.where(fine).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
+    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).orderBy(F.desc("n"), "d").limit(1).collect()
+    dim, n, asked = (sizes[0].d, sizes[0].n, sizes[0].asked) if sizes else (1, 0, 0)
     clean = clean.where(F.size("v") == dim)
     # the k+1 smallest ids of each vector, with sorted arrays kept short while they are merged
     salted = clean.groupBy("v", F.pmod("vec_id", F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
@@ -135,27 +164,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     unique = cut(unique.withColumn("uid", F.col("ids")[0]))
     some = unique.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v").toPandas()
     codes = fit(np.array(some["v"].tolist(), float).reshape(-1, dim), k, recall)
-    blocks, sets = max(1, -(-n // index_rows)), max(1, -(-n // (index_rows * 4)))
-    queries = clean.where("q").select(F.col("vec_id").alias("query_id"), "v").withColumn("set", F.pmod(F.xxhash64("query_id"), F.lit(sets)))
-    index = unique.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("set", "block", "query_id", "v")
-    right = index.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).select("set", "block", "uid", "v")
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64")})
-        x, rows = np.stack(q["v"].to_numpy()), np.stack(r["v"].to_numpy())
-        found = [search(codes, x[at : at + query_rows], rows, k + 1) for at in range(0, len(x), query_rows)]
-        i = np.concatenate([a + at for (a, _), at in zip(found, range(0, len(x), query_rows), strict=True)])
-        j = np.concatenate([b for _, b in found])
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "uid": r["uid"].to_numpy()[j]})
-
-    pairs = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(run, "query_id bigint, uid bigint")
-    ids = pairs.join(unique.select("uid", "ids", F.col("v").alias("rv")), "uid").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
-    scored = ids.select("query_id", inner_product(F.col("qv"), F.col("rv")).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("best"))
-    found = best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
-    return found
+    queries = clean.where("q").select(F.col("vec_id").alias("query_id"), "v")
+    blocks = max(1, -(-n // index_rows))
+
+    def scanned(codes: Codes, queries: DataFrame, asked: int) -> DataFrame:
+        sets = max(1, -(-asked // (query_rows * 4)))
+        left = queries.withColumn("set", F.pmod(F.xxhash64("query_id"), F.lit(sets))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("set", "block", "query_id", "v")
+        right = unique.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks))).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).select("set", "block", "uid", "v")
+
+        def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64")})
+            x, rows = np.stack(q["v"].to_numpy()), np.stack(r["v"].to_numpy())
+            found = [search(codes, x[at : at + query_rows], rows, k + 1) for at in range(0, len(x), query_rows)]
+            i = np.concatenate([a + at for (a, _), at in zip(found, range(0, len(x), query_rows), strict=True)])
+            j = np.concatenate([b for _, b in found])
+            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "uid": r["uid"].to_numpy()[j]})
+
+        return left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(run, "query_id bigint, uid bigint")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.join(unique.select("uid", "ids", F.col("v").alias("rv")), "uid").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
+        scored = ids.select("query_id", inner_product(F.col("qv"), F.col("rv")).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        return scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("best"))
+
+    few = n_probes(codes.radius, -(-codes.turns.shape[1] // INDEXED)) <= PROBES
+    best = cut(ranked(probed(codes, queries, unique) if few else scanned(codes, queries, asked)))
+    full = best.where(F.size("best") >= min(k, n - 1))
+    rest = cut(queries.join(full.select("query_id"), "query_id", "left_anti"))
+    if n > 1 and not rest.isEmpty():
+        full = full.unionByName(ranked(scanned(replace(codes, radius=codes.turns.shape[1]), rest, rest.count())))
+    found = full.select("query_id", F.posexplode("best").alias("rank", "b"))
+    return found.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
