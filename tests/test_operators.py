@@ -119,10 +119,11 @@ def test_support(spark, q, a, e, verdict, supported):
     assert (r.verdict, r.supported) == (verdict, supported)
 
 
-@pytest.mark.parametrize(("path", "norm", "base"), [("A/./b/../C.md", "a/c.md", "C.md"), ("x\\y\\Z", "x/y/z", "Z"), ("../q/", "q", "q")])
+@pytest.mark.parametrize(("path", "norm", "base"), [("A/./b/../C.md", "a/c.md", "C.md"), ("/x//Y/Z", "/x/y/z", "Z"), ("../q/", "../q", "q"), (" ./ ", None, None)])
 def test_paths(spark, path, norm, base):
     assert one(spark, X.normal_path(F.col("p")), p=path) == norm
-    assert one(spark, X.basename(F.col("p")), p=path) == base
+    assert base is None or one(spark, X.basename(F.col("p")), p=path) == base
+    assert one(spark, X.basename(F.col("p")), p="x\\y\\Z") == "Z"
 
 
 def test_legal_moves(spark):
@@ -137,9 +138,22 @@ def test_rows_functions():
     assert P.json_object('x {bad {"a": 1} {"b": {"c": 2}}', last=True) == '{"b": {"c": 2}}'
     assert P.detect_companies("What of Acme Corp and Acmeist?", ["Acme", "Acme Corp"]) == ["Acme Corp"]
     assert P.decode("é".encode("cp1252")) == ("é", "cp1252")
-    masked = P.anonymize("mail a@b.co or a@b.co, 123-45-6789")
-    assert masked.count("<EMAIL_") == 2 and "<SSN_" in masked and "a@b" not in masked
-    assert "net profit" in P.keywords('Does "net profit" of Acme Corp grow 12%?') and "Acme Corp" in P.keywords("the profit of Acme Corp")
+    masked = P.anonymize("mail a@b.co or a@b.co, 123-45-6789 and 5551234567 for Ada Mary Lovelace; Find Ada Mary; New York")
+    assert masked.count("EMAIL_") == 2 and "SSN_" in masked and "PHONE_" in masked and "PERSON_" in masked and masked.endswith("Find Ada Mary; New York") and "a@b" not in masked
+    assert P.keywords('Does "net profit" of Acme Corp grow 12 percent in one year at all?') == (["net", "profit", "grow", "percent", "one", "year", "all"], ["net profit", "Acme Corp", "12"])
+    assert P.keywords("Profit of Acme Corp") == (["profit"], ["Profit of Acme Corp", "Acme Corp"])
+
+
+def test_credit_and_cut_block(spark):
+    units = spark.createDataFrame([(1, 1, "alpha  beta"), (1, 2, "gamma delta"), (1, 3, "Alpha beta again"), (2, 1, "alpha beta")], "probe int, rank int, text string")
+    quotes = spark.createDataFrame([(1, 1, "alpha BETA", 2), (1, 2, "beta gamma", 1), (1, 3, "nowhere", 1)], "probe int, quote_id int, quote string, grade int")
+    got = retrieval.credit(units, quotes)
+    assert {(r.quote_id, r.rank, r.seam) for r in got.collect()} == {(1, 1, False), (2, 2, True), (3, None, False)}
+    r = retrieval.retrieval_aggregate(got, [1, 2]).first()
+    assert (r.probes, round(r.recall_1, 3), round(r.recall_2, 3), r.mrr, round(r.located, 3)) == (1, 0.333, 0.667, 1.0, 0.667)
+    block = "Source: a\n" + "one line\n" * 20
+    cut = one(spark, retrieval.cut_block(F.col("b"), 100), b=block)
+    assert len(cut) <= 100 and cut.startswith("Source: a\none line\n") and cut.endswith("line\n" + retrieval.CUT)
 
 
 def test_expand_two_hops(spark):
@@ -214,7 +228,11 @@ def test_serving_functions(spark):
     assert E.wrapped_rows("Name   Value\n     more of it\nNext   Row") == "Name   Value more of it\nNext   Row"
     arms = spark.createDataFrame([("a", 80.0, 9), ("b", 90.0, 9), ("c", 90.0, 5), ("d", None, 1)], "arm string, correct_pct double, p95_ms int")
     assert E.best_arm(arms).first().arm == "c"
-    assert one(spark, E.is_weak(F.col("t")), t="Sorry, I don't know") is True
+    assert one(spark, E.is_weak(F.col("t")), t="Sorry, I don't know") is False
+    assert one(spark, E.is_weak(F.col("t")), t="There is NOT enough information here") is True
+    reason = lambda q, weak: one(spark, E.rewrite_reason(F.col("q"), ["transcript", "workshop"], F.lit(weak), 5), q=q)
+    assert [reason("a b c d e", False), reason("The Workshop", False), reason("plain", True), reason("plain", False), reason("  ", True)] == ["long_query", "transcript_keyword", "weak_signal", "none", "none"]
+    assert one(spark, E.is_transient(F.lit(404), F.col("e")), e="ReadTimeout") is True and one(spark, E.is_retryable(F.col("c")), c="decode_failed") is False
     assert one(spark, E.size_request(F.col("n")), n=100) == 184
 
 

@@ -6,6 +6,7 @@ import hashlib
 import html
 import json
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -14,14 +15,23 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 INVISIBLE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff￾￿]")
+#: Patterns of personal data, first words of a question that are no name, words without content.
 PII = (
-    ("EMAIL", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")),
-    ("PHONE", re.compile(r"(?<!\d)(?:\+?\d{1,2}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)")),
-    ("SSN", re.compile(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)")),
-    ("CARD", re.compile(r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)")),
-    ("IP", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])")),
+    ("email", re.compile(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")),
+    ("phone", re.compile(r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b")),
+    ("ssn", re.compile(r"\b\d{3}-\d{2}-\d{4}\b")),
+    ("cc", re.compile(r"\b(?:\d{4}[-.\s]?){3}\d{4}\b")),
+    ("ip", re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")),
 )
-STOPWORDS = frozenset("a an and are as at be by can did do does for from had has have how i in is it its of on or that the their this to was were what when where which who why will with you your".split())
+NAME = re.compile(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b")
+ASKING = frozenset("What How When Where Why Which Who List Show Find Compare Extract Summarize".split())
+STOPWORDS = frozenset(
+    "a about an and are as at be been but by can could did do does for from had has have how i if in into is it its me my no not of on or our please say said she should so "
+    "summarize tell than that the their them then there these they this those to too up us was we were what when where which who why will with would you your".split()
+)
+TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9'\-]*")
+QUOTED = re.compile(r"[\"']([^\"']{2,})[\"']")
+PROPER = re.compile(r"[A-Z][A-Za-z0-9'\-]+")
 
 
 def sanitize(text: str) -> str:
@@ -30,22 +40,34 @@ def sanitize(text: str) -> str:
 
 
 def anonymize(text: str, salt: str = "veldspar") -> str:
-    """Personal data as <KIND_xxxx>: the same value always gets the same four hex digits."""
+    """Personal data as KIND_HHHH: the same value always gets the same four hex digits. Names are runs of three words or more."""
+    mask = lambda kind, value: f"{kind.upper()}_{hashlib.sha256(f'{salt}:{kind}:{value}'.encode()).hexdigest()[:4].upper()}"
     for kind, pattern in PII:
-        text = pattern.sub(lambda m, k=kind: f"<{k}_{hashlib.sha256((salt + m[0]).encode()).hexdigest()[:4]}>", text)
-    return text
+        text = pattern.sub(lambda m, k=kind: mask(k, m[0]), text)
+    named = lambda words: len(words) > 2 and words[0] not in ASKING
+    return NAME.sub(lambda m: mask("person", m[0]) if named(m[0].split()) else m[0], text)
+
+
+def keywords(query: str, most: int = 10) -> tuple[list[str], list[str]]:
+    """(high, low): content words; and quoted phrases, a query of up to 8 words, runs of names and numbers, in this order."""
+    query = query.strip()
+    low = [p.strip() for p in QUOTED.findall(query)] + ([query] if 0 < len(query.split()) <= 8 else [])
 
+    def kind(numbered: tuple[int, str]) -> str:
+        at, token = numbered
+        if token[0].isdigit():
+            return "number"
+        return "name" if at and PROPER.fullmatch(token) and token.lower() not in STOPWORDS else "word"
 
-def keywords(query: str, most: int = 10) -> list[str]:
-    """Quoted phrases, runs of capitalised words, numbers, then content words; each once."""
-    found = [a or b for a, b in re.findall(r'"([^"]{1,80})"|“([^”]{1,80})”', query)]
-    found += [m for m in re.findall(r"\b[A-Z][\w-]*(?:\s+[A-Z][\w-]*){0,3}", query) if m.lower() not in STOPWORDS]
-    found += re.findall(r"\b\d[\d.,%-]*\d\b|\b\d\b", query)
-    found += [w for w in re.findall(r"[\w-]{4,}", query.lower()) if w not in STOPWORDS]
-    seen: dict[str, str] = {}
-    for x in found:
-        seen.setdefault(x.strip().lower(), x.strip())
-    return [x for k, x in seen.items() if k][:most]
+    high: list[str] = []
+    for k, run in groupby(enumerate(TOKEN.findall(query)), kind):
+        tokens = [t for _, t in run]
+        if k == "word":
+            high += [t.lower() for t in tokens if len(t) > 1 and t.lower() not in STOPWORDS]
+        else:
+            low += [" ".join(tokens)] if k == "name" else tokens
+    once = lambda items: list({x.lower(): x for x in reversed(items) if x}.values())[::-1][:most]
+    return once(high), once(low)
 
 
 def json_object(text: str, last: bool = False) -> str | None:
@@ -104,7 +126,14 @@ def anonymized(text: Column) -> Column:
 
 
 def keyword_list(text: Column) -> Column:
-    return _text_udf(keywords, "array<string>")(text)
+    """Struct of two arrays, high and low."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("high array<string>, low array<string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([keywords(x or "") for x in s], columns=["high", "low"])
+
+    return run(text)
 
 
 def salvaged_json(text: Column, last: bool = False) -> Column:

@@ -94,11 +94,12 @@ def basename(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Lower case, \\ as /, empty and . parts out, .. takes the part before it."""
-    parts = F.split(F.lower(F.regexp_replace(path, r"\\", "/")), "/")
+    """Trimmed, lower case, empty and . parts out, .. takes the part before it; a leading / stays, nothing left gives null."""
+    low = F.lower(F.trim(path))
     empty = F.array().cast("array<string>")
-    walked = F.aggregate(parts, empty, lambda acc, p: F.when((p == "") | (p == "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == "..", acc).otherwise(F.array_append(acc, p)))
-    return F.array_join(walked, "/")
+    walked = F.aggregate(F.split(low, "/"), empty, lambda acc, p: F.when((p == "") | (p == "."), acc).when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
+    left = F.array_join(walked, "/")
+    return F.when(left != "", F.concat(F.when(low.startswith("/"), "/").otherwise(""), left))
 
 
 def query_terms(query: Column, more_than: int = 3, most: int = 6) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,30 +12,35 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-#: HTTP codes worth another try, answers that say nothing.
+#: HTTP codes and exceptions worth another try, error codes that are not, answers that say nothing.
 TRANSIENT = (408, 429, 500, 502, 503, 504)
-WEAK = ("i don't know", "i do not know", "no relevant", "not enough information", "cannot find", "unable to answer")
+TRANSIENT_EXCEPTIONS = ("ConnectError", "ConnectTimeout", "PoolTimeout", "ReadError", "ReadTimeout", "RemoteProtocolError", "RequestError", "TimeoutException", "WriteError", "WriteTimeout")
+FINAL_CODES = ("decode_failed", "lightrag_processing_failed", "submit_terminal_failed", "track_status_failed")
+WEAK = ("not enough information", "do not have enough information")
 
 
-def is_transient(code: Column) -> Column:
-    return F.coalesce(code.isin(*TRANSIENT), F.lit(False))
+def is_transient(code: Column, exception: Column | None = None) -> Column:
+    """Worth another try, by HTTP code or by the exception's class name."""
+    said = F.coalesce(code.isin(*TRANSIENT), F.lit(False))
+    return said if exception is None else said | F.coalesce(exception.isin(*TRANSIENT_EXCEPTIONS), F.lit(False))
+
+
+def is_retryable(error_code: Column) -> Column:
+    """A failure with a code that isn't final."""
+    return F.coalesce((error_code != "") & ~error_code.isin(*FINAL_CODES), F.lit(False))
 
 
 def is_weak(answer: Column) -> Column:
     low = F.lower(F.coalesce(answer, F.lit("")))
-    weak = F.trim(low) == ""
-    for phrase in WEAK:
-        weak = weak | low.contains(phrase)
-    return weak
-
-
-def rewrite_reason(question: Column, answer: Column, keywords: Sequence[str], least_words: int = 20) -> Column:
-    """Why a question is asked in several forms: long_query, keyword or weak_answer, the first that holds; else null."""
-    said = F.lit(False)
-    for k in keywords:
-        said = said | F.lower(question).contains(k.lower())
-    words = F.regexp_count(question, F.lit(r"[^\x20\x09-\x0D]+"))
-    return F.when(words >= least_words, "long_query").when(said, "keyword").when(is_weak(answer), "weak_answer")
+    return reduce(lambda a, b: a | b, (low.contains(phrase) for phrase in WEAK))
+
+
+def rewrite_reason(question: Column, keywords: Sequence[str], weak: Column, least_words: int = 20) -> Column:
+    """Why a question is asked in several forms, the first that holds: long_query, transcript_keyword, weak_signal; else none."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    said = reduce(lambda a, b: a | b, (low.contains(k) for k in keywords), F.lit(False))
+    words = F.regexp_count(low, F.lit(r"\S+"))
+    return F.when(words == 0, "none").when(words >= least_words, "long_query").when(said, "transcript_keyword").when(weak, "weak_signal").otherwise("none")
 
 
 def rewrite_problem(original: Column, text: Column, most: int = 600) -> Column:

@@ -147,8 +147,12 @@ def pick_duplicates(docs: DataFrame, by_company: bool = False) -> DataFrame:
 def guarded_upsert(registry: DataFrame, incoming: DataFrame, key: str = "path", keep: Sequence[str] = ("document_id", "created_at", "retry_count"), prefer_old: Sequence[str] = ("submitted_source",)) -> DataFrame:
     """Registry after an upsert on ``key``: illegal status moves leave the old row as it was.
 
-    Columns in ``keep`` keep the old value, those in ``prefer_old`` too unless it is null.
+    Columns in ``keep`` keep the old value, those in ``prefer_old`` too unless it is null. Of
+    incoming rows of one key the last by updated_at counts, then by the rest of the row.
     """
+    last = [F.col("updated_at").desc_nulls_last()] if "updated_at" in incoming.columns else []
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*last, *[F.col(c).desc_nulls_last() for c in registry.columns if c not in (key, "updated_at")]))
+    incoming = incoming.where(F.col(key).isNotNull()).withColumn("_nth", nth).where("_nth = 1")
     new = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in registry.columns])
     joined = registry.withColumn("_old", F.lit(True)).join(new, F.col(key) == F.col(f"_new_{key}"), "full_outer")
     hit = F.col(f"_new_{key}").isNotNull() & is_legal(F.col("status"), F.col("_new_status"))

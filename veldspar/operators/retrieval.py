@@ -7,15 +7,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_path
 from ..runtime import ship
 
 
 def first_occurrences(citations: DataFrame, order: list[str], path: str, content: str, within: list[str]) -> DataFrame:
-    """Ranked citations without repeats: first by path, then by content; null content is never a repeat."""
-    by_path = Window.partitionBy(*within, path).orderBy(*order)
-    once = citations.withColumn("_n", F.row_number().over(by_path)).where("_n = 1")
-    by_content = Window.partitionBy(*within, content).orderBy(*order)
-    return once.withColumn("_n", F.row_number().over(by_content)).where((F.col("_n") == 1) | F.col(content).isNull()).drop("_n")
+    """Ranked citations without repeats: first by normalised path, then by trimmed content; blank ones are never a repeat."""
+    named = citations.withColumn("_path", normal_path(F.col(path))).withColumn("_content", F.nullif(F.trim(content), F.lit("")))
+    once = named
+    for c in ("_path", "_content"):
+        nth = F.row_number().over(Window.partitionBy(*within, c).orderBy(*order))
+        once = once.withColumn("_n", nth).where((F.col("_n") == 1) | F.col(c).isNull())
+    return once.drop("_path", "_content", "_n")
 
 
 def ownership(references: DataFrame, registry: DataFrame) -> DataFrame:
@@ -57,10 +60,31 @@ def rerank(citations: DataFrame, scores: DataFrame, key: list[str], within: list
     return j.withColumn("new_rank", F.row_number().over(w))
 
 
-def fill(blocks: DataFrame, size: Column, most: int, within: list[str], order: list[str]) -> DataFrame:
-    """The ranked prefix that fits: the first block that doesn't closes the fill."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= most)
+#: Fixed value: what stands at the end of a block that was cut.
+CUT = "[... material cut here by the gateway context cap ...]"
+
+
+def cut_block(block: Column, most: int) -> Column:
+    """A block cut to ``most`` characters at the end of a line after its first, with a mark."""
+    head = F.substring(block, 1, max(0, most - len(CUT) - 1))
+    last = F.length(head) - F.instr(F.reverse(head), "\n")
+    # the first line names the source and never stands alone
+    whole = F.when((F.instr(head, "\n") > 0) & (last >= F.instr(block, "\n")), head.substr(F.lit(1), last)).otherwise(head)
+    return F.substring(F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n" + CUT)), 1, most)
+
+
+def fill(blocks: DataFrame, size: Column, most: int, within: list[str], order: list[str], text: str | None = None) -> DataFrame:
+    """The ranked prefix that fits: the first block that doesn't closes the fill.
+
+    With ``text``, a top block that alone exceeds ``most`` is kept, cut to it.
+    """
+    w = Window.partitionBy(*within).orderBy(*order)
+    filled = blocks.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if text is None:
+        return filled.where(F.col("used") <= most)
+    filled = filled.withColumn("_n", F.row_number().over(w)).where((F.col("used") <= most) | (F.col("_n") == 1))
+    shown = F.when(F.col("used") > most, cut_block(F.col(text), most)).otherwise(F.col(text))
+    return filled.withColumn(text, shown).withColumn("used", F.when(F.col("used") > most, F.length(text).cast("long")).otherwise(F.col("used"))).drop("_n")
 
 
 def top_k(df: DataFrame, within: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -68,14 +92,21 @@ def top_k(df: DataFrame, within: list[str], order: list[Column], k: int, rank: s
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col(rank) <= k)
 
 
+#: Tokens of all probes that are broadcast at most.
+PROBE_TOKENS = 1_000_000
+
+
 def jaccard_top_k(docs: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(probe_id, doc_id, score, rank): by token sets, meeting on shared tokens only.
 
-    ``docs`` (doc_id, tokens) and ``probes`` (probe_id, tokens) hold distinct tokens. Token
-    matches are counted before they are shuffled, so a frequent token makes no hot group.
+    ``docs`` (doc_id, tokens) and ``probes`` (probe_id, tokens) hold distinct tokens. Probes of up
+    to PROBE_TOKENS tokens are broadcast: matches are then counted within a document's own
+    task before anything is shuffled, and a frequent token makes no hot group. More of them
+    meet the documents by a shuffle on the token.
     """
     a = docs.select("doc_id", F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
     b = probes.select("probe_id", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
+    b = F.broadcast(b) if probes.agg(F.sum(F.size("tokens"))).first()[0] in range(PROBE_TOKENS + 1) else b
     both = a.join(b, "t").groupBy("probe_id", "doc_id", "na", "nb").agg(F.count("*").alias("n"))
     scored = both.select("probe_id", "doc_id", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("score"))
     return top_k(scored, ["probe_id"], [F.col("score").desc(), F.col("doc_id")], k)
@@ -89,8 +120,8 @@ def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, block: int = 1638
     """
     ship(vectors.sparkSession)
     clean = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), is_query.alias("q"))
-    n = clean.count()
-    rows_n, sets = max(1, -(-n // block)), max(1, -(-n // (4 * block)))
+    n, asked = clean.agg(F.count("*"), F.count_if("q")).first()
+    rows_n, sets = max(1, -(-n // block)), max(1, -(-asked // (4 * block)))
     left = clean.where("q").select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(rows_n - 1))).alias("b"))
     right = clean.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(rows_n)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
 
@@ -105,10 +136,38 @@ def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, block: int = 1638
                 s = np.divide(x[at : at + 256] @ y.T, den, out=np.zeros_like(den), where=den > 0)
                 for i, row in enumerate(s):
                     row[ids == a["vec_id"].iloc[at + i]] = -np.inf
-                    best = np.lexsort((ids, -row))[:k]
+                    best = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                    best = best[np.lexsort((ids[best], -row[best]))][:k]
                     best = best[np.isfinite(row[best])]
                     out.append(pd.DataFrame({"query_id": a["vec_id"].iloc[at + i], "vec_id": ids[best], "score": row[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+
+
+def credit(units: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(probe, quote_id, grade, rank, seam): each quote at the first unit that holds it; rank is null where none does.
+
+    ``units`` has (probe, rank, text), ``quotes`` (probe, quote_id, quote, grade). White space and
+    case don't count. A quote that no unit holds may run over the seam of two neighbours, and
+    then counts at the later one. Quotes meet the units of their own probe only.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    after = Window.partitionBy("probe").orderBy("rank")
+    u = units.select("probe", "rank", plain(F.col("text")).alias("_t")).withColumn("_both", F.concat_ws(" ", F.lag("_t").over(after), "_t"))
+    j = quotes.withColumn("_q", plain(F.col("quote"))).join(u, "probe", "left")
+    found = j.groupBy("probe", "quote_id", "grade").agg(F.min(F.when(F.contains("_t", "_q"), F.col("rank"))).alias("whole"), F.min(F.when(F.contains("_both", "_q"), F.col("rank"))).alias("over"))
+    return found.select("probe", "quote_id", "grade", F.coalesce("whole", "over").alias("rank"), (F.col("whole").isNull() & F.col("over").isNotNull()).alias("seam"))
+
+
+def unit_grades(credited: DataFrame) -> DataFrame:
+    """(probe, rank, grade): the grade of a unit is the best of the quotes credited to it."""
+    return credited.where("rank is not null").groupBy("probe", "rank").agg(F.max("grade").alias("grade"))
+
+
+def retrieval_aggregate(credited: DataFrame, ks: list[int], by: list[str] = ()) -> DataFrame:
+    """Over all probes, or for each value of ``by``: recall at each k, reciprocal rank of the first hit, share located, share on seams."""
+    each = credited.groupBy("probe", *by).agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.count("rank").alias("found"), F.count_if("seam").alias("seams"), *[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in ks])
+    rates = [F.avg(F.col(f"hits_{k}") / F.col("n")).alias(f"recall_{k}") for k in ks]
+    return each.groupBy(*by).agg(F.count("*").alias("probes"), *rates, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), (F.sum("found") / F.sum("n")).alias("located"), (F.sum("seams") / F.sum("n")).alias("on_seams"))

@@ -27,11 +27,12 @@ SELECT CAST(sum(n) AS BIGINT) AS texts, count(*) AS distinct_texts, count(*) FIL
 
 def rewrite_triggers(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").where("role = 'user'")
-    reason = E.rewrite_reason(F.col("text"), F.lit("Sorry, I don't know."), ["the", "transcript"])
-    return c.select("conv_id", "turn", F.coalesce(reason, F.lit("none")).alias("reason"), E.rewrite_problem(F.col("text"), F.substring("text", 1, 700)).alias("problem"))
+    answer = F.when(F.col("turn") % 4 == 0, "I do not have enough information.").otherwise("Sorry, I don't know.")
+    reason = E.rewrite_reason(F.col("text"), ["workshop", "the ", "transcript"], E.is_weak(answer), 40)
+    return c.select("conv_id", "turn", reason.alias("reason"), E.rewrite_problem(F.col("text"), F.substring("text", 1, 700)).alias("problem"))
 
 
-TRIGGERS = r"""SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 20 THEN 'long_query' WHEN contains(lower(text), 'the') OR contains(lower(text), 'transcript') THEN 'keyword' ELSE 'weak_answer' END AS reason,
+TRIGGERS = r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'none' WHEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 40 THEN 'long_query' WHEN contains(lower(text), 'the ') OR contains(lower(text), 'transcript') OR contains(lower(text), 'workshop') THEN 'transcript_keyword' WHEN turn % 4 = 0 THEN 'weak_signal' ELSE 'none' END AS reason,
   CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) <= 700 THEN 'same' ELSE 'too_long' END AS problem FROM conversations WHERE role = 'user'"""
 
 

@@ -106,12 +106,55 @@ TOP_K = f"WITH {CITE}, r AS (SELECT query_id, rank, row_number() OVER (PARTITION
 
 
 def context_budget(spark, sf_dir):
-    """Turns of a conversation as ranked blocks, filled up to 2000 characters."""
-    c = _t(spark, sf_dir, "conversations")
-    return V.fill(c, F.length("text") + 10, 2000, ["conv_id"], ["turn"]).select("conv_id", "turn", "used")
+    """Turns of a conversation as ranked blocks, filled up to 400 characters; a longer first one is cut."""
+    c = _t(spark, sf_dir, "conversations").withColumn("block", F.concat(F.lit("Source: "), F.col("role"), F.lit("\n"), F.col("text")))
+    return V.fill(c, F.length("block"), 400, ["conv_id"], ["turn"], "block").select("conv_id", "turn", "block", "used")
+
+
+BUDGET = f"""WITH b AS (SELECT conv_id, turn, 'Source: ' || role || chr(10) || text AS block FROM conversations),
+r AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, substr(block, 1, {400 - len(V.CUT) - 1}) AS head FROM b),
+k AS (SELECT *, length(head) - instr(reverse(head), chr(10)) AS last FROM r WHERE used <= 400 OR n = 1),
+s AS (SELECT conv_id, turn, used, CASE WHEN used > 400 THEN substr(regexp_replace(CASE WHEN instr(head, chr(10)) > 0 AND last >= instr(block, chr(10)) THEN substr(head, 1, last) ELSE head END, '\\s+$', '') || chr(10) || '{V.CUT}', 1, 400) ELSE block END AS block FROM k)
+SELECT conv_id, turn, block, CASE WHEN used > 400 THEN length(block) ELSE used END AS used FROM s"""
+
+
+def _quotes(spark, sf_dir):
+    """Pieces of a conversation's turns as quotes: from one turn, over the seam of two, and from another conversation."""
+    c = _t(spark, sf_dir, "conversations").where("text is not null").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    own = c.where("turn % 2 = 1").select(F.col("conv_id").alias("probe"), F.col("turn").alias("quote_id"), F.substring("text", 5, 30).alias("quote"), F.lit(2).alias("grade"))
+    over = c.where("turn % 4 = 0 and next is not null").select(F.col("conv_id").alias("probe"), (F.col("turn") + 1000).alias("quote_id"), F.concat(F.right("text", F.lit(12)), F.lit(" "), F.left("next", F.lit(12))).alias("quote"), F.lit(1).alias("grade"))
+    other = c.where("turn = 0").select((F.col("conv_id") + 1).alias("probe"), F.lit(5000).cast("long").alias("quote_id"), F.substring("text", 1, 60).alias("quote"), F.lit(1).alias("grade"))
+    units = c.select(F.col("conv_id").alias("probe"), (F.col("turn") + 1).alias("rank"), "text")
+    return V.credit(units, own.unionByName(over).unionByName(other))
+
+
+def quote_credit(spark, sf_dir):
+    return _quotes(spark, sf_dir).select("probe", "quote_id", "rank", "seam", "grade")
+
+
+def unit_grades(spark, sf_dir):
+    return V.unit_grades(_quotes(spark, sf_dir))
+
+
+def retrieval_report(spark, sf_dir):
+    """By grade of the quotes."""
+    found = V.retrieval_aggregate(_quotes(spark, sf_dir), [1, 3], ["grade"])
+    return found.select("grade", "probes", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "mrr", "located", "on_seams")])
 
 
-BUDGET = "WITH r AS (SELECT conv_id, turn, CAST(sum(length(text) + 10) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS used FROM conversations) SELECT * FROM r WHERE used <= 2000"
+_CREDIT = r"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT conv_id AS probe, turn AS quote_id, substr(text, 5, 30) AS quote, 2 AS grade FROM c WHERE turn % 2 = 1
+  UNION ALL SELECT conv_id, turn + 1000, right(text, 12) || ' ' || left(next, 12), 1 FROM c WHERE turn % 4 = 0 AND next IS NOT NULL
+  UNION ALL SELECT conv_id + 1, 5000, substr(text, 1, 60), 1 FROM c WHERE turn = 0),
+u AS (SELECT conv_id AS probe, turn + 1 AS rank, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM c),
+w AS (SELECT *, concat_ws(' ', lag(t) OVER (PARTITION BY probe ORDER BY rank), t) AS two FROM u),
+f AS (SELECT q.probe, quote_id, grade, min(rank) FILTER (WHERE contains(t, p)) AS whole, min(rank) FILTER (WHERE contains(two, p)) AS over_
+  FROM (SELECT *, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS p FROM q) q LEFT JOIN w ON q.probe = w.probe GROUP BY ALL),
+credited AS (SELECT probe, quote_id, grade, coalesce(whole, over_) AS rank, whole IS NULL AND over_ IS NOT NULL AS seam FROM f)"""
+CREDIT = f"{_CREDIT} SELECT probe, quote_id, rank, seam, grade FROM credited"
+UNIT_GRADES = f"{_CREDIT} SELECT probe, rank, max(grade) AS grade FROM credited WHERE rank IS NOT NULL GROUP BY ALL"
+REPORT = f"""{_CREDIT}, e AS (SELECT probe, grade, count(*) AS n, min(rank) AS first_, count(rank) AS found, count(*) FILTER (WHERE seam) AS seams, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 3) AS h3 FROM credited GROUP BY ALL)
+SELECT grade, count(*) AS probes, round(avg(h1 / n), 6) AS recall_1, round(avg(h3 / n), 6) AS recall_3, round(avg(coalesce(1 / first_, 0)), 6) AS mrr, round(sum(found) / sum(n), 6) AS located, round(sum(seams) / sum(n), 6) AS on_seams FROM e GROUP BY grade"""
 
 
 def token_budget_recall(spark, sf_dir):
@@ -281,12 +324,12 @@ def paired_bootstrap(spark, sf_dir):
 
 QUERIES = {
     "scoped_context": scoped_context, "citation_dedupe": citation_dedupe, "citation_owners": citation_owners, "scope_filter": scope_filter, "rerank_order": rerank_order,
-    "rerank_prefix": rerank_prefix, "citation_top_k": citation_top_k, "context_budget": context_budget, "token_budget_recall": token_budget_recall, "cosine_topk": cosine_topk,
+    "rerank_prefix": rerank_prefix, "citation_top_k": citation_top_k, "context_budget": context_budget, "quote_credit": quote_credit, "unit_grades": unit_grades, "retrieval_report": retrieval_report, "token_budget_recall": token_budget_recall, "cosine_topk": cosine_topk,
     "jaccard_topk": jaccard_topk, "ngram_leakage": ngram_leakage, "ranking_metrics": ranking_metrics, "graded_recall": graded_recall, "percentile_rules": percentile_rules,
     "verdict_rates": verdict_rates, "ab_gate": ab_gate, "paired_arms": paired_arms, "paired_bootstrap": paired_bootstrap,
 }
 ORACLE = {
     "scoped_context": CONTEXT, "citation_dedupe": DEDUPE, "citation_owners": OWNERS, "scope_filter": SCOPE, "rerank_order": RERANK, "rerank_prefix": RERANK_PREFIX, "citation_top_k": TOP_K,
-    "context_budget": BUDGET, "token_budget_recall": TOKENS, "cosine_topk": COSINE, "jaccard_topk": JACCARD, "ngram_leakage": LEAKAGE, "ranking_metrics": RANKING, "graded_recall": RECALL,
+    "context_budget": BUDGET, "quote_credit": CREDIT, "unit_grades": UNIT_GRADES, "retrieval_report": REPORT, "token_budget_recall": TOKENS, "cosine_topk": COSINE, "jaccard_topk": JACCARD, "ngram_leakage": LEAKAGE, "ranking_metrics": RANKING, "graded_recall": RECALL,
     "percentile_rules": PERCENTILES, "verdict_rates": VERDICTS, "ab_gate": AB, "paired_arms": PAIRED,
 }

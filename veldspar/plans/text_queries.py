@@ -74,7 +74,7 @@ SELECT p_partkey, CASE WHEN blank THEN 'no_evidence' WHEN asks AND NOT knows THE
 
 def keyword_fallback(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.array_join(P.keyword_list(F.col("text")), "|").alias("keywords"))
+    return c.select("conv_id", "turn", P.keyword_list(F.col("text")).alias("k")).select("conv_id", "turn", F.array_join("k.high", "|").alias("high"), F.array_join("k.low", "|").alias("low"))
 
 
 def companies_detected(spark, sf_dir):
