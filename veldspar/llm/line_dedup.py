@@ -25,21 +25,26 @@ ROWS, BANDS, APART = 4, 12, 22
 #: Words of fewer bytes count together with the word after them.
 SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
-CAP, BLOCK, KEYS = 16384, 512, 1_000_000
-_RNG = np.random.default_rng(5)
-BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+CAP, BLOCK, KEYS = 16384, 256, 1_000_000
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+BLANKS = re.compile(" {2,}")
+#: ASCII at once: lower case, anything but letters, digits and line ends as a space.
+PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c == 10 else 32 for c in range(256))
 MARKS = re.compile(r"[^\w\n ]+|_+")
 #: Ideographs and kana: each counts as a word.
 CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def normal(text: str) -> str:
-    """Lower case, anything but letters and digits as spaces, ideographs and kana as words; lines stay lines."""
-    plain = MARKS.sub(" ", text.lower())
-    return plain if plain.isascii() else CJK.sub(r" \g<0> ", plain)
+    """Lower case, anything but letters and digits as one space, ideographs and kana as words; lines stay lines."""
+    if text.isascii():
+        plain = text.encode().translate(PLAIN).decode()
+    else:
+        plain = CJK.sub(r" \g<0> ", MARKS.sub(" ", text.lower()))
+    return BLANKS.sub(" ", plain)
 
 
 def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[int, int, str | None]]:
@@ -49,9 +54,8 @@ def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[in
     key is that of exactly their words, or marks.
     """
     for pos, (plain, raw) in enumerate(zip(normal(text).split("\n"), text.split("\n"), strict=True) if text else ()):
-        words = plain.split()
-        line = " ".join(words)
-        if len(words) >= min_words:
+        line = plain.strip()
+        if line.count(" ") >= min_words - 1:
             yield pos, signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))), line
         elif short and (line or raw.strip()):
             yield pos, signed(xxhash.xxh64_intdigest((line or raw.strip()).encode("utf-8", "surrogatepass"), 1)), None
@@ -66,15 +70,17 @@ def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sizes): one 64-bit hash for each word of the normalised lines, and the number of words of each line.
 
     A word of fewer than SHORT bytes is hashed with the word after it, so that "of", "the" and
-    single ideographs don't make unlike lines meet. All words of a chunk are hashed at once.
+    single ideographs don't make unlike lines meet. A word is told by its length and its first
+    and last eight bytes; all words of a chunk are hashed at once.
     """
-    byte = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    whole = ("\n".join(lines) + "\n").encode("utf-8", "surrogatepass") + b"\0" * 8
+    byte = np.frombuffer(whole, np.uint8)[:-8]
+    eight = np.ndarray(len(byte), "<u8", whole, strides=(1,))  # the eight bytes from each place on
     ends = np.flatnonzero((byte == 32) | (byte == 10))
     starts = np.r_[0, ends[:-1] + 1]
     length = ends - starts
-    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(length.max(), 0xD6E8FEB86659FD93, np.uint64)])
-    place = np.arange(len(byte)) - np.repeat(starts, length + 1)
-    h = _mixed(np.add.reduceat(BYTE[byte] * power[place], starts))
+    tail = np.where(length > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+    h = _mixed((eight[starts] & KEEP[np.minimum(length, 8)]) + _mixed(tail + length.astype(np.uint64)))
     last = byte[ends] == 10
     joined = (length < SHORT) & ~last
     h[joined] = _mixed(h[joined] * np.uint64(3) + h[np.flatnonzero(joined) + 1])
@@ -153,11 +159,11 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "fp"])
 
 
-def cells_of(lines: list[str], radius: int) -> np.ndarray:
-    """Keys of the bands and pigeonhole blocks of each line."""
+def cells_of(lines: list[str], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of each line, and the keys of its bands and pigeonhole blocks."""
     masks = np.array([signed(m) for m in block_masks(radius)])
     fp, band = prints(lines)
-    return np.concatenate([band.astype(np.int64) + (np.arange(BANDS) << 32), (fp[:, None] & masks) ^ (np.arange(len(masks)) << 8) ^ (1 << 40)], axis=1)
+    return fp.view(np.uint64), np.concatenate([band.astype(np.int64) + (np.arange(BANDS) << 32), (fp[:, None] & masks) ^ (np.arange(len(masks)) << 8) ^ (1 << 40)], axis=1)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +171,7 @@ def _cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            cell = cells_of(part.column(1).to_pylist(), radius)
+            _, cell = cells_of(part.column(1).to_pylist(), radius)
             of = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
             nth = pa.array(np.tile(np.arange(cell.shape[1], dtype=np.int32), len(cell)))
             yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), nth, part.column(0).take(of), part.column(1).take(of)], names=["cell", "nth", "set", "line"])
@@ -211,16 +217,25 @@ def _distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit similarity is at least ``similarity``; words changed in place are seen without a search."""
-    longest = max(len(a), len(b))
-    most = math.floor((1 - similarity) * longest + 1e-9)
+def _in_place(a: str, b: str, similarity: float) -> bool | None:
+    """Whether two lines are similar enough, as far as lengths and words changed in place tell."""
+    most = _most(a, b, similarity)
     if abs(len(a) - len(b)) > most:
         return False
     left, right = a.split(" "), b.split(" ")
     if len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right, strict=True) if x != y) <= most:
         return True
-    return edit_similarity(a, b, most) >= similarity - 1e-9
+    return None
+
+
+def _most(a: str, b: str, similarity: float) -> int:
+    return math.floor((1 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit similarity is at least ``similarity``."""
+    said = _in_place(a, b, similarity)
+    return edit_similarity(a, b, _most(a, b, similarity)) >= similarity - 1e-9 if said is None else said
 
 
 def _shared(a: str, b: str, most: int, front: bool) -> int:
@@ -254,20 +269,21 @@ def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) ->
     return fine
 
 
-def verified(lines: list[str], sets: np.ndarray, sides: np.ndarray, similarity: float, before: np.ndarray) -> list[tuple[int, int]]:
+def verified(lines: list[str], sets: np.ndarray, sides: np.ndarray, nth: int, radius: int, similarity: float) -> list[tuple[int, int]]:
     """Positions of lines that are similar enough and join different ``sets``, as few as join them.
 
-    Sides tell which lines are compared: 0 with 1, 2 with 2. Lines that share a value of
-    ``before``, column by column, are compared elsewhere. Bags of characters rule out most.
+    Sides tell which lines are compared: 0 with 1, 2 with 2. Only candidates are: lines whose
+    SimHashes differ in at most APART bits and that share a cell, none before the ``nth``.
     """
     out, label = [], sets.copy()
+    fp, cell = cells_of(lines, radius)
     sizes, bags = np.array([len(x) for x in lines]), _bags(lines)
     for i in np.flatnonzero(sides != 1):
         ahead = np.flatnonzero((sides == 1) & (label != label[i])) if sides[i] == 0 else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        ahead = ahead[~(before[ahead] == before[i]).any(1)]
-        if not len(ahead):
-            continue
-        for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)]:
+        ahead = ahead[np.bitwise_count(fp[ahead] ^ fp[i]) <= APART]
+        shared = cell[ahead] == cell[i]
+        ahead = ahead[shared[:, nth:].any(1) & ~shared[:, :nth].any(1)]
+        for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)] if len(ahead) else ():
             if label[j] != label[i] and alike(lines[i], lines[j], similarity):
                 out.append((int(i), int(j)))
                 label[label == label[j]] = label[i]
@@ -282,9 +298,7 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -
     own, last = [], None
 
     def done() -> pa.RecordBatch:
-        lines, nth = [r[3] for r in own], own[0][4]
-        before = cells_of(lines, radius)[:, :nth] if nth else np.empty((len(lines), 0), np.int64)
-        found = verified(lines, np.array([r[2] for r in own]), np.array([r[1] for r in own]), similarity, before)
+        found = verified([r[3] for r in own], np.array([r[2] for r in own]), np.array([r[1] for r in own]), own[0][4], radius, similarity)
         return pa.RecordBatch.from_arrays([pa.array([own[x[k]][2] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
@@ -303,9 +317,14 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-            near = _near(_bags(left), _bags(right), np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)]), similarity)
-            same = [bool(n) and alike(x, y, similarity) for n, x, y in zip(near, left, right, strict=True)]
+            pairs = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+            same = [_in_place(x, y, similarity) for x, y in pairs]
+            rest = [i for i, s in enumerate(same) if s is None]
+            if rest:
+                left, right = zip(*(pairs[i] for i in rest), strict=True)
+                near = _near(_bags(left), _bags(right), np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)]), similarity)
+                for i, n in zip(rest, near, strict=True):
+                    same[i] = bool(n) and alike(*pairs[i], similarity)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
 
@@ -365,9 +384,10 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     some = cut(hashed.where("bands is not null").join(keys, "key").groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at")).select("key", F.col("at.doc").alias("_doc"), F.col("at.pos").alias("_pos")))
     read = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("_text"))
     holders = some.select(F.col("_doc").alias("doc")).distinct()
-    read = read.join(F.broadcast(holders) if some.count() <= KEYS else holders, "doc", "left_semi")
-    raw = read.select("doc", F.posexplode(F.split("_text", "\n")).alias("pos", "raw")).join(some, (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_pos")))
-    plain = F.pandas_udf(lambda x: x.map(lambda t: " ".join(normal(t).split())), "string")
+    few = some.count() <= KEYS
+    read = read.join(F.broadcast(holders) if few else holders, "doc", "left_semi")
+    raw = read.select("doc", F.posexplode(F.split("_text", "\n")).alias("pos", "raw")).join(F.broadcast(some) if few else some, (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_pos")))
+    plain = F.pandas_udf(lambda x: x.map(lambda t: normal(t).strip()), "string")
     text = keep(raw.groupBy("key").agg(F.first("raw").alias("raw")).select("key", plain("raw").alias("line")))
     lines, others = text.select(F.col("key").alias("a"), "line"), text.select(F.col("key").alias("b"), F.col("line").alias("other"))
     tried = cut(edges.join(lines, "a").join(others, "b").select("a", "b", "line", "other").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint, same boolean"))
