@@ -172,7 +172,7 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
     counts = (Counter(), Counter())
     for i in own:
         counts[int(toxic[i])].update(docs[i])
-    vocabulary = list(counts[0].keys() | counts[1].keys())
+    vocabulary = sorted(counts[0].keys() | counts[1].keys())  # the same machine in every run
     place = {w: k for k, w in enumerate(vocabulary)}
     bad = np.array([counts[1][w] for w in vocabulary], float)
     good = np.array([counts[0][w] for w in vocabulary], float)
@@ -222,7 +222,7 @@ def train(texts: list[str | None], toxic: np.ndarray, landmarks: int = LANDMARKS
                 out[which[at : at + 512]] = np.einsum("nck,c->nk", phi[column[ids[at : at + 512]]], w) if ids.shape[1] < 8 else sum(phi[column[ids[at : at + 512, j]]] * w[j] for j in range(ids.shape[1]))
         return out @ root
 
-    at = [np.fromiter((place[w] for w in docs[i]), np.int64, len(docs[i])) for i in own]
+    at = [np.sort(np.fromiter((place[w] for w in docs[i]), np.int64, len(docs[i]))) for i in own]
     value, machine = first, None
     for _ in range(3):
         tops = [a[value[a].argmax()] if len(a) else -1 for a in at]
