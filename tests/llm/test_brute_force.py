@@ -201,6 +201,24 @@ def test_main_text():
     assert html_text.main_text(page) == "Title here\nFirst paragraph & more, with a link inside it and enough of text.\nShort."
 
 
+ARTICLE = "<h1>The title</h1><p>A text that goes on for a while, as it should.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<form id="aspnetForm"><div class="nav"><a href=x>Home</a></div><div>{ARTICLE}</div><div class="footer">(c)</div></form>',
+        f'<nav>Menu</nav><div class="product-reviews"><article>{ARTICLE}</article></div>',
+        f'<main><div class="search-results-page"><article>{ARTICLE}</article></div></main><aside>x</aside>',
+        '<article><div class="entry-header"><h1>The title</h1></div><p>A text that goes on for a while, as it should.</p></article>',
+        f'<article>{ARTICLE}</article><div class="newsletter"><form><p>Sign up now, it is free.</p></form></div>',
+        f'<article>{ARTICLE}</article><section id="comments"><article><p>{"I loved reading every word of it. " * 9}</p></article></section>',
+    ],
+)
+def test_wrapped_articles(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == "The title\nA text that goes on for a while, as it should."
+
+
 def test_flow_moves_the_least():
     rng = random.Random(3)
     for _ in range(30):

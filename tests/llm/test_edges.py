@@ -89,7 +89,10 @@ def test_sharding(docs, empty):
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert {r.text_crc32 for r in got if r.doc_id == 0} == {0} and {r.text_crc32 for r in got if r.doc_id == 3} == {zlib.crc32(b"one")}
-    assert sharding.attach(docs.drop("shard"), placed).count() == docs.count()
+    whole = sharding.attach(docs.drop("shard"), placed)
+    clash = sharding.attach(docs.drop("shard").withColumns({"Shard": F.lit("x"), "slot": F.lit(-1)}), placed)
+    assert clash.count() == docs.count() and sorted(clash.columns) == sorted(whole.columns)
+    assert sorted((r.shard, r.slot) for r in clash.collect()) == sorted((r.shard, r.slot) for r in got)
     assert sharding.reshard(empty, 5, F.lit(0), 1).count() == 0
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style noscript template iframe textarea svg math object canvas audio video noframes xmp".split())
-NEVER = frozenset("head title nav footer aside form button select option label fieldset dialog menu".split())
+NEVER = frozenset("head title nav footer aside button select option label fieldset dialog menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table article section div body html td th".split())
 BOILERPLATE = re.compile(
@@ -29,6 +30,10 @@ BOILERPLATE = re.compile(
     r"newsletters?|subscribe|subscription|sign-?up|side-?bars?|asides?|menus?|nav|navbar|navigation|breadcrumbs?|headers?|masthead|top-?bar|site-?header|page-?header|footers?|copyright|legal|disclaimer|"
     r"comments?|comment-?list|disqus|repl(?:y|ies)|respond|discussion|reviews?|related|recommend(?:ed|ations?)?|more-?stories|read-?more|shar(?:e|ing)|social|widgets?|toolbar|pagination|pager|login|sign-?in|search|tag-?cloud|skip|hidden|noprint)(?=$|[\s_-])"
 )
+#: Words of BOILERPLATE that name an article's own heading, and those whose element is never a wrapper of the page.
+OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:entry|post|article|story)[\s_-]?headers?(?=$|[\s_-])")
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))headers?(?=$|[\s_-])")
+DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|repl(?:y|ies)|respond|discussion)(?=$|[\s_-])")
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])")
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 TOKEN = re.compile(
@@ -55,27 +60,70 @@ class Block:
         self.text, self.cost, self.parent, self.grandparent = text, cost, parent, grandparent
 
 
-def _opened(name: str, attrs: str, above: tuple) -> tuple:
-    """(name, number, is article, is never content, named content, is link) of an element, given its parent's."""
-    article, never, named, link = above[2] or name == "article" or name == "main", above[3] or name in NEVER, above[4], above[5] or name == "a"
-    never = never or (name == "header" and not above[2])
+class Element(NamedTuple):
+    """What an open element tells of the text in it."""
+
+    name: str
+    number: int = 0
+    article: bool = False
+    never: bool = False
+    named: bool = False
+    link: bool = False
+    #: Numbers of the elements above, itself included, that exclude their text unless they wrap the page's article.
+    doubts: tuple[int, ...] = ()
+    #: Number and doubts of the innermost article that isn't named otherwise itself.
+    landmark: tuple[int, tuple[int, ...]] | None = None
+
+
+def _opened(name: str, attrs: str, above: Element, number: int) -> Element:
+    """The element, given its parent's."""
+    article, never, named, link = above.article or name in ("article", "main"), above.never or name in NEVER, above.named, above.link or name == "a"
+    never = never or (name == "header" and not above.article)
+    doubt, landmark = name == "form", name in ("article", "main")
     if attrs.strip(" /\n\t"):
         found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
         said = CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower()
-        said = STATE.sub(" ", said)
+        said = OWN_HEADER.sub(" ", STATE.sub(" ", said))
+        if above.article:
+            said = HEADER.sub(" ", said)
         role = found.get("role", "").lower()
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        never = never or bool(hidden) or role in BOILERPLATE_ROLES or (name not in ("html", "body") and bool(BOILERPLATE.search(said)))
+        never = never or bool(hidden) or role in BOILERPLATE_ROLES
+        if name not in ("html", "body") and BOILERPLATE.search(said):
+            doubt, never = True, never or bool(DISCUSSION.search(said))
         article = article or role in ("main", "article")
+        landmark = landmark or role in ("main", "article")
         named = named or bool(CONTENT.search(said))
-    return (name, 0, article, never, named, link)
+    doubts = (*above.doubts, number) if doubt else above.doubts
+    return Element(name, number, article, never, named, link, doubts, (number, doubts) if landmark and not doubt else above.landmark)
+
+
+def wrappers(found: list[tuple[int, bool, Element]]) -> set[int]:
+    """Numbers of the doubtful elements that wrap the page's article, which excludes nothing.
+
+    ``found`` has the length of each block, whether it is prose, and its element. The longest
+    article (the first of equal ones) is the page's; without any, an element that holds more than half
+    of the prose wraps the page.
+    """
+    sizes: Counter = Counter()
+    for size, _, e in found:
+        if e.landmark and not e.never:
+            sizes[e.landmark] += size
+    if sizes:
+        return set(max(sizes, key=sizes.__getitem__)[1])
+    prose: Counter = Counter()
+    whole = sum(size for size, is_prose, e in found if is_prose and not e.never)
+    for size, is_prose, e in found:
+        if is_prose and not e.never:
+            prose.update({d: size for d in e.doubts})
+    return {d for d, n in prose.items() if 2 * n > whole}
 
 
 def blocks(html: str | None) -> list[Block]:
     """Blocks in page order, each with its log-odds of being content."""
     out: list[Block] = []
-    root = ("", 0, False, False, False, False)
-    stack, numbers, serial = [root], [0], 0
+    found: list[tuple[int, bool, Element]] = []
+    stack, numbers, serial = [Element("")], [0], 0
     pieces: list[str] = []
     linked = 0
 
@@ -83,12 +131,11 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         if text:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCK), 0)
+            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCK), 0)
             top = stack[at]
-            cost = BIAS + IN_ARTICLE * top[2] + NAMED_CONTENT * top[4] + PROSE_TAG * (top[0] in PROSE)
+            cost = BIAS + IN_ARTICLE * top.article + NAMED_CONTENT * top.named + PROSE_TAG * (top.name in PROSE)
             cost += min(len(text) * PER_100_CHARS / 100, MOST_FOR_LENGTH) + LINKS * min(1.0, linked / len(text))
-            if any(e[3] for e in stack[-1:]):
-                cost = NEVER_COST
+            found.append((len(text), top.name in PROSE, stack[-1]))
             out.append(Block(text, cost, numbers[max(at - 1, 0)], numbers[max(at - 2, 0)]))
         pieces.clear()
         linked = 0
@@ -100,7 +147,7 @@ def blocks(html: str | None) -> list[Block]:
         if name is None:
             if (text := m["text"] or m["cdata"]) is not None:
                 pieces.append(text)
-                if stack[-1][5]:
+                if stack[-1].link:
                     linked += len(text)
             continue
         name, attrs = name.lower(), m["attrs"] if m["attrs"] is not None else m["attrs2"]
@@ -108,8 +155,8 @@ def blocks(html: str | None) -> list[Block]:
             if name in BLOCK:
                 close()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or all(e[0] not in BLOCK for e in stack[k:]):
+                if stack[k].name == name:
+                    if name in BLOCK or all(e.name not in BLOCK for e in stack[k:]):
                         del stack[k:], numbers[k:]
                     break
             continue
@@ -125,17 +172,21 @@ def blocks(html: str | None) -> list[Block]:
             close()
             closes = CLOSES.get(name, set()) | {"p"}
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
+                if stack[k].name in closes:
                     del stack[k:], numbers[k:]
                     break
-                if stack[k][0] in SCOPES:
+                if stack[k].name in SCOPES:
                     break
         if name in VOID:
             continue
         serial += 1
-        stack.append(_opened(name, attrs, stack[-1]))
+        stack.append(_opened(name, attrs, stack[-1], serial))
         numbers.append(serial)
     close()
+    around = wrappers(found)
+    for block, (_, _, e) in zip(out, found, strict=True):
+        if e.never or not around.issuperset(e.doubts):
+            block.cost = NEVER_COST
     return out
 
 

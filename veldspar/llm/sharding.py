@@ -144,8 +144,11 @@ def hashed_shard(doc_id: Column, shards: int) -> Column:
 def attach(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the columns old_shard, shard and slot of ``placed``; texts are shuffled once.
 
-    Rows are matched by id and crc32 of the text; among equal ones by number.
+    Rows are matched by id and crc32 of the text (null: none); among equal ones by number, so
+    repeated rows get slots of their own and a null id is an id like any other. Columns of
+    these names that ``docs`` has already are replaced. An empty table gives an empty result.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("old_shard", "shard", "slot")])
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     left = docs.withColumns({"_crc": crc, "_key": F.col(id_col)})
     left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_crc").orderBy(F.lit(1))))

@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Machin
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     told = told.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("_id"))
     some = told.where("y = 1").orderBy("h", "_id").limit(rows).unionByName(told.where("y = 0").orderBy("h", "_id").limit(rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "y", "h").limit(2 * rows)  # at most 2 * rows ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).groupBy("_id", "y", "h").agg(F.min("text").alias("text"))  # at most 2 * rows ids, each with one text
     sample = sample.toPandas().sort_values(["h", "text"])
     return train(sample["text"].tolist(), sample["y"].to_numpy())
 
