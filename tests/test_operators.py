@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import rows as P
 from veldspar.functions import text as X
-from veldspar.operators import chunking, conversation, graph, metrics, registry, retrieval
+from veldspar.operators import chunking, conversation, graph, lifecycle, metrics, registry, retrieval, runs
 from veldspar.sources import files
 from veldspar.streaming import events
 
@@ -274,3 +274,70 @@ def test_paths_quote_the_whole_page(spark, tmp_path):
     html = "<p>" + "a b/c " * 50 + "end</p>"
     spark.createDataFrame([(1, "http://a.b/c", html)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert unquote(text_queries.paths(spark, str(tmp_path)).first().quoted) == html
+
+
+def test_owners_by_name(spark):
+    reg = [("a/x.pdf", "A", "h1", None), ("b/x.pdf", "B", "h2", None), ("c/y.pdf", "C", "h3", None), ("d/y.pdf", "C", "h4", None), ("e/z.pdf", "E", "h3", None), ("f/p.pdf", "F", "pending", "sent"), ("g/q.pdf", "G", "pending", None)]
+    df = spark.createDataFrame(reg, "path string, company string, sha256 string, submitted_source string")
+    refs = spark.createDataFrame([("x.pdf",), ("y.pdf",), ("a/x.pdf",), ("sent",), ("none.pdf",), (None,)], "path string")
+    got = {r.path: (r.via, r.companies, r.ambiguous) for r in retrieval.owners_by_name(refs, df).collect()}
+    # y.pdf has two hashes of one company, so that company E of equal bytes makes it no riddle
+    assert got == {"x.pdf": ("basename", [], True), "y.pdf": ("basename", ["C", "E"], False), "a/x.pdf": ("path", ["A"], False), "sent": ("submitted_source", ["F"], False)}
+    scoped = retrieval.scope(refs, retrieval.owners_by_name(refs, df), F.array(F.lit("E")))
+    assert {r.path: r.scope for r in scoped.collect()} == {"x.pdf": "ambiguous", "y.pdf": "kept", "a/x.pdf": "other", "sent": "other", "none.pdf": "unattributable", None: "unattributable"}
+
+
+def test_reindex_force(spark):
+    df = spark.createDataFrame([(1, "ingested", "accept", True), (2, "failed", "auto_split", False)], "document_id int, status string, validation_state string, query_ready boolean")
+    df = df.withColumns({"error_code": F.lit(None).cast("string"), "track_id": F.lit("t"), "retry_count": F.lit(3)})
+    assert {r.document_id: r.reason for r in lifecycle.reindex(df).collect()} == {1: "ingested", 2: "split_required"}
+    assert {(r.outcome, r.status, r.track_id, r.retry_count) for r in lifecycle.reindex(df, force=True).collect()} == {("queued", "pending", None, 0)}
+
+
+def test_skip_marks_settle(spark):
+    files = spark.createDataFrame([("a/manifest.json", "h"), ("b/Manifest.JSON", "h"), ("b/x.md", "h")], "path string, sha256 string")
+    none = spark.createDataFrame([], "path string, status string, error_code string, error_detail string")
+    first = lifecycle.skipped_by_name(files, none, ["MANIFEST.json"])
+    assert {r.path for r in first.collect()} == {"a/manifest.json", "b/Manifest.JSON"}
+    assert lifecycle.skipped_by_name(files, first.drop("sha256"), ["manifest.json"]).count() == 0
+
+
+def test_near_misses(spark):
+    pool = spark.createDataFrame([("AC-001",), ("AC-0012",), ("AC-B-1",), ("ZZ-AC-001",), ("QQ-1",), (None,)], "code string")
+    asked = spark.createDataFrame([("AC-001", "AC"), ("NO-1", None)], "code string, company_code string")
+    got = {r.code: (r.same_first_segment, r.same_company_code, r.shares_a_subtoken) for r in runs.near_misses(asked, pool).collect()}
+    assert got == {"AC-001": (2, 2, 2), "NO-1": (0, 0, 0)}
+
+
+def test_answer_problems(spark):
+    sources = spark.createDataFrame([("s.md", "The  Alpha code is AB-1.")], "name string, text string")
+    questions = spark.createDataFrame([("ab01", "d/s.md"), ("ab02", "d/s.md"), ("ab03", "d/s.md")], "id string, source_doc string")
+    rows = [("ab01", "d/s.md", "the alpha code", ["alpha"], 0, 15), ("ab02", "s.md", "beta", ["gamma"], 5, 99), ("ab09", "gone.md", "x", ["x"], 0, 1)]
+    answers = spark.createDataFrame(rows, "id string, source_doc string, evidence string, key_phrases array<string>, start int, end int")
+    got = {}
+    for r in runs.answer_problems(answers, questions, sources).collect():
+        got.setdefault(r.id, set()).add(r.problem)
+    assert got == {"ab02": {"source_differs", "evidence_not_in_source", "phrase_not_in_evidence", "span_past_end"}, "ab03": {"no_answer"}, "ab09": {"no_question", "source_missing"}}
+
+
+def test_merge_answers(spark):
+    q = spark.createDataFrame([("a", "old"), ("b", "kept")], "id string, evidence string")
+    a = spark.createDataFrame([("a", "new", "easy")], "id string, evidence string, difficulty string")
+    assert {(r.id, r.evidence, r.difficulty) for r in runs.merge_answers(q, a, ["evidence", "difficulty"]).collect()} == {("a", "new", "easy"), ("b", "kept", None)}
+
+
+def test_unanswerable_and_improvement(spark):
+    df = spark.createDataFrame([(None, ["a"], ["a", "b"]), ("It is Not Mentioned.", ["a", "b"], ["a"]), ("42", ["a"], None)], "e string, base array<string>, graph array<string>")
+    got = df.select(runs.is_unanswerable(F.col("e")).alias("u"), runs.improves(F.col("base"), F.col("graph")).alias("i")).collect()
+    assert [(r.u, r.i) for r in got] == [(True, True), (True, False), (False, False)]
+
+
+def test_recursive_chunks(spark):
+    text = "one two three. four five six. seven eight\n\nnine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "  "), (4, "a b c d e f g")], "doc_id int, text string")
+    got = [(r.doc_id, r.body) for r in chunking.recursive_chunks(docs, 5).orderBy("doc_id", "chunk").collect()]
+    assert got[:4] == [(1, "one two three. "), (1, "four five six. seven eight\n"), (1, "nine ten eleven twelve thirteen "), (1, "fourteen")]
+    # separators are tried down to single blanks, so pieces of one word are packed
+    assert got[4:] == [(4, "a b c d e "), (4, "f g")]
+    over = [r.body for r in chunking.recursive_chunks(docs.where("doc_id = 4"), 3, 1).orderBy("chunk").collect()]
+    assert over == ["a b c ", "c d e ", "e f g"]

@@ -176,3 +176,53 @@ def transcript(docs: DataFrame, share: float = 0.5, id_col: str = "doc_id", text
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInPandas(run, f"id {kind}, is_transcript boolean, turns array<struct<speaker: string, words: string>>").withColumnRenamed("id", id_col)
+
+
+#: Fixed value: where a text may be split, coarsest first; words are the last resort.
+SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
+
+
+def fitting_pieces(text: str, size: int, separators: tuple[str, ...], count) -> list[str]:
+    """The largest pieces of at most ``size`` tokens; a separator stays with the piece on its left."""
+    if count(text) <= size:
+        return [text] if text.strip() else []
+    for n, mark in enumerate(separators):
+        *heads, last = text.split(mark)
+        parts = [h + mark for h in heads] + [last] * bool(last)
+        if len(parts) > 1:
+            finer = (fitting_pieces(p, size, separators[n + 1 :], count) if count(p) > size else [p] for p in parts)
+            return [p for own in finer for p in own if p.strip()]
+    out, line = [], ""
+    for word in text.split():
+        longer = f"{line} {word}" if line else word
+        if line and count(longer) > size:
+            out.append(line + " ")
+            longer = word
+        line = longer
+    return [*out, line] if out else [text]
+
+
+def packed(pieces: list[str], size: int, overlap: int, count) -> list[str]:
+    """Whole pieces in chunks of at most ``size`` tokens; up to ``overlap`` tokens of last pieces open the next chunk if they fit."""
+    own, out, start, used = [count(p) for p in pieces], [], 0, 0
+    for i, n in enumerate(own):
+        if used and used + n > size:
+            out.append("".join(pieces[start:i]))
+            back, carried = i, 0
+            while overlap > 0 and back > start and carried + own[back - 1] <= overlap:
+                back -= 1
+                carried += own[back]
+            start, used = (i, 0) if carried + n > size else (back, carried)
+        used += n
+    return [c for c in (*out, "".join(pieces[start:])) if c.strip()]
+
+
+def recursive_chunks(docs: DataFrame, size: int, overlap: int = 0, separators: tuple[str, ...] = SEPARATORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk, body): texts split at the coarsest separator whose pieces fit, packed up to ``size`` words. Null and blank texts have none."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        words = lambda t: len(t.split())
+        return texts.map(lambda t: packed(fitting_pieces(t, size, separators, words), size, overlap, words) if t else [])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(run(F.col(text_col))).alias("chunk", "body"))

@@ -11,6 +11,10 @@ from ..functions.text import normal_path
 from ..runtime import ship
 
 
+#: Fixed value: by what a citation may name a row, best first.
+NAMES = ("submitted_source", "path", "filename", "original_filename")
+
+
 def first_occurrences(citations: DataFrame, order: list[str], path: str, content: str, within: list[str]) -> DataFrame:
     """Ranked citations without repeats: first by normalised path, then by trimmed content; blank ones are never a repeat."""
     named = citations.withColumn("_path", normal_path(F.col(path))).withColumn("_content", F.nullif(F.trim(content), F.lit("")))
@@ -39,12 +43,43 @@ def ownership(references: DataFrame, registry: DataFrame) -> DataFrame:
     return wide.groupBy("path").agg(F.min("via").alias("via"), F.sort_array(F.collect_set("company")).alias("companies"), F.countDistinct("sha256").alias("n_hashes"), F.countDistinct("company").alias("n_companies")).withColumn("ambiguous", (F.col("n_hashes") > 1) & (F.col("n_companies") > 1))
 
 
+def owners_by_name(references: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per path: companies, hashes, and whether it is ambiguous (several hashes and several companies).
+
+    A path names a row by one of NAMES, the best first; a path that names none is matched by its base name. Rows
+    of one hash share their owners, unless the path is ambiguous, which then has no company.
+    ``registry`` has path, sha256, company, and may lack the other names. All joins are on equal keys.
+    Unlike ``ownership``, which judges after rows of equal hashes are added and lists the candidates of an ambiguous path.
+    """
+    from ..functions.text import basename
+
+    names = [n for n in NAMES if n in registry.columns]
+    short = [F.col(n) if n != "path" else basename(F.col("path")) for n in names]
+    vias = [n if n != "path" else "basename" for n in names]
+
+    def named(values: list[Column], said: list[str]) -> DataFrame:
+        ways = F.array(*[F.struct(F.lit(NAMES.index(n)).alias("way"), F.lit(v).alias("via"), c.alias("name")) for n, v, c in zip(names, said, values, strict=True)])
+        return registry.select("sha256", "company", F.explode(ways).alias("w")).select("w.*", "sha256", "company").where("name is not null")
+
+    paths = references.select("path").where("path is not null").distinct()
+    exact = paths.join(named([F.col(n) for n in names], names), F.col("path") == F.col("name")).drop("name")
+    left = paths.join(exact, "path", "left_anti")
+    matched = exact.unionByName(left.join(named(short, vias), basename(F.col("path")) == F.col("name")).drop("name"))
+    known = F.when(F.col("sha256") != "pending", F.col("sha256"))
+    decided = matched.groupBy("path").agg(F.min(F.struct("way", "via"))["via"].alias("via"), F.countDistinct(known).alias("n_hashes"), F.countDistinct("company").alias("n_companies"))
+    wide = matched.select("path", known.alias("sha256")).distinct().join(registry.select("sha256", "company").distinct(), "sha256").select("path", "company")
+    owners = matched.select("path", "company").unionByName(wide).groupBy("path").agg(F.sort_array(F.collect_set("company")).alias("_all"))
+    ambiguous = (F.col("n_hashes") > 1) & (F.col("n_companies") > 1)
+    own = decided.join(owners, "path").withColumn("ambiguous", ambiguous)
+    return own.withColumn("companies", F.when(F.col("ambiguous"), F.array().cast("array<string>")).otherwise(F.col("_all"))).drop("_all")
+
+
 def scope(references: DataFrame, owners: DataFrame, allowed: Column) -> DataFrame:
     """Adds ``scope``: kept, other, unattributable or ambiguous, by the owners of each path."""
     j = references.join(owners.select("path", "companies", "ambiguous"), "path", "left")
     said = (
-        F.when(F.col("companies").isNull() | (F.size("companies") == 0), "unattributable")
-        .when(F.col("ambiguous"), "ambiguous")
+        F.when(F.col("ambiguous"), "ambiguous")
+        .when(F.col("companies").isNull() | (F.size("companies") == 0), "unattributable")
         .when(F.arrays_overlap("companies", allowed), "kept")
         .otherwise("other")
     )
