@@ -145,3 +145,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001), (None, 5), (2000, 2001), (2001, 2000)] + [(5000, 5001 + i) for i in range(200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 2000: 2000, 2001: 2000, **dict.fromkeys(range(5000, 5201), 5000)}
+
+
+def test_near_dedup_keeps_other_texts(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta"))
+    near = a.replace("alpha59", "changed")
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, b), (4, b), (None, a), (5, None), (6, "short")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, SMALL).where("doc_id < 5").collect())
+    assert kept == [(1, a), (2, b)]
+    assert corpus_pipeline.near_dedup(spark, df, SMALL).where("doc_id is null or doc_id >= 5").count() == 2
