@@ -72,6 +72,18 @@ def test_simhash_on_the_table(spark):
     assert got == {i: (f"{f:016x}", low[t]) for i, f, t in zip(ids, fps, top, strict=True)}
 
 
+def test_shingle_sets_are_those_of_the_words():
+    texts = [None, "", " ", "a", "a b", "B a", "a b c d e", "a b c d e f", "A B c  d\te", "e d c b a", "a a a a a a a", "a b c d", "b c d e"] + [" ".join(f"w{(i * i) % 7}" for i in range(k)) for k in range(3, 40)]
+    words = [(t or "").lower().split() for t in texts]
+    plain = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    sets = near_copies.shingle_sets(near_copies.word_hashes(texts, near_copies._Hashes()), 5)
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    for a, p in zip(sets, plain, strict=True):
+        assert [len(np.intersect1d(a, b)) for b in sets] == [len(p & q) for q in plain]
+    for t, s in zip(texts, sets, strict=True):
+        assert near_copies.shingle_set(t, 5).tolist() == s.tolist()
+
+
 def test_near_copies(spark):
     rng = random.Random(4)
     texts = []

@@ -21,12 +21,39 @@ from ..runtime import ship
 from .common import cut
 
 FULL = (1 << 64) - 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive groups of hashes: bits set in over half of a group.
+
+    Eight counters of a byte are added at once in a 64-bit word; groups above 255 are summed in parts.
+    """
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    size = np.full(parts.sum(), 255)
+    size[first + parts - 1] = sizes - 255 * (parts - 1)
+    starts = np.cumsum(size) - size
+    count = np.empty((len(size), 8, 8), np.uint8)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
+        count[:, :, k] = lanes.view(np.uint8).reshape(-1, 8)
+    total = count.reshape(-1, 64)
+    if len(size) > len(sizes):
+        total = np.add.reduceat(total.astype(np.int64), first, axis=0)
+    return np.packbits(2 * total.astype(np.int64) > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
 def covering_masks(radius: int, free: int = FULL, seed: int = 7) -> list[int]:
     """Covering LSH: 2^(radius+1)-1 masks over the bits of ``free``.
 

@@ -17,7 +17,7 @@ from ..runtime import ship
 from . import minhash
 from .common import cut, keep, table
 from .components import components
-from .hamming import block_masks, bucket_links, links, signed
+from .hamming import block_masks, bucket_links, links, majority, mixed, signed
 
 MIN_WORDS, RADIUS, SIMILARITY = 4, 3, 0.9
 #: Places of a MinHash band of a line's words, bands, and the bits in which SimHashes that meet in a band may differ.
@@ -27,7 +27,6 @@ SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
 CAP, BLOCK, KEYS = 16384, 256, 1_000_000
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 BLANKS = re.compile(" {2,}")
@@ -61,11 +60,6 @@ def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[in
             yield pos, signed(xxhash.xxh64_intdigest((line or raw.strip()).encode("utf-8", "surrogatepass"), 1)), None
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * MIX
-    return h ^ (h >> np.uint64(29))
-
-
 def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sizes): one 64-bit hash for each word of the normalised lines, and the number of words of each line.
 
@@ -80,10 +74,10 @@ def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.r_[0, ends[:-1] + 1]
     length = ends - starts
     tail = np.where(length > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
-    h = _mixed((eight[starts] & KEEP[np.minimum(length, 8)]) + _mixed(tail + length.astype(np.uint64)))
+    h = mixed((eight[starts] & KEEP[np.minimum(length, 8)]) + mixed(tail + length.astype(np.uint64)))
     last = byte[ends] == 10
     joined = (length < SHORT) & ~last
-    h[joined] = _mixed(h[joined] * np.uint64(3) + h[np.flatnonzero(joined) + 1])
+    h[joined] = mixed(h[joined] * np.uint64(3) + h[np.flatnonzero(joined) + 1])
     return h, np.diff(np.r_[-1, np.flatnonzero(last)])
 
 
@@ -93,28 +87,8 @@ def prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sig = minhash.signatures(h, sizes, ROWS * BANDS).astype(np.uint64)
     band = np.zeros((len(lines), BANDS), np.uint64)
     for j in range(ROWS):
-        band = _mixed(band * np.uint64(5) + sig[:, j::ROWS] + np.uint64(1))
-    return _majority(h, sizes), (band >> np.uint64(32)).astype(np.uint32)
-
-
-def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of consecutive groups of hashes: bits set in over half of a group.
-
-    Eight counters of a byte are added at once in a 64-bit word; groups above 255 are summed in parts.
-    """
-    parts = -(-sizes // 255)
-    first = np.cumsum(parts) - parts
-    size = np.full(parts.sum(), 255)
-    size[first + parts - 1] = sizes - 255 * (parts - 1)
-    starts = np.cumsum(size) - size
-    count = np.empty((len(size), 8, 8), np.uint8)
-    for k in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), starts)
-        count[:, :, k] = lanes.view(np.uint8).reshape(-1, 8)
-    total = count.reshape(-1, 64)
-    if len(size) > len(sizes):
-        total = np.add.reduceat(total.astype(np.int64), first, axis=0)
-    return np.packbits(2 * total.astype(np.int64) > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+        band = mixed(band * np.uint64(5) + sig[:, j::ROWS] + np.uint64(1))
+    return majority(h, sizes), (band >> np.uint64(32)).astype(np.uint32)
 
 
 def _simhash(batches: Iterator[pa.RecordBatch], min_words: int, short: bool) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,11 @@ FLIP = [_RNG.getrandbits(64) for _ in range(128)]
 def signatures(h: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """(groups, n) of 16 bits each: minima of n hash functions over consecutive non-empty groups of 64-bit hashes."""
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), n), np.uint16)
+    out, v = np.empty((len(sizes), n), np.uint16), np.empty_like(h)
     for k in range(n):
-        v = ((h ^ np.uint64(FLIP[k])) * np.uint64(MULTIPLY[k])) >> np.uint64(16)
-        low = np.minimum.reduceat(v, starts)
+        np.bitwise_xor(h, np.uint64(FLIP[k]), out=v)
+        v *= np.uint64(MULTIPLY[k])
+        low = np.minimum.reduceat(v, starts) >> np.uint64(16)
         out[:, k] = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
     return out
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,12 @@ from ..runtime import ship
 from . import minhash
 from .common import cut
 from .components import components
-from .hamming import covering_masks, links
-from .simhash import fingerprint, shingle_hashes
+from .hamming import covering_masks, links, majority, mixed
 
-#: Seeds of the fingerprints of a text's distinct words; members of a verified block; candidates broadcast at once.
-SEEDS, BLOCK, KEYS = (1, 2), 128, 1_000_000
+#: Fingerprints of a text's distinct words; members of a verified block; candidates broadcast at once.
+PRINTS, BLOCK, KEYS = 2, 128, 1_000_000
+#: Characters that are hashed at once, unless a text has more; words whose hashes a task remembers.
+CHARS, WORDS = 200_000, 200_000
 #: Places of a MinHash band, and bands: at 0.8 all of them miss a pair once in 4,600.
 ROWS, BANDS = 4, 16
 #: Cells of the incidence matrix that a block pair may take; beyond it pairs are intersected one by one.
@@ -29,33 +31,86 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+class _Hashes(dict):
+    """XXH64 of words, each computed once as long as it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 1)
+        return h
+
+
+def word_hashes(texts: list[str | None], known: _Hashes) -> list[np.ndarray]:
+    """Hashes of the words of each text, in order."""
+    split = [t.encode().lower().split() if t else [] for t in texts]
+    return [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in split]
+
+
+def shingle_sets(words: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of ``n`` words of each text; a shorter text is one shingle, an empty one none."""
+    every, out, start = np.concatenate([*words, np.empty(0, np.uint64)]), [], 0
+    folded = np.zeros(max(len(every) - n + 1, 0), np.uint64)
+    for j in range(n):
+        folded = mixed(folded * np.uint64(5) + every[j : j + len(folded)])
+    for own in words:
+        if len(own) >= n:
+            out.append(np.unique(folded[start : start + len(own) - n + 1]))
+        else:
+            one = np.zeros(min(len(own), 1), np.uint64)
+            for j in range(len(own)):
+                one = mixed(one * np.uint64(5) + own[j : j + 1])
+            out.append(one)
+        start += len(own)
+    return out
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, n))
+    return shingle_sets(word_hashes([text], _Hashes()), n)[0]
+
+
+def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about CHARS bytes of the text in ``column``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right")))
+        yield b.slice(at, upto - at)
+        at = upto
 
 
 def _prints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) and the text's hash to (doc_id, text_hash, tkey, f0, f1, sig): a hash of the shingle set, SimHashes of the distinct words and
     the MinHash signature of the shingle set, null for the empty set."""
-    for b in batches:
-        out: list[tuple] = []
-        for text in b.column(1):
-            text = text.as_py()
-            words = set(text.encode().lower().split()) if text else ()
-            f = [fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))) for s in SEEDS]
-            s = shingle_set(text, n)
-            sig = minhash.signatures(s, np.array([len(s)]), ROWS * BANDS).tobytes() if len(s) else None
-            out.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), 3)), *f, sig))
-        cols = [pa.array([x[k] for x in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "text_hash", "tkey", "f0", "f1", "sig"])
+    known = _Hashes()
+    for whole in batches:
+        for b in _parts(whole, 1):
+            words = word_hashes(b.column(1).to_pylist(), known)
+            sets = shingle_sets(words, n)
+            keys = [_signed(xxhash.xxh64_intdigest(s.tobytes(), 3)) for s in sets]
+            filled = [i for i, s in enumerate(sets) if len(s)]
+            prints, sigs = np.zeros((PRINTS, len(sets)), np.int64), [None] * len(sets)
+            if filled:
+                sizes = np.array([len(sets[i]) for i in filled])
+                for i, sig in zip(filled, minhash.signatures(np.concatenate([sets[i] for i in filled]), sizes, ROWS * BANDS), strict=True):
+                    sigs[i] = sig.tobytes()
+                own = [np.unique(words[i]) for i in filled]
+                h, sizes = np.concatenate(own), np.array([len(x) for x in own])
+                for k in range(PRINTS):
+                    prints[k, filled] = majority(h, sizes)
+                    h = mixed(h)
+            cols = [pa.array(keys, pa.int64()), *(pa.array(p) for p in prints), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "text_hash", "tkey", "f0", "f1", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """(tkey, root, blocks, text) to (tkey, root, blocks, hashes), for the texts that have the key."""
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
+    known = _Hashes()
+    for whole in batches:
+        for b in _parts(whole, 3):
             rows = []
-            for key, root, blocks, text in zip(*(b.column(i).slice(at, 256).to_pylist() for i in range(4)), strict=True):
-                h = shingle_set(text, n)
+            *heads, texts = (b.column(i).to_pylist() for i in range(4))
+            for key, root, blocks, h in zip(*heads, shingle_sets(word_hashes(texts, known), n), strict=True):
                 if _signed(xxhash.xxh64_intdigest(h.tobytes(), 3)) == key:
                     rows.append((key, root, blocks, h.view(np.int64)))
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))]
@@ -139,7 +194,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     unique = cut(prints.groupBy("tkey").agg(F.min("doc_id").alias("low"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("sig").alias("sig")))
     signed = unique.where("sig is not null").select(F.col("tkey").alias("id"), "sig")
     edges = minhash.links(signed, ROWS, minhash.least_agreement(ROWS * BANDS, similarity), cap)
-    for j in range(len(SEEDS)):
+    for j in range(PRINTS):
         node = lambda c, j=j: F.xxhash64(F.lit(j), c)
         fp = unique.select("tkey", F.col(f"f{j}").alias("fp"))
         near = cut(links(fp.select("fp").distinct(), radius, covering_masks(radius, seed=7 + j), cap))
