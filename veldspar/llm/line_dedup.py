@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,17 +33,25 @@ KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 BLANKS = re.compile(" {2,}")
 #: ASCII at once: lower case, anything but letters, digits and line ends as a space.
 PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c == 10 else 32 for c in range(256))
-MARKS = re.compile(r"[^\w\n ]+|_+")
 #: Ideographs and kana: each counts as a word.
 CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Of every code point, whether it is a letter, a digit, a space or a line end."""
+    return np.array([chr(c).isalnum() or c in (10, 32) for c in range(0x110000)])
+
+
 def normal(text: str) -> str:
     """Lower case, anything but letters and digits as one space, ideographs and kana as words; lines stay lines."""
     if text.isascii():
         plain = text.encode().translate(PLAIN).decode()
     else:
-        plain = CJK.sub(r" \g<0> ", MARKS.sub(" ", text.lower()))
+        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        plain = np.where(_letters()[code], code, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass")
+        if code.max() >= 0x3040:
+            plain = CJK.sub(r" \g<0> ", plain)
     return BLANKS.sub(" ", plain)
 
 
