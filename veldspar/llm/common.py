@@ -49,6 +49,28 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(kept: DataFrame) -> None:
+    """Deletes a table that ``keep`` wrote and that nothing reads any more."""
+    spark = kept.sparkSession
+    for folder in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of each component as longs; null for a vector that is null or holds a null or non-finite component."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(vector.isNotNull() & fine, F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))))
+
+
+def common_dimension(vectors: DataFrame, column: str = "x") -> int:
+    """The dimension that most rows have, the smaller of equals; 0 without rows."""
+    most = vectors.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return most.d if most else 0
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character untouched."""
     return F.translate(text, UPPER, UPPER.lower())
