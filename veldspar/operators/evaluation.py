@@ -126,7 +126,7 @@ def poll_action(statuses: DataFrame) -> DataFrame:
     """(track_id, next_status): what the statuses reported for a track make of its row."""
     s = F.upper("status")
     g = statuses.groupBy("track_id").agg(F.count("status").alias("n"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "PROCESSED").alias("done"))
-    said = F.when(F.col("n") == 0, "submitted").when(F.col("failed") > 0, "failed").when(F.col("done") == F.col("n"), "ingested").otherwise("processing")
+    said = F.when(F.col("n") == 0, "submitted").when(F.col("failed") > 0, "failed").when(F.col("done") > 0, "ingested").otherwise("processing")
     return g.select("track_id", said.alias("next_status"))
 
 

@@ -10,19 +10,17 @@ from pyspark.sql import functions as F
 
 #: The lifecycle and its legal moves, file classes, thresholds.
 STATUSES = ("pending", "validating", "accepted", "submitted", "processing", "ingested", "failed", "rejected", "superseded", "skipped")
-_REWORK = ("pending", "validating", "accepted", "submitted")
-_EARLY = ("submitted", "processing", "failed", "rejected", "superseded", "skipped")
 MOVES = {
-    "pending": ("validating", "accepted", *_EARLY),
-    "validating": ("pending", "accepted", *_EARLY),
-    "accepted": ("pending", "validating", *_EARLY),
+    "pending": ("validating", "accepted", "submitted", "processing", "failed", "rejected", "superseded", "skipped"),
+    "validating": ("pending", "accepted", "submitted", "processing", "failed", "rejected", "superseded", "skipped"),
+    "accepted": ("pending", "validating", "submitted", "processing", "failed", "rejected", "superseded", "skipped"),
     "submitted": ("pending", "validating", "accepted", "processing", "ingested", "failed", "rejected", "superseded", "skipped"),
-    "processing": (*_REWORK, "ingested", "failed", "rejected", "superseded", "skipped"),
-    "ingested": (*_REWORK, "rejected", "superseded", "skipped"),
-    "failed": (*_REWORK, "processing", "ingested", "rejected", "superseded", "skipped"),
-    "rejected": (*_REWORK, "superseded", "skipped"),
-    "superseded": (*_REWORK, "skipped"),
-    "skipped": _REWORK,
+    "processing": ("pending", "validating", "accepted", "submitted", "ingested", "failed", "rejected", "superseded", "skipped"),
+    "ingested": ("pending", "validating", "accepted", "submitted", "rejected", "superseded", "skipped"),
+    "failed": ("pending", "validating", "accepted", "submitted", "processing", "ingested", "rejected", "superseded", "skipped"),
+    "rejected": ("pending", "validating", "accepted", "submitted", "superseded", "skipped"),
+    "superseded": ("pending", "validating", "accepted", "submitted", "skipped"),
+    "skipped": ("pending", "validating", "accepted", "submitted"),
 }
 ACTIVE = ("accepted", "submitted", "processing", "ingested")
 DUPLICATE_RANK = ("ingested", "processing", "submitted", "accepted")
@@ -116,14 +114,17 @@ def name_collisions(docs: DataFrame, name: str = "filename") -> DataFrame:
     return g.withColumn("kind", kind)
 
 
-def pick_duplicates(docs: DataFrame, by_company: bool = False) -> DataFrame:
+def pick_duplicates(docs: DataFrame, by_company: bool = False, seekers: DataFrame | None = None) -> DataFrame:
     """(document_id, duplicate_of, match_count): for each row, the active row of equal hash that stands for it.
 
     Best status first, then updated_at, path and id. A row is never its own duplicate, and
     rows already marked as duplicates don't stand for others. With ``by_company`` a row with
     a company is matched inside it only; one without sees all. Only the two best candidates
     of a hash (or hash and company) travel to its rows, so large groups aren't paired.
+    Other rows may ask: ``seekers`` with document_id, path, company, sha256, and the status and
+    error_code that their own row of ``docs`` has, if it holds the same hash.
     """
+    rows = docs if seekers is None else seekers
     order = F.struct(reduce(lambda acc, x: F.when(F.col("status") == x[1], x[0]).otherwise(acc), enumerate(DUPLICATE_RANK), F.lit(99)).alias("r"), F.col("updated_at").alias("u"), F.col("path").alias("p"), F.col("document_id").alias("d"))
     able = docs.where(F.col("status").isin(*ACTIVE) & ~F.coalesce(F.col("error_code") == "duplicate_content", F.lit(False)) & F.col("sha256").isNotNull())
     able = able.select("sha256", "company", order.alias("o"))
@@ -140,8 +141,8 @@ def pick_duplicates(docs: DataFrame, by_company: bool = False) -> DataFrame:
         return own.select("document_id", found["d"].alias("duplicate_of"), (F.col("all_n") - is_own.cast("int")).cast("long").alias("match_count")).where("duplicate_of is not null")
 
     if not by_company:
-        return matched(docs, ["sha256"])
-    return matched(docs.where("company is not null"), ["sha256", "company"]).unionByName(matched(docs.where("company is null"), ["sha256"]))
+        return matched(rows, ["sha256"])
+    return matched(rows.where("company is not null"), ["sha256", "company"]).unionByName(matched(rows.where("company is null"), ["sha256"]))
 
 
 def guarded_upsert(registry: DataFrame, incoming: DataFrame, key: str = "path", keep: Sequence[str] = ("document_id", "created_at", "retry_count"), prefer_old: Sequence[str] = ("submitted_source",)) -> DataFrame:

@@ -89,7 +89,7 @@ def poll_actions(spark, sf_dir):
 
 
 POLLS = """WITH s AS (SELECT CAST(floor(event_id / 3) AS BIGINT) AS track_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN NULL WHEN 'click' THEN 'PROCESSED' ELSE 'PROCESSING' END AS s FROM events)
-SELECT track_id, CASE WHEN count(s) = 0 THEN 'submitted' WHEN count(*) FILTER (WHERE s = 'FAILED') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE s = 'PROCESSED') = count(s) THEN 'ingested' ELSE 'processing' END AS next_status FROM s GROUP BY track_id"""
+SELECT track_id, CASE WHEN count(s) = 0 THEN 'submitted' WHEN count(*) FILTER (WHERE s = 'FAILED') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE s = 'PROCESSED') > 0 THEN 'ingested' ELSE 'processing' END AS next_status FROM s GROUP BY track_id"""
 
 
 def evidence_fusion(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,19 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name where driver and executors both read and write: in ``spark.checkpoint.dir``.
+
+    Only with a local master may that be unset; a temporary folder stands in then.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="veldspar-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors through Spark, once for each application.
 
