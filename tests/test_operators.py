@@ -64,8 +64,8 @@ def test_duplicate_pick(spark):
 def test_ambiguous_owner(spark):
     reg = spark.createDataFrame([("a/x.pdf", "A", "h1"), ("b/x.pdf", "B", "h2"), ("c/y.pdf", "C", "h3"), ("d/y.pdf", "C", "h4"), ("100%.pdf", "D", "h5"), ("100x.pdf", "E", "h6")], "path string, company string, sha256 string")
     refs = spark.createDataFrame([("x.pdf",), ("y.pdf",), ("100%.pdf",), ("none.pdf",)], "path string")
-    got = {r.path: (r.companies, r.ambiguous) for r in retrieval.ownership(refs, reg).collect()}
-    assert got == {"x.pdf": (["A", "B"], True), "y.pdf": (["C"], False), "100%.pdf": (["D"], False)}
+    got = {r.path: (r.companies, r.ambiguous) for r in retrieval.owners_by_name(refs, reg).collect()}
+    assert got == {"x.pdf": ([], True), "y.pdf": (["C"], False), "100%.pdf": (["D"], False)}
 
 
 def test_dropped_content_still_blocks_its_path(spark):
@@ -144,13 +144,39 @@ def test_rows_functions():
     assert P.keywords("Profit of Acme Corp") == (["profit"], ["Profit of Acme Corp", "Acme Corp"])
 
 
-def test_credit_and_cut_block(spark):
-    units = spark.createDataFrame([(1, 1, "alpha  beta"), (1, 2, "gamma delta"), (1, 3, "Alpha beta again"), (2, 1, "alpha beta")], "probe int, rank int, text string")
-    quotes = spark.createDataFrame([(1, 1, "alpha BETA", 2), (1, 2, "beta gamma", 1), (1, 3, "nowhere", 1)], "probe int, quote_id int, quote string, grade int")
+def test_credit(spark):
+    units = spark.createDataFrame([(1, 1, "alpha  beta"), (1, 2, "Gamma \u201cdelta\u201d"), (1, 3, "Alpha beta again"), (2, 1, "alpha beta")], "probe int, rank int, text string")
+    rows = [(1, 1, "\u2018alpha BETA\u2019 ", 2), (1, 2, "beta gamma", 1), (1, 3, "nowhere", 1), (1, 4, " alpha beta", 0), (1, 5, " '' ", 1), (1, 6, None, 1), (1, 7, "gamma", 9), (1, 8, "again", None), (1, 9, "Beta Again", 0)]
+    quotes = spark.createDataFrame(rows, "probe int, quote_id int, quote string, grade int")
     got = retrieval.credit(units, quotes)
-    assert {(r.quote_id, r.rank, r.seam) for r in got.collect()} == {(1, 1, False), (2, 2, True), (3, None, False)}
-    r = retrieval.retrieval_aggregate(got, [1, 2]).first()
-    assert (r.probes, round(r.recall_1, 3), round(r.recall_2, 3), r.mrr, round(r.located, 3)) == (1, 0.333, 0.667, 1.0, 0.667)
+    assert {(r.quote_id, r.grade, r.rank) for r in got.collect()} == {(1, 2, 1), (2, 1, None), (3, 1, None), (7, 2, 2), (8, 2, 3), (9, 0, 3)}
+    assert {(r.probe, r.rank, r.grade) for r in retrieval.unit_grades(got, units).collect()} == {(1, 1, 2), (1, 2, 2), (1, 3, 2), (2, 1, 0)}
+
+
+def test_seams_are_those_of_a_document(spark):
+    chunks = spark.createDataFrame([("A", 0, "one alpha", 5), ("B", 0, "beta two", 5), ("A", 1, "beta three key", 5), ("A", 3, "four value", 5), ("C", 0, "x alpha beta y", 50)], "doc string, index int, text string, tokens int")
+    gold = spark.createDataFrame([(1, "Alpha  beta three"), (1, "a"), (2, "three key four"), (3, "\u201cx alpha beta\u201d"), (4, "gone text here"), (5, " ")], "probe int, quote string").where("quote <> 'a'")
+    places = retrieval.quote_places(chunks, gold)
+    assert {tuple(r) for r in places.collect()} == {(1, "A", 0, True), (3, "C", 0, False)}  # index 1 and 3 of A don't follow each other
+    ranking = spark.createDataFrame([(p, *r) for p in (1, 2, 3) for r in (("A", 1, 1), ("B", 0, 2), ("A", 0, 3), ("A", 3, 4))], "probe int, doc string, index int, rank int")
+    rows = spark.createDataFrame([(1, "three", "key"), (2, "four", "key"), (3, "k", "v")], "probe int, row_key string, row_value string")
+    sources = spark.createDataFrame([("Gone text\nHERE it was",), ("one alpha beta three",)], "text string")
+    ranked = retrieval.rank_probes(places, ranking, chunks, gold, [10, 15], sources, rows)
+    got = {r.probe: (r.rank, r.located, r.quote_in_seam, r.lost_text, r.row_intact, r.within_10, r.within_15) for r in ranked.collect()}
+    assert got == {1: (3, True, True, False, True, False, True), 2: (None, False, False, False, False, False, False), 3: (5, True, False, False, None, False, False), 4: (None, False, False, True, None, False, False), 5: (None, False, False, False, None, False, False)}
+    r = retrieval.recall_report(ranked, [1, 3], [10, 15]).first()
+    assert (r.n, r.seam_quotes, r.located_pct, r.lost_text_n, r.row_intact_n, r.row_intact_pct, r.recall_1, r.recall_3, r.recall_15_tokens, r.mrr, r.found_at_all) == (5, 1, 40.0, 1, 2, 50.0, 0.0, 20.0, 20.0, round((1 / 3 + 1 / 5) / 5, 4), 40.0)
+
+
+def test_contained_finds_every_substring(spark):
+    texts = ["the quick brown fox", "quick", "ab", "", "a b c d", "xquick browny", "日本語 text"]
+    needles = ["quick brown", "k b", "b", "ab", "the quick brown fox", "fox", " b", "c d", "本", "own fox", "brown fo", "he quick br"]
+    df, nd = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame(list(enumerate(needles)), "probe int, needle string")
+    got = {(r.probe, r.id) for r in retrieval.contained(df, nd, ["id"]).collect()}
+    assert got == {(i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n in t}
+
+
+def test_cut_block(spark):
     block = "Source: a\n" + "one line\n" * 20
     cut = one(spark, retrieval.cut_block(F.col("b"), 100), b=block)
     assert len(cut) <= 100 and cut.startswith("Source: a\none line\n") and cut.endswith("line\n" + retrieval.CUT)

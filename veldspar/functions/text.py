@@ -64,7 +64,7 @@ def match_key(text: Column) -> Column:
 
 def normal_quote(text: Column) -> Column:
     """White space collapsed, lower case, quote marks at the ends taken off."""
-    return F.regexp_replace(F.lower(squeeze(text)), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
+    return F.regexp_replace(F.lower(squeeze(text)), "^[\"'“”‘’` ]+|[\"'“”‘’` ]+$", "")
 
 
 def normal_submission(text: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_path
+from ..functions.text import normal_path, normal_quote
 from ..runtime import ship
 
 
@@ -25,31 +27,12 @@ def first_occurrences(citations: DataFrame, order: list[str], path: str, content
     return once.drop("_path", "_content", "_n")
 
 
-def ownership(references: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per path: companies, hashes, and whether it is ambiguous (several hashes and several companies).
-
-    Exact paths first; what is left is matched by base name, then widened to every row of
-    an equal hash. All joins are on equal keys.
-    """
-    from ..functions.text import basename
-
-    paths = references.select("path").distinct()
-    exact = paths.join(registry.select("path", "sha256"), "path").select("path", "sha256", F.lit("path").alias("via"))
-    left = paths.join(exact, "path", "left_anti").withColumn("_b", F.lower(basename(F.col("path"))))
-    by_name = left.join(registry.select(F.lower(basename(F.col("path"))).alias("_b"), "sha256"), "_b").select("path", "sha256", F.lit("basename").alias("via"))
-    hashes = exact.unionByName(by_name).distinct()
-    companies = registry.select("sha256", "company").distinct()
-    wide = hashes.join(companies, "sha256")
-    return wide.groupBy("path").agg(F.min("via").alias("via"), F.sort_array(F.collect_set("company")).alias("companies"), F.countDistinct("sha256").alias("n_hashes"), F.countDistinct("company").alias("n_companies")).withColumn("ambiguous", (F.col("n_hashes") > 1) & (F.col("n_companies") > 1))
-
-
 def owners_by_name(references: DataFrame, registry: DataFrame) -> DataFrame:
     """Per path: companies, hashes, and whether it is ambiguous (several hashes and several companies).
 
     A path names a row by one of NAMES, the best first; a path that names none is matched by its base name. Rows
     of one hash share their owners, unless the path is ambiguous, which then has no company.
     ``registry`` has path, sha256, company, and may lack the other names. All joins are on equal keys.
-    Unlike ``ownership``, which judges after rows of equal hashes are added and lists the candidates of an ambiguous path.
     """
     from ..functions.text import basename
 
@@ -181,28 +164,121 @@ def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, block: int = 1638
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
+#: Grades of a quote; whatever else stands there means the answer itself.
+GRADES = (0, 1, 2)
+
+
 def credit(units: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(probe, quote_id, grade, rank, seam): each quote at the first unit that holds it; rank is null where none does.
+    """(probe, quote_id, grade, rank): each quote at the first unit that holds it; rank is null where none does.
 
-    ``units`` has (probe, rank, text), ``quotes`` (probe, quote_id, quote, grade). White space and
-    case don't count. A quote that no unit holds may run over the seam of two neighbours, and
-    then counts at the later one. Quotes meet the units of their own probe only.
+    ``units`` has (probe, rank, text), ``quotes`` (probe, quote_id, quote, grade). White space, case and quote
+    marks at the ends don't count. Blank quotes are dropped, and of a probe's equal quotes the first by quote_id
+    counts; grades other than 0, 1 and 2 mean 2. Quotes meet the units of their own probe only.
     """
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    after = Window.partitionBy("probe").orderBy("rank")
-    u = units.select("probe", "rank", plain(F.col("text")).alias("_t")).withColumn("_both", F.concat_ws(" ", F.lag("_t").over(after), "_t"))
-    j = quotes.withColumn("_q", plain(F.col("quote"))).join(u, "probe", "left")
-    found = j.groupBy("probe", "quote_id", "grade").agg(F.min(F.when(F.contains("_t", "_q"), F.col("rank"))).alias("whole"), F.min(F.when(F.contains("_both", "_q"), F.col("rank"))).alias("over"))
-    return found.select("probe", "quote_id", "grade", F.coalesce("whole", "over").alias("rank"), (F.col("whole").isNull() & F.col("over").isNotNull()).alias("seam"))
+    q = quotes.withColumn("_q", normal_quote(F.coalesce("quote", F.lit("")))).where("_q <> ''")
+    first = F.row_number().over(Window.partitionBy("probe", "_q").orderBy("quote_id"))
+    grade = F.when(F.col("grade").isin(*GRADES), F.col("grade")).otherwise(GRADES[-1]).cast("int")
+    q = q.withColumn("_n", first).where("_n = 1").select("probe", "quote_id", grade.alias("grade"), "_q")
+    j = q.join(units.select("probe", "rank", normal_quote(F.col("text")).alias("_t")), "probe", "left")
+    return j.groupBy("probe", "quote_id", "grade").agg(F.min(F.when(F.contains("_t", "_q"), F.col("rank"))).alias("rank"))
+
+
+def unit_grades(credited: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """(probe, rank, grade): the grade of a unit is the best of the quotes credited to it; with ``units``, 0 for those without one."""
+    best = credited.where("rank is not null").groupBy("probe", "rank").agg(F.max("grade").alias("grade"))
+    return best if units is None else units.select("probe", "rank").join(best, ["probe", "rank"], "left").select("probe", "rank", F.coalesce("grade", F.lit(0)).alias("grade"))
 
 
-def unit_grades(credited: DataFrame) -> DataFrame:
-    """(probe, rank, grade): the grade of a unit is the best of the quotes credited to it."""
-    return credited.where("rank is not null").groupBy("probe", "rank").agg(F.max("grade").alias("grade"))
+def _anchor(needle: Column) -> Column:
+    """What a text that holds the needle must have: its longest inner word (which is whole there too), or its first three characters."""
+    words = F.split(needle, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    return F.when(longest != "", F.concat(F.lit("w"), longest)).otherwise(F.concat(F.lit("c"), F.substring(needle, 1, 3)))
 
 
-def retrieval_aggregate(credited: DataFrame, ks: list[int], by: list[str] = ()) -> DataFrame:
-    """Over all probes, or for each value of ``by``: recall at each k, reciprocal rank of the first hit, share located, share on seams."""
-    each = credited.groupBy("probe", *by).agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.count("rank").alias("found"), F.count_if("seam").alias("seams"), *[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in ks])
-    rates = [F.avg(F.col(f"hits_{k}") / F.col("n")).alias(f"recall_{k}") for k in ks]
-    return each.groupBy(*by).agg(F.count("*").alias("probes"), *rates, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), (F.sum("found") / F.sum("n")).alias("located"), (F.sum("seams") / F.sum("n")).alias("on_seams"))
+#: Anchors that are broadcast at most; more meet the texts by a shuffle.
+ANCHORS = 1_000_000
+
+
+def contained(texts: DataFrame, needles: DataFrame, keys: list[str], text: str = "t") -> DataFrame:
+    """(probe, *keys): which texts hold which needles (probe, needle), both normalised, as substrings.
+
+    Texts and needles meet on one anchor of the needle, a word or three characters, and are then
+    compared; texts are never paired with needles that share no anchor. Needles of one or two characters
+    meet on themselves.
+    """
+    n = needles.where("needle <> ''").distinct().withColumn("a", _anchor(F.col("needle")))
+    sizes = n.agg(F.count("*"), F.min(F.when(F.col("a").startswith("c"), F.length("a") - 1)), F.max(F.when(F.col("a").startswith("c"), F.length("a") - 1))).first()
+
+    def runs(size: int) -> Column:
+        at = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
+        return F.coalesce(F.transform(at, lambda i: F.concat(F.lit("c"), F.substring(F.col(text), i, F.lit(size)))), F.array().cast("array<string>"))
+
+    grams = F.concat(F.array().cast("array<string>"), *[runs(size) for size in range(sizes[1] or 4, (sizes[2] or 3) + 1)])
+    words = F.transform(F.split(text, " "), lambda w: F.concat(F.lit("w"), w))
+    n = F.broadcast(n) if sizes[0] <= ANCHORS else n
+    met = texts.select(*keys, text, F.explode(F.array_distinct(F.concat(words, grams))).alias("a")).join(n, "a")
+    return met.where(F.contains(text, "needle")).select("probe", *keys).distinct()
+
+
+def quote_places(chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """(probe, doc, index, seam): every chunk that holds one of a probe's quotes, or, for a probe without such, the left chunk of every seam that its longest quote runs over.
+
+    ``chunks`` has (doc, index, text), ``gold`` (probe, quote). A seam joins two chunks of one document whose indexes follow each other; of quotes of
+    equal length the first by its words is taken.
+    """
+    needles = gold.select("probe", normal_quote(F.coalesce("quote", F.lit(""))).alias("needle")).where("needle <> ''").distinct()
+    plain = chunks.select("doc", "index", normal_quote(F.col("text")).alias("t"))
+    whole = contained(plain, needles, ["doc", "index"]).withColumn("seam", F.lit(False))
+    longest = needles.groupBy("probe").agg(F.min_by("needle", F.struct(-F.length("needle"), "needle")).alias("needle")).join(whole.select("probe").distinct(), "probe", "left_anti")
+    w = Window.partitionBy("doc").orderBy("index")
+    both = plain.withColumns({"_next": F.lead("t").over(w), "_follows": F.lead("index").over(w) == F.col("index") + 1}).where("_follows").select("doc", "index", F.concat_ws(" ", "t", "_next").alias("t"))
+    return whole.unionByName(contained(both, longest, ["doc", "index"]).withColumn("seam", F.lit(True)))
+
+
+def rank_probes(places: DataFrame, ranking: DataFrame, chunks: DataFrame, gold: DataFrame, budgets: Sequence[int] = (), sources: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """One row a probe: rank, located, quote_in_seam, in_source, lost_text, row_intact, within_<budget>.
+
+    ``ranking`` has (probe, doc, index, rank), ``chunks`` (doc, index, text, tokens). A quote is reached at its best ranked chunk, or behind
+    all that are ranked if none of its chunks is; a seam at the later of its two chunks, and only if both are ranked. ``within_T`` says whether the rank
+    is in the longest prefix of the ranking of at most T tokens. With ``sources`` (text): whether a whole text has the quote, and whether the chunks
+    lost it. With ``rows`` (probe, row_key, row_value): whether one chunk has both; null without a key of 2 characters and a value.
+    """
+    order = ranking.groupBy("probe").agg(F.count("*").alias("n"))
+    at = ranking.select("probe", "doc", "index", F.col("rank").alias("r"))
+    right = at.select("probe", "doc", (F.col("index") - 1).alias("index"), F.col("r").alias("r2"))
+    met = places.join(at, ["probe", "doc", "index"], "left").join(right, ["probe", "doc", "index"], "left")
+    met = met.groupBy("probe").agg(F.min("seam").alias("quote_in_seam"), F.min(F.when(~F.col("seam"), F.col("r"))).alias("single"), F.min(F.when(F.col("seam") & F.col("r").isNotNull() & F.col("r2").isNotNull(), F.greatest("r", "r2"))).alias("pair"))
+    own = gold.select("probe").distinct().join(order, "probe", "left").join(met, "probe", "left")
+    rank = F.when(F.col("quote_in_seam"), F.col("pair")).when(F.col("quote_in_seam").isNotNull(), F.coalesce("single", F.coalesce("n", F.lit(0)) + 1))
+    out = own.select("probe", rank.cast("long").alias("rank"), F.col("quote_in_seam").isNotNull().alias("located"), F.coalesce("quote_in_seam", F.lit(False)).alias("quote_in_seam"))
+    if sources is not None:
+        needles = gold.select("probe", normal_quote(F.coalesce("quote", F.lit(""))).alias("needle"))
+        there = contained(sources.select(normal_quote(F.col("text")).alias("t")), needles, []).select("probe", F.lit(True).alias("in_source"))
+        out = out.join(there, "probe", "left").withColumn("in_source", F.coalesce("in_source", F.lit(False))).withColumn("lost_text", F.col("in_source") & ~F.col("located"))
+    if rows is not None:
+        plain = chunks.select("doc", "index", normal_quote(F.col("text")).alias("t"))
+        keyed = rows.select("probe", normal_quote("row_key").alias("k"), normal_quote("row_value").alias("v")).where("length(k) >= 2 and length(v) >= 1")
+        has_key = contained(plain, keyed.select("probe", F.col("k").alias("needle")), ["doc", "index", "t"])
+        intact = has_key.join(keyed, "probe").where(F.contains("t", "v")).select("probe").distinct().withColumn("_hit", F.lit(True))
+        out = out.join(keyed.select("probe").distinct().join(intact, "probe", "left").select("probe", F.coalesce("_hit", F.lit(False)).alias("row_intact")), "probe", "left")
+    if budgets:
+        run = F.sum("tokens").over(Window.partitionBy("probe").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+        used = ranking.join(chunks.select("doc", "index", "tokens"), ["doc", "index"]).withColumn("used", run)
+        taken = used.groupBy("probe").agg(*[F.count_if(F.col("used") <= t).alias(f"_taken_{t}") for t in budgets])
+        out = out.join(taken, "probe", "left").withColumns({f"within_{t}": F.coalesce(F.col("rank") <= F.col(f"_taken_{t}"), F.lit(False)) for t in budgets}).drop(*[f"_taken_{t}" for t in budgets])
+    return out
+
+
+def recall_report(ranked: DataFrame, ks: Sequence[int], budgets: Sequence[int] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Over all probes, or for each value of ``by``: n, seam_quotes, percentages of what is cut by a boundary, located, lost, kept in one row, found by each k and token budget, and the mean reciprocal rank."""
+    share = lambda hit, of=F.count("*"): F.round(100.0 * F.count_if(hit) / of, 2)
+    parts = [F.count("*").alias("n"), F.count_if("quote_in_seam").alias("seam_quotes"), share(F.col("quote_in_seam")).alias("cut_by_boundary_pct"), F.count_if("located").alias("located_n"), share(F.col("located")).alias("located_pct")]
+    if "lost_text" in ranked.columns:
+        parts.append(F.count_if("lost_text").alias("lost_text_n"))
+    if "row_intact" in ranked.columns:
+        parts += [F.count("row_intact").alias("row_intact_n"), share(F.col("row_intact"), F.nullif(F.count("row_intact"), F.lit(0))).alias("row_intact_pct")]
+    parts += [share(F.coalesce(F.col("rank") <= k, F.lit(False))).alias(f"recall_{k}") for k in ks] + [share(F.col(f"within_{t}")).alias(f"recall_{t}_tokens") for t in budgets]
+    parts += [F.round(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))) / F.count("*"), 4).alias("mrr"), share(F.col("rank").isNotNull()).alias("found_at_all")]
+    return ranked.groupBy(*by).agg(*parts)

@@ -55,26 +55,27 @@ SELECT query_id, rank, path, content FROM b WHERE m = 1 OR content IS NULL"""
 
 
 def citation_owners(spark, sf_dir):
-    o = V.ownership(citations(spark, sf_dir), owners_table(spark, sf_dir))
+    o = V.owners_by_name(citations(spark, sf_dir), owners_table(spark, sf_dir))
     return o.select("path", "via", F.array_join("companies", ",").alias("companies"), "n_hashes", "ambiguous")
 
 
 _OWNERS = f"""{CITE}, {OWN}, paths AS (SELECT DISTINCT path FROM cite),
-exact AS (SELECT DISTINCT p.path, o.sha256, 'path' AS via FROM paths p JOIN own o USING (path)),
-named AS (SELECT DISTINCT p.path, o.sha256, 'basename' AS via FROM paths p JOIN own o ON split_part(p.path, '/', 2) = split_part(o.path, '/', 2) WHERE p.path NOT IN (SELECT path FROM exact)),
-wide AS (SELECT h.path, h.via, h.sha256, o.company FROM (SELECT * FROM exact UNION ALL SELECT * FROM named) h JOIN (SELECT DISTINCT sha256, company FROM own) o USING (sha256)),
-owners AS (SELECT path, min(via) AS via, coalesce(string_agg(DISTINCT company, ',' ORDER BY company), '') AS companies, count(DISTINCT sha256) AS n_hashes, count(DISTINCT company) AS n_companies FROM wide GROUP BY path)"""
+exact AS (SELECT DISTINCT p.path, o.sha256, o.company, 'path' AS via FROM paths p JOIN own o USING (path)),
+named AS (SELECT DISTINCT p.path, o.sha256, o.company, 'basename' AS via FROM paths p JOIN own o ON split_part(p.path, '/', 2) = split_part(o.path, '/', 2) WHERE p.path NOT IN (SELECT path FROM exact)),
+met AS (SELECT * FROM exact UNION ALL SELECT * FROM named), judged AS (SELECT path, min(via) AS via, count(DISTINCT sha256) AS n_hashes, count(DISTINCT company) AS n_companies FROM met GROUP BY path),
+wide AS (SELECT path, company FROM met UNION SELECT m.path, o.company FROM met m JOIN own o USING (sha256)), all_ AS (SELECT path, coalesce(string_agg(DISTINCT company, ',' ORDER BY company), '') AS companies FROM wide GROUP BY path),
+owners AS (SELECT path, via, CASE WHEN n_hashes > 1 AND n_companies > 1 THEN '' ELSE companies END AS companies, n_hashes, n_companies FROM judged JOIN all_ USING (path))"""
 OWNERS = f"WITH {_OWNERS} SELECT path, via, companies, n_hashes, n_hashes > 1 AND n_companies > 1 AS ambiguous FROM owners"
 
 
 def scope_filter(spark, sf_dir):
     c = citations(spark, sf_dir)
     allowed = F.array(F.concat(F.lit("co"), _text(F.col("query_id") % 3)))
-    s = V.scope(c, V.ownership(c, owners_table(spark, sf_dir)), allowed)
+    s = V.scope(c, V.owners_by_name(c, owners_table(spark, sf_dir)), allowed)
     return s.groupBy("query_id", "scope").agg(F.count("*").alias("n"))
 
 
-SCOPE = f"""WITH {_OWNERS}, j AS (SELECT c.query_id, CASE WHEN o.path IS NULL OR o.companies = '' THEN 'unattributable' WHEN n_hashes > 1 AND n_companies > 1 THEN 'ambiguous'
+SCOPE = f"""WITH {_OWNERS}, j AS (SELECT c.query_id, CASE WHEN n_hashes > 1 AND n_companies > 1 THEN 'ambiguous' WHEN o.path IS NULL OR o.companies = '' THEN 'unattributable'
   WHEN list_contains(string_split(o.companies, ','), 'co' || CAST(c.query_id % 3 AS VARCHAR)) THEN 'kept' ELSE 'other' END AS scope FROM cite c LEFT JOIN owners o USING (path))
 SELECT query_id, scope, count(*) AS n FROM j GROUP BY ALL"""
 
@@ -119,42 +120,78 @@ SELECT conv_id, turn, block, CASE WHEN used > 400 THEN length(block) ELSE used E
 
 
 def _quotes(spark, sf_dir):
-    """Pieces of a conversation's turns as quotes: from one turn, over the seam of two, and from another conversation."""
-    c = _t(spark, sf_dir, "conversations").where("text is not null").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    own = c.where("turn % 2 = 1").select(F.col("conv_id").alias("probe"), F.col("turn").alias("quote_id"), F.substring("text", 5, 30).alias("quote"), F.lit(2).alias("grade"))
-    over = c.where("turn % 4 = 0 and next is not null").select(F.col("conv_id").alias("probe"), (F.col("turn") + 1000).alias("quote_id"), F.concat(F.right("text", F.lit(12)), F.lit(" "), F.left("next", F.lit(12))).alias("quote"), F.lit(1).alias("grade"))
+    """(units, quotes): a conversation's turns as units; pieces of them as quotes, in quote marks, repeated, blank, badly graded, and from another conversation."""
+    c = _t(spark, sf_dir, "conversations").where("text is not null")
+    n = F.col("turn")
+    own = c.where("turn % 2 = 1").select(F.col("conv_id").alias("probe"), n.alias("quote_id"), F.concat(F.lit(" “"), F.translate(F.substring("text", 5, 30), "aeiou", "AEIOU"), F.lit("” ")).alias("quote"), F.when(n % 3 == 0, None).otherwise(n % 7).cast("int").alias("grade"))
+    again = own.select("probe", (F.col("quote_id") + 1000).alias("quote_id"), "quote", F.lit(0).alias("grade"))
+    blank = c.where("turn = 0").select(F.col("conv_id").alias("probe"), F.lit(4000).cast("long").alias("quote_id"), F.lit(" '' ").alias("quote"), F.lit(1).alias("grade"))
     other = c.where("turn = 0").select((F.col("conv_id") + 1).alias("probe"), F.lit(5000).cast("long").alias("quote_id"), F.substring("text", 1, 60).alias("quote"), F.lit(1).alias("grade"))
     units = c.select(F.col("conv_id").alias("probe"), (F.col("turn") + 1).alias("rank"), "text")
-    return V.credit(units, own.unionByName(over).unionByName(other))
+    return units, own.unionByName(again).unionByName(blank).unionByName(other)
 
 
 def quote_credit(spark, sf_dir):
-    return _quotes(spark, sf_dir).select("probe", "quote_id", "rank", "seam", "grade")
+    return V.credit(*_quotes(spark, sf_dir))
 
 
 def unit_grades(spark, sf_dir):
-    return V.unit_grades(_quotes(spark, sf_dir))
+    units, quotes = _quotes(spark, sf_dir)
+    return V.unit_grades(V.credit(units, quotes), units)
+
+
+_PLAIN = r"""regexp_replace(lower(trim(regexp_replace({0}, '\s+', ' ', 'g'))), '^["''“”‘’` ]+|["''“”‘’` ]+$', '', 'g')"""
+_CREDIT = rf"""WITH c AS (SELECT * FROM conversations WHERE text IS NOT NULL), own AS (SELECT conv_id AS probe, turn AS quote_id, substr(text, 5, 30) AS quote, CASE WHEN turn % 3 > 0 THEN turn % 7 END AS grade FROM c WHERE turn % 2 = 1),
+q AS (SELECT * FROM own UNION ALL SELECT conv_id + 1, 5000, substr(text, 1, 60), 1 FROM c WHERE turn = 0),
+p AS (SELECT probe, quote_id, CAST(CASE WHEN grade IN (0, 1, 2) THEN grade ELSE 2 END AS INTEGER) AS grade, {_PLAIN.format("quote")} AS p FROM q),
+d AS (SELECT * FROM p WHERE p <> '' QUALIFY row_number() OVER (PARTITION BY probe, p ORDER BY quote_id) = 1), u AS (SELECT conv_id AS probe, turn + 1 AS rank, {_PLAIN.format("text")} AS t FROM c),
+credited AS (SELECT d.probe, quote_id, grade, min(rank) FILTER (WHERE contains(t, p)) AS rank FROM d LEFT JOIN u ON d.probe = u.probe GROUP BY ALL)"""
+CREDIT = f"{_CREDIT} SELECT probe, quote_id, rank, grade FROM credited"
+UNIT_GRADES = f"{_CREDIT} SELECT probe, rank, coalesce(max(grade), 0) AS grade FROM u LEFT JOIN credited USING (probe, rank) GROUP BY ALL"
+
+
+def _ranked(spark, sf_dir):
+    """Passages of benchmark items sought in chunks of documents; each item ranks the chunks of one document in twenty by a fixed mixing of numbers."""
+    d = _t(spark, sf_dir, "documents")
+    chunks = chunking.fixed_chunks(d, 30, 5).select(F.col("doc_id").alias("doc"), F.col("chunk").alias("index"), F.col("body").alias("text"), F.col("n_tokens").alias("tokens"))
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), F.regexp_extract_all("text", F.lit(chunking.WORD), F.lit(0)).alias("w"))
+    gold = b.select("probe", F.explode(F.array(F.array_join(F.slice("w", 3, 9), " "), F.array_join(F.slice("w", 12, 12), "  "), F.lit(" "))).alias("quote"))
+    rows = b.where("probe % 3 > 0").select("probe", F.when(F.col("probe") % 3 == 1, F.get("w", F.lit(3))).alias("row_key"), F.get("w", F.lit(5)).alias("row_value"))
+    mixed = (F.col("doc") * 31 + F.col("index") * 17 + F.col("probe") * 7) % 1009
+    met = chunks.join(b.select("probe"), F.col("doc") % 20 == F.col("probe") % 20)
+    ranking = V.top_k(met.select("probe", "doc", "index", mixed.alias("m")), ["probe"], [F.col("m"), F.col("doc"), F.col("index")], 400)
+    return V.rank_probes(V.quote_places(chunks, gold), ranking, chunks, gold, [500, 5000], d, rows)
+
+
+def ranked_probes(spark, sf_dir):
+    return _ranked(spark, sf_dir)
 
 
 def retrieval_report(spark, sf_dir):
-    """By grade of the quotes."""
-    found = V.retrieval_aggregate(_quotes(spark, sf_dir), [1, 3], ["grade"])
-    return found.select("grade", "probes", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "mrr", "located", "on_seams")])
-
-
-_CREDIT = r"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE text IS NOT NULL),
-q AS (SELECT conv_id AS probe, turn AS quote_id, substr(text, 5, 30) AS quote, 2 AS grade FROM c WHERE turn % 2 = 1
-  UNION ALL SELECT conv_id, turn + 1000, right(text, 12) || ' ' || left(next, 12), 1 FROM c WHERE turn % 4 = 0 AND next IS NOT NULL
-  UNION ALL SELECT conv_id + 1, 5000, substr(text, 1, 60), 1 FROM c WHERE turn = 0),
-u AS (SELECT conv_id AS probe, turn + 1 AS rank, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM c),
-w AS (SELECT *, concat_ws(' ', lag(t) OVER (PARTITION BY probe ORDER BY rank), t) AS two FROM u),
-f AS (SELECT q.probe, quote_id, grade, min(rank) FILTER (WHERE contains(t, p)) AS whole, min(rank) FILTER (WHERE contains(two, p)) AS over_
-  FROM (SELECT *, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS p FROM q) q LEFT JOIN w ON q.probe = w.probe GROUP BY ALL),
-credited AS (SELECT probe, quote_id, grade, coalesce(whole, over_) AS rank, whole IS NULL AND over_ IS NOT NULL AS seam FROM f)"""
-CREDIT = f"{_CREDIT} SELECT probe, quote_id, rank, seam, grade FROM credited"
-UNIT_GRADES = f"{_CREDIT} SELECT probe, rank, max(grade) AS grade FROM credited WHERE rank IS NOT NULL GROUP BY ALL"
-REPORT = f"""{_CREDIT}, e AS (SELECT probe, grade, count(*) AS n, min(rank) AS first_, count(rank) AS found, count(*) FILTER (WHERE seam) AS seams, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 3) AS h3 FROM credited GROUP BY ALL)
-SELECT grade, count(*) AS probes, round(avg(h1 / n), 6) AS recall_1, round(avg(h3 / n), 6) AS recall_3, round(avg(coalesce(1 / first_, 0)), 6) AS mrr, round(sum(found) / sum(n), 6) AS located, round(sum(seams) / sum(n), 6) AS on_seams FROM e GROUP BY grade"""
+    """By thirds of the items."""
+    return V.recall_report(_ranked(spark, sf_dir).withColumn("third", F.col("probe") % 3), [5, 100], [500, 5000], ["third"])
+
+
+_RANKED = rf"""WITH w AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), s AS (SELECT doc, w, unnest(range(0, len(w), 25)) AS i FROM w),
+ch AS (SELECT doc, CAST(i // 25 AS BIGINT) AS index, w[i + 1 : i + 30] AS p FROM s WHERE i = 0 OR i + 5 < len(w)), c AS (SELECT doc, index, len(p) AS tokens, {_PLAIN.format("array_to_string(p, ' ')")} AS t FROM ch),
+b AS (SELECT item_id AS probe, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+g AS (SELECT probe, {_PLAIN.format("q")} AS q FROM (SELECT probe, unnest([array_to_string(w[3:11], ' '), array_to_string(w[12:23], '  ')]) AS q FROM b)), n AS (SELECT DISTINCT probe, q FROM g WHERE q <> ''),
+k AS (SELECT probe, doc, index, tokens, row_number() OVER (PARTITION BY probe ORDER BY (doc * 31 + index * 17 + probe * 7) % 1009, doc, index) AS rank FROM c JOIN b ON doc % 20 = probe % 20 QUALIFY rank <= 400),
+o AS (SELECT probe, count(*) AS n FROM k GROUP BY probe), whole AS (SELECT DISTINCT probe, doc, index FROM n JOIN c ON contains(t, q)),
+two AS (SELECT doc, index, t || ' ' || lead(t) OVER (PARTITION BY doc ORDER BY index) AS t FROM c), long AS (SELECT probe, arg_min(q, (-length(q), q)) AS q FROM n WHERE probe NOT IN (SELECT probe FROM whole) GROUP BY probe),
+seams AS (SELECT DISTINCT probe, doc, index FROM long JOIN two ON contains(t, q)),
+r AS (SELECT w.probe, coalesce(min(k.rank), max(coalesce(n, 0)) + 1) AS rank, false AS seam FROM whole w LEFT JOIN k USING (probe, doc, index) LEFT JOIN o ON o.probe = w.probe GROUP BY w.probe
+  UNION ALL SELECT s.probe, min(greatest(a.rank, z.rank)) FILTER (WHERE a.rank IS NOT NULL AND z.rank IS NOT NULL), true FROM seams s LEFT JOIN k a USING (probe, doc, index) LEFT JOIN k z ON z.probe = s.probe AND z.doc = s.doc AND z.index = s.index + 1 GROUP BY s.probe),
+src AS (SELECT DISTINCT probe FROM n JOIN (SELECT {_PLAIN.format("text")} AS t FROM documents) ON contains(t, q)),
+keyed AS (SELECT probe, {_PLAIN.format("w[4]")} AS a, {_PLAIN.format("w[6]")} AS z FROM b WHERE probe % 3 = 1), fine AS (SELECT * FROM keyed WHERE length(a) >= 2 AND length(z) >= 1), intact AS (SELECT DISTINCT probe FROM fine JOIN c ON contains(t, a) AND contains(t, z)),
+run AS (SELECT probe, sum(tokens) OVER (PARTITION BY probe ORDER BY rank) AS used FROM k), taken AS (SELECT probe, count(*) FILTER (WHERE used <= 500) AS a, count(*) FILTER (WHERE used <= 5000) AS z FROM run GROUP BY probe),
+ranked AS (SELECT b.probe, r.rank, r.probe IS NOT NULL AS located, coalesce(seam, false) AS quote_in_seam, b.probe IN (SELECT probe FROM src) AS in_source, b.probe IN (SELECT probe FROM src) AND r.probe IS NULL AS lost_text,
+  CASE WHEN b.probe IN (SELECT probe FROM fine) THEN b.probe IN (SELECT probe FROM intact) END AS row_intact, coalesce(r.rank <= taken.a, false) AS within_500, coalesce(r.rank <= taken.z, false) AS within_5000 FROM b LEFT JOIN r USING (probe) LEFT JOIN taken USING (probe))"""
+RANKED = f"{_RANKED} SELECT * FROM ranked"
+REPORT = f"""{_RANKED} SELECT probe % 3 AS third, count(*) AS n, count(*) FILTER (WHERE quote_in_seam) AS seam_quotes, round(100.0 * count(*) FILTER (WHERE quote_in_seam) / count(*), 2) AS cut_by_boundary_pct, count(*) FILTER (WHERE located) AS located_n,
+  round(100.0 * count(*) FILTER (WHERE located) / count(*), 2) AS located_pct, count(*) FILTER (WHERE lost_text) AS lost_text_n, count(row_intact) AS row_intact_n, round(100.0 * count(*) FILTER (WHERE row_intact) / nullif(count(row_intact), 0), 2) AS row_intact_pct,
+  round(100.0 * count(*) FILTER (WHERE rank <= 5) / count(*), 2) AS recall_5, round(100.0 * count(*) FILTER (WHERE rank <= 100) / count(*), 2) AS recall_100, round(100.0 * count(*) FILTER (WHERE within_500) / count(*), 2) AS recall_500_tokens,
+  round(100.0 * count(*) FILTER (WHERE within_5000) / count(*), 2) AS recall_5000_tokens, round(sum(coalesce(1 / rank, 0)) / count(*), 4) AS mrr, round(100.0 * count(rank) / count(*), 2) AS found_at_all FROM ranked GROUP BY ALL"""
 
 
 def token_budget_recall(spark, sf_dir):
@@ -324,12 +361,12 @@ def paired_bootstrap(spark, sf_dir):
 
 QUERIES = {
     "scoped_context": scoped_context, "citation_dedupe": citation_dedupe, "citation_owners": citation_owners, "scope_filter": scope_filter, "rerank_order": rerank_order,
-    "rerank_prefix": rerank_prefix, "citation_top_k": citation_top_k, "context_budget": context_budget, "quote_credit": quote_credit, "unit_grades": unit_grades, "retrieval_report": retrieval_report, "token_budget_recall": token_budget_recall, "cosine_topk": cosine_topk,
+    "rerank_prefix": rerank_prefix, "citation_top_k": citation_top_k, "context_budget": context_budget, "quote_credit": quote_credit, "unit_grades": unit_grades, "ranked_probes": ranked_probes, "retrieval_report": retrieval_report, "token_budget_recall": token_budget_recall, "cosine_topk": cosine_topk,
     "jaccard_topk": jaccard_topk, "ngram_leakage": ngram_leakage, "ranking_metrics": ranking_metrics, "graded_recall": graded_recall, "percentile_rules": percentile_rules,
     "verdict_rates": verdict_rates, "ab_gate": ab_gate, "paired_arms": paired_arms, "paired_bootstrap": paired_bootstrap,
 }
 ORACLE = {
     "scoped_context": CONTEXT, "citation_dedupe": DEDUPE, "citation_owners": OWNERS, "scope_filter": SCOPE, "rerank_order": RERANK, "rerank_prefix": RERANK_PREFIX, "citation_top_k": TOP_K,
-    "context_budget": BUDGET, "quote_credit": CREDIT, "unit_grades": UNIT_GRADES, "retrieval_report": REPORT, "token_budget_recall": TOKENS, "cosine_topk": COSINE, "jaccard_topk": JACCARD, "ngram_leakage": LEAKAGE, "ranking_metrics": RANKING, "graded_recall": RECALL,
+    "context_budget": BUDGET, "quote_credit": CREDIT, "unit_grades": UNIT_GRADES, "ranked_probes": RANKED, "retrieval_report": REPORT, "token_budget_recall": TOKENS, "cosine_topk": COSINE, "jaccard_topk": JACCARD, "ngram_leakage": LEAKAGE, "ranking_metrics": RANKING, "graded_recall": RECALL,
     "percentile_rules": PERCENTILES, "verdict_rates": VERDICTS, "ab_gate": AB, "paired_arms": PAIRED,
 }
