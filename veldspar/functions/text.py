@@ -190,3 +190,22 @@ def nearest_rank(values: Column, index: Column) -> Column:
     """The value at a 0-based index of the sorted array; null for an empty one."""
     sorted_ = F.sort_array(values)
     return F.get(sorted_, F.greatest(F.least(index.cast("int"), F.size(sorted_) - 1), F.lit(0)))
+
+
+def name_candidates(question: Column, matched: Column, ordinary: Column, most: int = 10, longest: int = 40) -> Column:
+    """Runs of one to three capitalised words that aren't a known company: array in order, each once, at most ``most``.
+
+    ``matched`` has the match keys of companies already found, ``ordinary`` lower-case words that are no names. Left out: one
+    word at the very start, runs inside or around a matched name, single ordinary words, short words with a digit, long runs.
+    """
+    pattern = r"(?U)\b[A-Z][A-Za-z0-9&'.\-]*(?:\s+[A-Z][A-Za-z0-9&'.\-]*){0,2}"
+    found = F.transform(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(pattern), F.lit(0)), lambda r, i: F.struct(squeeze(r).alias("run"), ((i == 0) & F.startswith(question, r)).alias("opens")))
+    one = lambda x: F.size(F.split(x, " ")) == 1
+
+    def fits(x: Column) -> Column:
+        key = match_key(x["run"])
+        known = F.exists(matched, lambda m: F.contains(m, key) | F.contains(key, m))
+        dull = one(key) & (F.array_contains(ordinary, key) | (key.rlike("[0-9]") & (F.length(key) <= 4)))
+        return ~(x["opens"] & one(x["run"])) & ~known & ~dull & (F.length(x["run"]) <= longest)
+
+    return F.slice(F.array_distinct(F.transform(F.filter(found, fits), lambda x: x["run"])), 1, most)

@@ -1,10 +1,11 @@
-"""Probe sets: shared runs of text between sets of questions."""
+"""Probe sets: shared runs of text between sets of questions, codes that look like others, probes that ask for codes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import identifiers
 from ..runtime import cut
 
 
@@ -52,3 +53,80 @@ def longest_shared_run(left: DataFrame, right: DataFrame, id_col: str = "id", te
     found = ours.groupBy(F.col(id_col).alias("_i")).agg(F.max("c").alias("longest"))
     ids = left.select(id_col).distinct()
     return ids.join(found, F.col(id_col).eqNullSafe(F.col("_i")), "left").select(id_col, F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+
+
+#: The ways in which a question may spell a code, in turn.
+EDGE_VARIANTS = ("lowercase_code", "hyphen_as_space", "trailing_comma")
+BOTH, ONE, CONTROL = "two_code_both_present", "two_code_one_absent", "control_unanswerable"
+
+
+def lookalikes(codes: DataFrame, pool: DataFrame, most: int = 3) -> DataFrame:
+    """(code, fake, place): for each code, codes that differ in one digit and that ``pool`` (code) doesn't have, at most ``most``.
+
+    Each digit is replaced by each other one, so a code has nine times as many neighbours as digits; they are anti joined
+    to the pool on equality and the first by name are kept.
+    """
+    at = F.sequence(F.lit(1), F.length("code"))
+    digits = F.filter(F.when(F.length("code") > 0, at), lambda i: F.substring(F.col("code"), i, F.lit(1)).rlike("[0-9]"))
+    swap = lambda i, d: F.overlay(F.col("code"), d.cast("string"), i, F.lit(1))
+    each = F.flatten(F.transform(digits, lambda i: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: swap(i, d))))
+    near = codes.select("code").distinct().select("code", F.explode(F.array_distinct(each)).alias("fake"))
+    free = near.join(pool.select(F.col("code").alias("fake")).distinct(), "fake", "left_anti")
+    place = F.row_number().over(Window.partitionBy("code").orderBy("fake"))
+    return free.select("code", "fake", place.alias("place")).where(F.col("place") <= most)
+
+
+def spelt(code: Column, variant: Column, turn: Column) -> Column:
+    """A code as one of EDGE_VARIANTS spells it; which hyphen opens goes in turns."""
+    parts = F.split(code, "-")
+    hyphens = F.size(parts) - 1
+    cut = F.pmod(turn, F.greatest(hyphens, F.lit(1))).cast("int") + 1
+    opened = F.concat_ws(" ", F.array_join(F.slice(parts, F.lit(1), cut), "-"), F.array_join(F.slice(parts, cut + 1, F.size(parts)), "-"))
+    return F.when(variant == "lowercase_code", F.lower(code)).when(variant == "trailing_comma", F.concat(code, F.lit(","))).otherwise(F.when(hyphens > 0, opened).otherwise(code))
+
+
+def expected_gates(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``rows`` with asked, unsupported (arrays in the question's order) and expected_gate: fire, not_fire or no_identifier.
+
+    ``rows`` has (probe, question, company, doc), ``pieces`` (company, doc, text). A probe with a document is held against that document's pieces, one
+    without against all of its company's; asked codes meet distinct tokens on equality. Questions are sanitised.
+    """
+    found = pieces.select("company", "doc", F.explode(identifiers(F.col("text"))).alias("code"))
+    there = found.select("company", F.col("doc").cast("string").alias("scope"), "code").unionByName(found.select("company", F.lit(None).cast("string").alias("scope"), "code")).distinct()
+    asked = rows.select("probe", "company", F.col("doc").cast("string").alias("scope"), F.posexplode(identifiers(F.col("question"))).alias("at", "code"))
+    same = (F.col("l.company").eqNullSafe(F.col("r.company"))) & F.col("l.scope").eqNullSafe(F.col("r.scope")) & (F.col("l.code") == F.col("r.code"))
+    judged = asked.alias("l").join(there.withColumn("hit", F.lit(True)).alias("r"), same, "left").select("l.probe", "l.at", "l.code", "r.hit")
+    lists = judged.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.struct("at", "code")))).alias("u"))
+    names = lambda c: F.coalesce(F.transform(c, lambda x: x["code"]), F.array().cast("array<string>"))
+    out = rows.join(lists, "probe", "left").withColumns({"asked": names("a"), "unsupported": names("u")}).drop("a", "u")
+    return out.withColumn("expected_gate", F.when(F.size("asked") == 0, "no_identifier").when(F.size("unsupported") > 0, "fire").otherwise("not_fire"))
+
+
+def identifier_probes(facts: DataFrame, pieces: DataFrame, absent: DataFrame, templates: list[str], every: int = 4, pairs: int = 3) -> DataFrame:
+    """(probe, kind, company, doc, question, asked, unsupported, expected_gate): probes that ask for codes.
+
+    ``facts`` has (company, doc, fact, code), ``absent`` (company, code) codes that no piece of the company has, ``pieces`` (company, doc, text). Facts of a company
+    are numbered by code and ask by the ``templates`` ({code}, {company}) in turn; each ``every``-th also with its code spelt otherwise. Neighbours in a document's order
+    are asked for together, at most ``pairs`` of a company, documents in order; so are as many facts with an absent code, both in turn.
+    Each absent code is a control, held against all of its company. Probe ids are <company>-s/e/t/x/u<number>.
+    """
+    number = F.row_number().over(Window.partitionBy("company").orderBy("code", "fact")) - 1
+    f = facts.withColumn("n", number)
+    shape = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("n") % len(templates) + 1).cast("int"))
+    fill = lambda t, code: F.replace(F.replace(t, F.lit("{code}"), code), F.lit("{company}"), F.col("company").cast("string"))
+    name = lambda kind, n: F.concat(F.col("company").cast("string"), F.lit(f"-{kind}"), (n + 1).cast("string"))
+    cols = lambda kind, question, probe, doc=F.col("doc"): [probe.alias("probe"), kind.alias("kind"), F.col("company"), doc.cast("string").alias("doc"), question.alias("question")]
+    plain = f.select(*cols(F.lit("identifier_answerable"), fill(shape, F.col("code")), name("s", F.col("n"))))
+    turn = F.floor(F.col("n") / every)
+    variant = F.element_at(F.array(*[F.lit(v) for v in EDGE_VARIANTS]), (turn % len(EDGE_VARIANTS) + 1).cast("int"))
+    edge = f.where(F.col("n") % every == 0).select(*cols(F.concat(F.lit("edge_"), variant), fill(shape, spelt(F.col("code"), variant, turn)), name("e", F.col("n"))))
+    second = F.lead("code").over(Window.partitionBy("company", "doc").orderBy("code", "fact"))
+    two = f.withColumn("other", second).where("other is not null").withColumn("k", F.row_number().over(Window.partitionBy("company").orderBy("doc", "code", "fact")) - 1).where(F.col("k") < pairs)
+    both = two.select(*cols(F.lit(BOTH), F.concat(F.lit("Both "), F.col("code"), F.lit(" and "), F.col("other"), F.lit(" came up in the review - what outcome was recorded for each?")), name("t", F.col("k"))))
+    gone = absent.select("company", F.col("code").alias("fake")).distinct().withColumn("m", F.row_number().over(Window.partitionBy("company").orderBy("fake")) - 1)
+    counts = gone.groupBy("company").agg(F.max(F.col("m") + 1).alias("of"))
+    mixed = f.where(F.col("n") < pairs).join(counts, "company").withColumn("m", (F.col("n") % F.col("of")).cast("int")).join(gone, ["company", "m"])
+    one = mixed.select(*cols(F.lit(ONE), F.concat(F.col("code"), F.lit(" and "), F.col("fake"), F.lit(" were both raised - what outcome was recorded for each?")), name("x", F.col("n"))))
+    control = gone.select(*cols(F.lit(CONTROL), F.concat(F.lit("What outcome was recorded for "), F.col("fake"), F.lit("?")), name("u", F.col("m")), F.lit(None)))
+    rows = plain.unionByName(edge).unionByName(both).unionByName(one).unionByName(control)
+    return expected_gates(rows, pieces)
