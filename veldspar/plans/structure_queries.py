@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, jsontree, probes
+from ..operators import chunking, graph, jsontree, probes, structure
 from .retrieval_queries import CITE, _t, citations
 
 
@@ -149,11 +149,76 @@ h AS (SELECT DISTINCT n, substr(rest, 1, n) AS g FROM k, n WHERE length(rest) >=
 f AS (SELECT id, max(n) AS longest FROM p JOIN h ON substr(t, i, n) = g AND length(t) - i + 1 >= n GROUP BY id)
 SELECT item_id AS id, coalesce(longest, 0) AS longest FROM benchmark LEFT JOIN f ON item_id = id"""
 
+def reports(spark, sf_dir):
+    """A report for each customer: headings, running lines, page marks, captions, tables, lists and prose for each order."""
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    part = F.concat_ws("\n", F.concat(F.lit("## 1.1 Order "), _s(k)), F.concat(F.lit("Status "), F.col("o_orderstatus"), F.lit(" of priority "), F.col("o_orderpriority"), F.lit(". It goes on for a while, so that it must be cut.")), F.lit(""), F.lit("Table 1: prices"), F.lit("| Key | Price |"),
+        F.lit("|-----|-------|"), F.concat(F.lit("| first | "), _s(k), F.lit(" |")), F.concat(F.lit("| second | "), _s(k + 1), F.lit(" |")), F.lit(""), F.lit("- ship it"), F.lit("  and bill it"), F.lit("Acme Corp confidential"), F.concat(F.lit("Page "), _s(k % 2)), F.lit(""))
+    g = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), part.alias("part")))), lambda x: x["part"]), "\n").alias("body"))
+    return g.select("doc_id", F.concat(F.lit("# Customer report\nAcme Corp confidential\n"), F.col("body")).alias("text"))
+
+
+_REPORTS = """ol AS (SELECT o_custkey AS doc, o_orderkey AS k, unnest(['## 1.1 Order ' || o_orderkey, 'Status ' || o_orderstatus || ' of priority ' || o_orderpriority || '. It goes on for a while, so that it must be cut.', '', 'Table 1: prices', '| Key | Price |', '|-----|-------|', '| first | ' || o_orderkey || ' |',
+  '| second | ' || (o_orderkey + 1) || ' |', '', '- ship it', '  and bill it', 'Acme Corp confidential', 'Page ' || (o_orderkey % 2), '']) AS line, unnest(['heading', 'text', 'blank', 'caption', 'table', 'separator', 'table', 'table', 'blank', 'bullet', 'text', 'text', 'page_mark', 'blank']) AS kind FROM orders),
+l AS (SELECT doc, line, kind FROM ol UNION ALL SELECT DISTINCT o_custkey, '# Customer report', 'heading' FROM orders UNION ALL SELECT DISTINCT o_custkey, 'Acme Corp confidential', 'text' FROM orders),
+fu AS (SELECT doc, lower(trim(line)) AS key, count(*) AS n, count(*) FILTER (WHERE kind = 'page_mark') AS page_marks FROM l WHERE lower(trim(line)) IN ('acme corp confidential', 'page 0', 'page 1', 'table 1: prices', 'and bill it') GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+def report_kinds(spark, sf_dir):
+    return structure.lines(reports(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+REPORT_KINDS = f"WITH {_REPORTS} SELECT kind, count(*) AS n FROM l GROUP BY kind"
+
+
+def report_furniture(spark, sf_dir):
+    return structure.furniture(structure.lines(reports(spark, sf_dir)))
+
+
+REPORT_FURNITURE = f"WITH {_REPORTS} SELECT * FROM fu"
+
+
+def report_pieces(spark, sf_dir):
+    """All reports in pieces of 60 tokens at most."""
+    found = structure.with_headers(structure.pieces(reports(spark, sf_dir), 60, 20))
+    return found.withColumn("section", F.array_join("section", "|"))
+
+
+def report_coverage(spark, sf_dir):
+    """Words of the reports without furniture, and how many of them the pieces lack."""
+    text = reports(spark, sf_dir)
+    marked = structure.lines(text)
+    kept = marked.withColumn("key", structure.running_key(F.col("line"))).join(structure.furniture(marked), ["doc", "key"], "left_anti")
+    words = lambda df, c: df.select("doc", F.explode(F.filter(F.regexp_extract_all(c, F.lit(chunking.WORD), F.lit(0)), lambda w: w.rlike(r"[\p{L}\p{Nd}]"))).alias("w"))
+    found = chunking.coverage(words(kept, "line"), words(structure.pieces(text, 60, 20), "body"), "doc")
+    return found
+
+
+REPORT_COVERAGE = rf"""WITH {_REPORTS}, kept AS (SELECT doc, line FROM l WHERE (doc, lower(trim(line))) NOT IN (SELECT (doc, key) FROM fu)),
+w AS (SELECT doc, count(*) AS expected FROM (SELECT doc, unnest(regexp_extract_all(line, '\S+')) AS w FROM kept) WHERE regexp_matches(w, '[A-Za-z0-9]') GROUP BY doc) SELECT doc, expected, CAST(0 AS BIGINT) AS missing, 100.0 AS covered_pct FROM w"""
+
+
+def document_pieces(spark, sf_dir):
+    found = structure.with_headers(structure.pieces(_t(spark, sf_dir, "documents"), 400, 40))
+    return found.withColumn("section", F.array_join("section", "|"))
+
+
+def piece_payloads(spark, sf_dir):
+    """Pieces of documents as one text each; every ninth document holds the first delimiter itself."""
+    d = _t(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("as <<<CHUNK-BREAK>>> says. "), F.col("text"))).otherwise(F.col("text"))
+    found = structure.payloads(structure.pieces(d.withColumn("text", text), 400, 40))
+    held = F.size(F.filter(F.split("payload", "<<<[A-Z-]+>>>"), lambda x: x != ""))
+    return found.select("doc", F.trim(F.translate("delimiter", "\n", "")).alias("delimiter"), held.alias("texts"), F.length("payload").alias("n_chars"))
+
+
 QUERIES = {
     "json_shapes": json_shapes, "context_units": context_units, "payload_sources": payload_sources, "subgraph_nodes": subgraph_nodes, "graph_evidence": graph_evidence, "related_neighbors": related_neighbors,
-    "graph_citations": graph_citations, "shared_runs": shared_runs,
+    "graph_citations": graph_citations, "shared_runs": shared_runs, "report_kinds": report_kinds, "report_furniture": report_furniture, "report_pieces": report_pieces, "report_coverage": report_coverage,
+    "document_pieces": document_pieces, "piece_payloads": piece_payloads,
 }
 ORACLE = {
     "json_shapes": JSON_SHAPES, "context_units": CONTEXT_UNITS, "payload_sources": PAYLOAD_SOURCES, "subgraph_nodes": SUBGRAPH_NODES, "graph_evidence": GRAPH_EVIDENCE, "related_neighbors": RELATED,
-    "graph_citations": GRAPH_CITATIONS, "shared_runs": SHARED_RUNS,
+    "graph_citations": GRAPH_CITATIONS, "shared_runs": SHARED_RUNS, "report_kinds": REPORT_KINDS, "report_furniture": REPORT_FURNITURE, "report_coverage": REPORT_COVERAGE,
 }
