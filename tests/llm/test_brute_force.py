@@ -332,3 +332,18 @@ def test_oracle(spark):
         cols = [d[0] for d in rel.description]
         got = {tuple(r[c] for c in cols) for r in QUERIES[name](spark, SMALL).collect()}
         assert got == set(rel.fetchall())
+
+
+@pytest.mark.parametrize("slots", [1, 3, 40, 500, 1 << 17])
+def test_every_source_gets_its_target(spark, slots):
+    rng = random.Random(slots)
+    sizes = {"a": [rng.randint(0, 900) for _ in range(40)], "b": [100, 50], "c": [1], None: [7, 0, 3], "d": [rng.randint(1, 5) for _ in range(60)]}
+    rows = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), slots=slots).collect()
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    totals = [sum(sizes[s]) for s in order]
+    targets = dict(zip(order, mixing.water_fill(totals, [mixing.WEIGHTS[i % 3] for i in range(len(order))]), strict=True))
+    for s in order:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - targets[s]) <= 0.5 and all(r.taken <= 2 * r.size for r in own)
+        assert sorted(r.size for r in own) == sorted(sizes[s])

@@ -62,10 +62,13 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int, n: int) -> Dat
     """(source, rank, slot): which source each slot takes a block from, and how many it took before.
 
     Point frac(i/phi) of slot i falls into the cumulative weights, a source's weight being
-    its target. A source gets ceil(target/block) slots: later points of it are left out,
-    and what the points leave short follows after the last of them.
+    its target. A source gets the slots that its whole passes and the rest of its target
+    need: later points of it are left out, and what the points leave short follows after the last of them.
     """
-    spans = targets.where("target > 0").withColumn("need", F.ceil(F.col("target") / block).cast("long"))
+    whole = F.round("target").cast("long")
+    # every whole pass over a source ends with a block that may be short
+    passes, rest, size = F.floor(whole / F.col("source_size")).cast("long"), whole % F.col("source_size"), F.col("source_size")
+    spans = targets.where("target > 0").withColumn("need", (passes * F.ceil(size / block) + F.ceil(rest / block)).cast("long"))
     order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(F.lit(0))
     spans = spans.withColumn("high", F.sum("target").over(order) / F.sum("target").over(total)).withColumn("low", F.col("high") - F.col("target") / F.sum("target").over(total))
