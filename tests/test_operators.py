@@ -1,6 +1,8 @@
 """Inline values for single operators."""
 
+import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import rows as P
 from veldspar.functions import text as X
-from veldspar.operators import chunking, conversation, graph, lifecycle, metrics, registry, retrieval, runs
+from veldspar.operators import chunking, conversation, evaluation, graph, lifecycle, metrics, registry, retrieval, runs
 from veldspar.sources import files
 from veldspar.streaming import events
 
@@ -367,3 +369,72 @@ def test_recursive_chunks(spark):
     assert got[4:] == [(4, "a b c d e "), (4, "f g")]
     over = [r.body for r in chunking.recursive_chunks(docs.where("doc_id = 4"), 3, 1).orderBy("chunk").collect()]
     assert over == ["a b c ", "c d e ", "e f g"]
+
+
+def test_unanswerable_answers(spark):
+    sources = spark.createDataFrame([("s.md", "The Alpha code is AB-1."), ("t.md", "Other words, zeta.")], "name string, text string")
+    questions = spark.createDataFrame([(f"ab0{i}", "s.md") for i in range(1, 6)], "id string, source_doc string")
+    rows = [
+        ("ab01", "s.md", None, None, None, None, "near-miss", "no such phrase", "It is not in the documents.", ["beta gamma", "delta"], "easy"), ("ab02", "s.md", "x", None, None, None, "unanswerable", "alpha  CODE", "unknown", ["ZETA", " ", "eta"], "odd"),
+        ("ab03", "s.md", "alpha code", ["alpha"], 4, 14, "fact", None, "AB-1", None, "hard"), ("ab04", "s.md", "alpha code", ["alpha"], 4, 14, "fact", None, None, None, None), ("ab05", "s.md", " ", None, None, None, "near-miss", None, "not in the documents", [], "easy"),
+    ]
+    answers = spark.createDataFrame(rows, "id string, source_doc string, evidence string, key_phrases array<string>, start int, end int, shape string, distinctive_phrase string, expected_answer string, absent_terms array<string>, difficulty string")
+    got = {}
+    for r in runs.answer_problems(answers, questions, sources).collect():
+        got.setdefault(r.id, set()).add(r.problem)
+    zeta, eta = (hashlib.sha256(t).hexdigest()[:8] for t in (b"zeta", b"eta"))  # eta stands inside zeta
+    assert got == {
+        "ab02": {"evidence_of_unanswerable", "expected_answer_unsaid", "distinctive_phrase_in_source", "absent_term_blank", f"absent_term_in_source #1 {zeta}", f"absent_term_in_source #3 {eta}", "difficulty_unknown"},
+        "ab04": {"expected_answer_missing", "expected_answer_blank", "difficulty_missing"}, "ab05": {"distinctive_phrase_missing"},
+    }
+
+
+def test_question_files_hold_no_answers(spark):
+    rows = [("ab01", "q", "s.md", "follow-up", "fact", None, [], "", None), ("ab02", "q", "s.md", "single-fact", "fact", None, ["h"], "x", "y"), ("ab03", "q", "s.md", "follow-up", "fact", None, ["h"], " ", "")]
+    q = spark.createDataFrame(rows, "id string, question string, source_doc string, type string, shape string, absent_terms array<string>, history array<string>, evidence string, expected_answer string")
+    got = {(r.id, r.problem) for r in runs.question_problems(q, spark.createDataFrame([("s.md",)], "name string")).collect()}
+    assert got == {("ab01", "history_missing"), ("ab02", "history_unasked"), ("ab02", "evidence_given"), ("ab02", "expected_answer_given")}
+
+
+def test_separation(spark):
+    probes = spark.createDataFrame([(1, "scoped", "A-1"), (2, "scoped", "B-2"), (3, "unanswerable", "Z-9"), (4, "unanswerable", "Y-8")], "probe int, shape string, code string")
+    ranked = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.5), (2, 11, 1, 0.4), (2, 12, 3, 0.1), (3, 10, 1, 0.3)], "probe int, chunk int, rank int, score double")
+    codes = spark.createDataFrame([(10, "A-1"), (10, "C-3"), (12, "B-2"), (11, "C-3")], "chunk int, code string")
+    got = {r["shape"]: r.asDict() for r in runs.separation(probes, ranked, codes, 2).collect()}
+    assert got["scoped"] == {"shape": "scoped", "probes": 2, "code_in_top_k": 1, "lookalikes_min": 1, "lookalikes_max": 1, "best_min": 0.4, "best_median": 0.9, "best_max": 0.9, "rank_min": 1, "rank_max": 3, "with_code_chunk": 2}
+    assert got["unanswerable"] == {"shape": "unanswerable", "probes": 2, "code_in_top_k": 0, "lookalikes_min": 0, "lookalikes_max": 2, "best_min": 0.0, "best_median": 0.3, "best_max": 0.3, "rank_min": None, "rank_max": None, "with_code_chunk": 0}
+
+
+def test_request_reindex(spark):
+    rows = [(1, "a", "failed", "accept", "c", None, False, "t", 2, '{"worker": {"x": 1, "reindex_force": true}, "k": "v"}'), (2, "b", "ingested", "accept", "c", "e", True, "t", 0, None), (3, "d", "failed", "reject", "other", None, False, None, 0, None), (4, "e", "pending", "accept", "c", None, False, None, 0, "old note")]
+    df = spark.createDataFrame([(*r, "upload") for r in rows], "document_id int, path string, status string, validation_state string, company string, error_code string, query_ready boolean, track_id string, retry_count int, warnings_json string, source_type string")
+    got = {r.document_id: r for r in lifecycle.request_reindex(df, company="c").collect()}
+    assert set(got) == {1, 2, 4} and got[2].message == lifecycle.BLOCKED["ingested"] and got[2].warnings_json is None and got[2].error_stage is None and got[1].message is None
+    assert (got[1].status, got[1].error_stage, got[1].error_code, got[1].track_id, got[1].retry_count) == ("pending", "reindex", "reindex_requested", None, 0) and json.loads(got[1].error_detail) == {"force": False, "scope": {"company": "c"}}
+    asked = {"requested_from_status": "failed", "requested_from_validation_state": "accept"}
+    assert json.loads(got[1].warnings_json) == {"k": "v", "worker": {"x": 1, "reindex_requested": True, "reindex_force": False, **asked}, "reindex": {"force": False, "scope": {"company": "c"}, **asked}}
+    assert json.loads(got[4].warnings_json)["legacy_warning"] == "old note"
+    marked = lifecycle.request_reindex(df, True, document_id=2).withColumn("m", lifecycle.reindex_requested(df)).first()
+    assert marked.m and marked.outcome == "queued"
+    for bad in ({}, {"nothing": 1}, {"company": None}):
+        with pytest.raises(ValueError):
+            lifecycle.request_reindex(df, **bad)
+
+
+@pytest.mark.parametrize(
+    ("text", "source", "reason", "kept"),
+    [
+        ("What of the Acme site?", "rewritten", None, "What of the Acme site?"), ("  WHAT of it? ", "unchanged", None, "WHAT of it?"), ("<think>hm</think>\n“What of Acme?”", "rewritten", None, "What of Acme?"), ("<think>hm", "rejected", "reasoning_markers", None),
+        ("```text\nRewritten question: What now?\n```", "rewritten", None, "What now?"), (" '' ", "rejected", "empty", None), (None, "rejected", "empty", None), ("a\nb", "rejected", "multi_line", None), ("x" * 601, "rejected", "too_long", None), ("y" * 260, "rejected", "too_long", None),
+        ("Sure, it is here", "rejected", "answer_like", None), ("See **Sources** there", "rejected", "sources_marker", None), ('{"a": [{"function": 1}]}', "rejected", "tool_call_shape", None), ("[tool_call: x", "rejected", "tool_call_shape", None), ('{"a": 1}', "rewritten", None, '{"a": 1}'), ("It  IS so", "rejected", "identical_to_last_assistant", None),
+    ],
+)
+def test_checked_rewrite(spark, text, source, reason, kept):
+    df = spark.createDataFrame([("What of it?", text, "it is so")], "q string, t string, a string")
+    r = df.select(evaluation.checked_rewrite(F.col("q"), F.col("t"), F.col("a")).alias("r")).first().r
+    assert (r.source, r.reason, r.text) == (source, reason, kept or "What of it?")
+
+
+def test_canned(spark):
+    df = spark.createDataFrame([(evaluation.NO_CONTEXT,), (f"x {evaluation.NO_CONTEXT} y",), ("Sorry",), (None,)], "a string")
+    assert [r[0] for r in df.select(evaluation.is_canned(F.col("a"))).collect()] == [True, True, False, False]

@@ -55,6 +55,53 @@ def rewrite_problem(original: Column, text: Column, most: int = 600) -> Column:
     )
 
 
+#: The answer that says nothing was found, how an answer opens that should have been a question, marks of sources and of reasoning, labels and quotes around a rewrite, keys of a call.
+NO_CONTEXT = "Sorry, I'm not able to provide an answer to that question.[no-context]"
+ANSWER_LIKE = ("answer", "sure", "i'm sorry", "i am sorry", "i cannot", "i can't", "here is", "here are", "the answer", "sorry")
+SOURCE_MARKS = ("\n\n---\n\n**Sources**\n\n", "**Sources**")
+REASONING = ("<think>", "</think>")
+LABEL = r"(?i)^\s*(?:rewritten|standalone|revised|reformulated)\s+question\s*:\s*"
+FENCE = r"(?s)```(?:\w+)?\s*(.*?)```"
+QUOTES = "\"'“”‘’「」『』"
+CALL_KEYS = ("name", "arguments", "function")
+
+
+def is_canned(answer: Column) -> Column:
+    """Whether an answer is, or holds, the canned one that says there was no context."""
+    return F.coalesce(F.contains(answer, F.lit(NO_CONTEXT)), F.lit(False))
+
+
+def checked_rewrite(original: Column, text: Column, last_assistant: Column | None = None, most: int = 600, factor: int = 4, slack: int = 200) -> Column:
+    """struct<text, source, reason, ratio>: what becomes of a model's rewrite of a question.
+
+    Complete reasoning is taken out, then a fence, a label and quotes around the question. Rejected, for the first reason that fits: reasoning_markers, empty, multi_line, too_long,
+    answer_like, sources_marker, tool_call_shape, identical_to_last_assistant; the original stands then. Else unchanged or rewritten, with the ratio of lengths.
+    """
+    squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "(?s)" + REASONING[0] + ".*?" + REASONING[1], "")
+    marked = reduce(lambda a, b: a | b, (F.contains(bare, F.lit(m)) for m in REASONING))
+    open_ = F.when(bare.rlike(FENCE), F.regexp_extract(bare, FENCE, 1)).otherwise(bare)
+    plain = strip(F.regexp_replace(strip(F.regexp_replace(strip(open_), LABEL, "")), f"^[{QUOTES}]+|[{QUOTES}]+$", ""))
+    lines = F.filter(F.split(plain, r"\r\n|[\n\r]"), lambda x: F.trim(x) != "")
+    one = strip(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+    own = F.length(strip(F.coalesce(original, F.lit(""))))
+    shaped = one.rlike(r"^[\[{]")
+    called = shaped & ((F.try_parse_json(one).isNull() & one.startswith("[tool_call")) | (F.try_parse_json(one).isNotNull() & one.rlike('"(?:' + "|".join(CALL_KEYS) + r')"\s*:')))
+    reasons = [
+        (marked, "reasoning_markers"), (plain == "", "empty"), (F.size(lines) != 1, "multi_line"), ((F.length(one) > most) | (F.length(one) > factor * own + slack), "too_long"), (F.lower(one).rlike("^(?:" + "|".join(ANSWER_LIKE) + ")"), "answer_like"),
+        (reduce(lambda a, b: a | b, (F.contains(one, F.lit(m)) for m in SOURCE_MARKS)), "sources_marker"), (called, "tool_call_shape"),
+    ]
+    if last_assistant is not None:
+        reasons.append((F.coalesce((last_assistant != "") & (squeeze(one) == squeeze(last_assistant)), F.lit(False)), "identical_to_last_assistant"))
+    reason = F.lit(None).cast("string")
+    for fits, name in reversed(reasons):
+        reason = F.when(fits, name).otherwise(reason)
+    fine = reason.isNull()
+    source = F.when(~fine, "rejected").when(squeeze(one) == squeeze(F.coalesce(original, F.lit(""))), "unchanged").otherwise("rewritten")
+    return F.struct(F.when(fine, one).otherwise(original).alias("text"), source.alias("source"), reason.alias("reason"), F.when(fine, F.round(F.length(one) / F.greatest(own, F.lit(1)), 3)).alias("ratio"))
+
+
 def size_request(largest: Column, safety: float = 1.2, margin: int = 64, ceiling: int = 8192, floor: int = 64) -> Column:
     """Chunk size to ask for, from the largest piece: with safety and margin, between floor and ceiling."""
     return F.least(F.greatest(F.ceil(largest * safety) + margin, F.lit(floor)), F.lit(ceiling)).cast("long")

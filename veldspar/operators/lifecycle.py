@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,56 @@ def reindex(docs: DataFrame, force: bool = False) -> DataFrame:
     })
 
 
+#: Why a row isn't sent again, in words.
+BLOCKED = {
+    "ingested": "Document is already query-ready; use force=true to resubmit intentionally",
+    "processing_upstream": "Document is already in the upstream ingestion workflow; use force=true to replace that submission",
+    "validation_rejected": "Document is validation-rejected; use force=true to send it back through worker validation",
+    "split_required": "Document is blocked for manual splitting; use force=true only if you want the worker to re-evaluate the same file",
+}
+REQUESTED = "Operator requested reindex; worker will resubmit through normal flow"
+SELECTORS = ("document_id", "path", "status", "validation_state", "company", "source_type")
+
+
+def marked_for_reindex(warnings: Column, force: bool, scope: str, status: Column, state: Column) -> Column:
+    """A row's JSON notes with the marker of a reindex in them: what is there already stays, notes that aren't JSON are kept under legacy_warning."""
+    empty = F.expr("cast(map() as map<string,variant>)")
+    fields = lambda v: F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), empty)
+    text = lambda c: c.cast("variant")
+    raw = F.coalesce(F.nullif(F.trim(warnings), F.lit("")), F.lit("{}"))
+    parsed = F.try_parse_json(raw)
+    notes = F.when(parsed.isNull(), F.create_map(F.lit("legacy_warning"), text(warnings))).otherwise(fields(parsed))
+    asked = {"requested_from_status": text(status), "requested_from_validation_state": text(state)}
+    ours = {"reindex_requested": text(F.lit(True)), "reindex_force": text(F.lit(force)), **asked}
+    keep = lambda m, names: F.map_filter(m, lambda k, v: ~k.isin(*names))
+    named = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)])
+    worker = F.map_concat(keep(fields(F.element_at(notes, "worker")), list(ours)), named(ours))
+    told = named({"force": text(F.lit(force)), "scope": F.parse_json(F.lit(scope)), **asked})
+    whole = F.map_concat(keep(notes, ["worker", "reindex"]), named({"worker": F.to_variant_object(worker), "reindex": F.to_variant_object(told)}))
+    return F.to_json(F.to_variant_object(whole))
+
+
+def request_reindex(docs: DataFrame, force: bool = False, **wanted) -> DataFrame:
+    """Rows that the selectors (SELECTORS) choose, judged by ``reindex``, with error_stage, error_message, error_detail, message and warnings_json.
+
+    Queued rows carry the marker that ``reindex_requested`` reads, and who asked for what; blocked rows keep what they had and say in
+    ``message`` why. At least one selector is needed. ``docs`` has SELECTORS, error_code, query_ready, track_id, retry_count and warnings_json.
+    """
+    chosen = {k: v for k, v in wanted.items() if v is not None}
+    if not chosen or set(chosen) - set(SELECTORS):
+        raise ValueError(f"reindexing needs one of {', '.join(SELECTORS)} at least, and no other")
+    scope = json.dumps(chosen, sort_keys=True, default=str)
+    fits = reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in chosen.items()))
+    j = reindex(docs.where(fits).withColumn("_state", F.col("validation_state")), force)
+    free = F.col("outcome") == "queued"
+    message = F.create_map(*[F.lit(x) for kv in BLOCKED.items() for x in kv])[F.col("reason")]
+    kept = lambda c, new: F.when(free, new).otherwise(F.col(c) if c in docs.columns else F.lit(None).cast("string"))
+    return j.withColumns({
+        "message": message, "error_stage": kept("error_stage", F.lit("reindex")), "error_message": kept("error_message", F.lit(REQUESTED)), "error_detail": kept("error_detail", F.lit(json.dumps({"force": force, "scope": chosen}, sort_keys=True, default=str))),
+        "warnings_json": kept("warnings_json", marked_for_reindex(F.col("warnings_json"), force, scope, F.col("previous_status"), F.col("_state"))),
+    }).drop("_state")
+
+
 def reindex_requested(docs: DataFrame, warnings: str = "warnings_json") -> Column:
     """Whether the marker of a reindex stands in the row's JSON notes; broken notes have none."""
     return F.coalesce(F.get_json_object(warnings, "$.worker.reindex_requested") == "true", F.lit(False))

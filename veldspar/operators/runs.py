@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
+from .retrieval import contained
 
 #: How a citation can name a row, best first; what a citation takes over from its row; verdicts that count.
 VIAS = ("submitted_source", "path", "filename", "original_filename", "basename")
@@ -21,6 +22,9 @@ SHAPES = ("fact", "synthesis", "table", "pdf", "docx", "pptx", "deep-turn", "una
 UNANSWERABLE_SHAPES = ("unanswerable", "near-miss")
 PROBE_ID = r"^[a-z]{2,4}\d{2,3}$"
 MOST_EVIDENCE = 300
+DIFFICULTIES = ("easy", "medium", "hard")
+KEY_FIELDS = ("id", "source_doc", "evidence", "expected_answer", "key_phrases", "location", "difficulty", "shape", "type")
+NOT_THERE = "not in the documents"
 
 
 def primary_rows(matches: DataFrame, within: Sequence[str], allowed: Column) -> DataFrame:
@@ -138,7 +142,10 @@ def merge_answers(questions: DataFrame, answers: DataFrame, fields: Sequence[str
 
 
 def question_problems(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, problem): one row for each broken rule of questions (id, question, source_doc, type, shape, absent_terms)."""
+    """(id, problem): one row for each broken rule of questions (id, question, source_doc, type, shape, absent_terms).
+
+    Where they are among the columns: history (array) belongs to follow-ups and to no others, evidence and expected_answer stay empty in a question file.
+    """
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     names = sources.select(F.col("name").alias("_name")).distinct().withColumn("_there", F.lit(True))
     ids = questions.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"))
@@ -148,32 +155,79 @@ def question_problems(questions: DataFrame, sources: DataFrame) -> DataFrame:
         "id_pattern": ~F.col("id").rlike(PROBE_ID), "id_repeats": F.col("_n") > 1, "type_unknown": ~F.col("type").isin(*TYPES), "shape_unknown": ~F.col("shape").isin(*SHAPES),
         "type_of_unanswerable": none & (F.col("type") != "unanswerable"), "absent_terms": none & ~F.coalesce(F.size("absent_terms").between(3, 6), F.lit(False)), "source_missing": F.col("_there").isNull(),
     }
+    if "history" in questions.columns:
+        told, follows = F.coalesce(F.size("history"), F.lit(0)) > 0, F.coalesce(F.col("type") == "follow-up", F.lit(False))
+        rules |= {"history_missing": follows & ~told, "history_unasked": ~follows & told}
+    rules |= {f"{c}_given": ~blank(c) for c in ("evidence", "expected_answer") if c in questions.columns}
     broken = F.array_compact(F.array(*[F.when(F.coalesce(broke, F.lit(False)), name) for name, broke in rules.items()]))
     return j.select("id", F.explode(broken).alias("problem"))
 
 
 def answer_problems(answers: DataFrame, questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, problem): one row for each broken rule of answers (id, source_doc, evidence, key_phrases, start, end) of answerable probes.
+    """(id, problem): one row for each broken rule of answers (id, source_doc, evidence, key_phrases, start, end), and one for each question without an answer.
 
-    Evidence stands in its source word for word and in its span, key phrases in the evidence; every question has its answer.
+    Evidence stands in its source word for word and in its span, key phrases in the evidence; every question has its answer. With a column ``shape``, rows of
+    UNANSWERABLE_SHAPES have no evidence, an expected answer that says so, and a distinctive phrase and absent terms that no source at all holds; an absent
+    term is told by its place and a hash. Further columns of KEY_FIELDS are judged where they are there: a field may not be null, a difficulty is a known one.
     """
     text = sources.groupBy(F.col("name").alias("_name")).agg(F.min("text").alias("_text"))
     asked = questions.groupBy(F.col("id").alias("_q")).agg(F.min("source_doc").alias("_doc"))
     ids = answers.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n"))
-    j = answers.join(text, basename(F.col("source_doc")) == F.col("_name"), "left").join(asked, F.col("id") == F.col("_q"), "left").join(ids, F.col("id") == F.col("_id"), "left")
+    j = answers.withColumn("_row", F.monotonically_increasing_id()).join(text, basename(F.col("source_doc")) == F.col("_name"), "left").join(asked, F.col("id") == F.col("_q"), "left").join(ids, F.col("id") == F.col("_id"), "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    has = lambda c: c in answers.columns
+    none = F.coalesce(F.col("shape").isin(*UNANSWERABLE_SHAPES), F.lit(False)) if has("shape") else F.lit(False)
     said, there = plain(F.col("evidence")), F.col("_text").isNotNull()
-    given = there & (F.trim(F.coalesce("evidence", F.lit(""))) != "")
+    given = ~none & there & ~blank("evidence")
     span = F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start"))
     placed = F.coalesce((F.col("start") >= 0) & (F.col("end") > F.col("start")), F.lit(False))
-    rules = {
+    rules = {f"{c}_missing": F.col(c).isNull() for c in KEY_FIELDS if has(c) and c not in ("evidence", "key_phrases")} | {
         "id_repeats": F.col("_n") > 1, "no_question": F.col("_q").isNull(), "source_differs": ~F.col("source_doc").eqNullSafe(F.col("_doc")) & F.col("_q").isNotNull(), "source_missing": ~there,
-        "evidence_missing": there & ~given, "evidence_long": given & (F.length("evidence") > MOST_EVIDENCE), "evidence_not_in_source": given & ~F.contains(plain(F.col("_text")), said),
+        "evidence_missing": there & ~none & ~given, "evidence_long": given & (F.length("evidence") > MOST_EVIDENCE), "evidence_not_in_source": given & ~F.contains(plain(F.col("_text")), said),
         "key_phrases": given & (F.coalesce(F.size("key_phrases"), F.lit(0)) < 1), "phrase_not_in_evidence": given & F.exists("key_phrases", lambda p: ~F.contains(said, plain(p))),
         "no_span": given & ~placed, "span_past_end": given & placed & (F.col("end") > F.length("_text")), "span_differs": given & placed & (F.col("end") <= F.length("_text")) & (plain(span) != "") & (plain(span) != said),
+        "evidence_of_unanswerable": there & none & ~blank("evidence"),
     }
+    if has("difficulty"):
+        rules["difficulty_unknown"] = F.col("difficulty").isNotNull() & ~F.col("difficulty").isin(*DIFFICULTIES)
+    if has("expected_answer"):
+        rules |= {"expected_answer_blank": given & blank("expected_answer"), "expected_answer_unsaid": there & none & ~F.coalesce(F.contains("expected_answer", F.lit(NOT_THERE)), F.lit(False))}
+    if has("distinctive_phrase"):
+        rules["distinctive_phrase_missing"] = there & none & blank("distinctive_phrase")
+    if has("absent_terms"):
+        rules["absent_term_blank"] = there & none & F.exists("absent_terms", lambda t: F.coalesce(F.trim(t), F.lit("")) == "")
     broken = F.array_compact(F.array(*[F.when(F.coalesce(broke, F.lit(False)), name) for name, broke in rules.items()]))
+    found = j.select("id", F.explode(broken).alias("problem"))
+    # phrases that no source may hold: each meets the sources' words on an anchor, not text by text
+    phrases = [(F.array(F.struct(F.lit("distinctive_phrase_in_source").alias("problem"), F.col("distinctive_phrase").alias("needle"))) if has("distinctive_phrase") else None), (
+        F.transform("absent_terms", lambda t, i: F.struct(F.concat(F.lit("absent_term_in_source #"), (i + 1).cast("string"), F.lit(" "), F.substring(F.sha2(plain(t), 256), 1, 8)).alias("problem"), t.alias("needle"))) if has("absent_terms") else None)]
+    named = [F.coalesce(p, F.array().cast("array<struct<problem:string,needle:string>>")) for p in phrases if p is not None]
+    if named:
+        n = j.where(there & none).select("id", F.explode(F.concat(*named)).alias("p")).select("id", "p.problem", plain(F.col("p.needle")).alias("needle")).where("needle <> ''")
+        held = contained(sources.select(plain(F.coalesce("text", F.lit(""))).alias("t")), n.select(F.struct("id", "problem").alias("probe"), "needle"), [])
+        found = found.unionByName(held.select("probe.id", "probe.problem"))
     unanswered = questions.select("id").distinct().join(answers.select("id").distinct(), "id", "left_anti").select("id", F.lit("no_answer").alias("problem"))
-    return j.select("id", F.explode(broken).alias("problem")).unionByName(unanswered)
+    return found.unionByName(unanswered)
+
+
+def separation(probes: DataFrame, ranked: DataFrame, chunk_codes: DataFrame, k: int = 16) -> DataFrame:
+    """One row for each shape: does a score tell answerable probes from others, or does the code?
+
+    ``probes`` has (probe, shape, code), ``ranked`` (probe, chunk, rank, score), as far as it goes, ``chunk_codes`` (chunk, code), the planted codes of each chunk. Columns: probes,
+    code_in_top_k, other planted codes in the top k (lookalikes_min, _max), the best score (min, median: the upper of two, max; 0 without a chunk), rank of the first chunk that has the code (min, max) and with_code_chunk.
+    """
+    top = ranked.where(F.col("rank") <= k)
+    best = top.groupBy("probe").agg(F.max("score").alias("best"))
+    own = probes.select("probe", "code").join(ranked.select("probe", "chunk", "rank"), "probe").join(chunk_codes.distinct(), ["chunk", "code"]).groupBy("probe").agg(F.min("rank").alias("first"))
+    others = top.select("probe", "chunk").join(chunk_codes.withColumnRenamed("code", "other"), "chunk").join(probes.select("probe", "code"), "probe").where("other <> code").groupBy("probe").agg(F.countDistinct("other").alias("others"))
+    j = probes.select("probe", "shape").join(best, "probe", "left").join(own, "probe", "left").join(others, "probe", "left").withColumns({"best": F.coalesce("best", F.lit(0.0)), "others": F.coalesce("others", F.lit(0).cast("long"))})
+    at = Window.partitionBy("shape").orderBy("best", "probe")
+    j = j.withColumns({"_n": F.row_number().over(at) - 1, "_of": F.count("*").over(Window.partitionBy("shape"))})
+    g = j.groupBy("shape").agg(
+        F.count("*").alias("probes"), F.count_if(F.col("first") <= k).alias("code_in_top_k"), F.min("others").alias("lookalikes_min"), F.max("others").alias("lookalikes_max"), F.round(F.min("best"), 4).alias("best_min"),
+        F.round(F.max(F.when(F.col("_n") == F.floor(F.col("_of") / 2), F.col("best"))), 4).alias("best_median"), F.round(F.max("best"), 4).alias("best_max"), F.min("first").alias("rank_min"), F.max("first").alias("rank_max"), F.count("first").alias("with_code_chunk"),
+    )
+    return g
 
 
 def survival(codes: DataFrame, docs: DataFrame, cleaned: Column, pieces: DataFrame) -> DataFrame:
