@@ -10,15 +10,16 @@ from tests.conftest import SMALL
 from veldspar.llm import ann, decontaminate, html_text, line_dedup, mixing, quality, sharding, simhash, toxicity, url_reputation
 from veldspar.llm.components import components
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, h int, y int, root int, bucket int, w int, size int, shard int, _x int"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, h int, y int, root int, bucket int, w int, size int, shard int, _x int, _gone int, _key string, _doc string, _quality_x string, row int, x int, doc int, key int, gone int"
+MORE = (1, "k", "d", "q", 1, 1, 1, 1, 1)
 LONG = " ".join(f"word{i % 977} of{i % 13}" for i in range(30_000))
 TEXTS = [None, "", "   \n\t ", "one", "The same text as another, for all to see.\nA line that is shared by documents.", "The same text as another, for all to see.\nA line that is shared by documents.", LONG, "日本語 テキスト \U0001f600 ñandú", "a\x00b \ud7ff", "YOU SPAM!! YOU SPAM!! YOU SPAM!!"]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", [None, "b", "a"][i % 3], 0, "f", 1, 1, 1, 1, 1, 1, 1, 1) for i, t in enumerate(TEXTS)]
-    rows += [rows[4], (None, "no id", None, None, None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    rows = [(i, t, "en", [None, "b", "a"][i % 3], 0, "f", 1, 1, 1, 1, 1, 1, 1, 1, *MORE) for i, t in enumerate(TEXTS)]
+    rows += [rows[4], (None, "no id", *[None] * 21), (None,) * 23]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -44,7 +45,7 @@ def test_quality(docs, empty, labels):
     got = quality.rate(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert quality.rate(empty, labels).count() == 0 and quality.rate(docs, labels.limit(0)).count() == docs.count()
-    assert quality.keep(docs, labels).columns == docs.columns
+    assert quality.keep(docs, labels).columns == docs.columns and {r._quality_x for r in quality.keep(docs, labels.limit(0)).collect()} == {"q", None}
 
 
 def test_simhash(docs, empty):
@@ -57,7 +58,8 @@ def test_simhash(docs, empty):
 
 def test_lines(docs, empty):
     got = line_dedup.dedup(docs).collect()
-    assert len(got) == docs.count() and set(docs.columns) < set(line_dedup.dedup(docs).columns)
+    assert len(got) == docs.count() and line_dedup.dedup(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {r._key for r in got} == {"k", None} and {r._doc for r in got} == {"d", None} and {r._gone for r in got} == {1, None}
     gone = {r.doc_id: r.n_removed for r in got if r.doc_id in (4, 5)}
     assert gone == {4: 0, 5: 2}
     assert next(r for r in got if r.doc_id == 5).text == "" and next(r for r in got if r.doc_id == 0).text is None

@@ -412,11 +412,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, sim
     they were. Null and empty texts stay (n_lines 0 and 1). Rows of equal id and text are one
     document: they keep and lose the same lines. An empty table gives an empty result.
     """
-    gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).groupBy("doc").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc", "_doc")
-    own = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(gone, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
-    clean = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_gone")))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n", -1)))
-    return own.withColumns({"n_lines": count.cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"), text_col: clean}).drop("_gone")
+    gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("key")).join(gone, F.col("key") == F.col("doc"), "left")
+    text = F.col("row").getField(text_col)
+    clean = F.when(F.col("gone").isNull(), text).otherwise(without(text, F.col("gone")))
+    count = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    kept = [clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return own.select(*kept, count.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

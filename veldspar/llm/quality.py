@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import operator
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from .common import held_out, table
 
 FEATURES = (
     "log_words", "word_length", "upper", "marks", "digits", "variety", "adjacent_repeats", "marked_words",
-    "mark_only_words", "upper_words", "short_words", "pair_repeats", "top_word",
+    "mark_only_words", "upper_words", "short_words", "pair_repeats", "same_word",
 )
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
@@ -34,7 +35,7 @@ def features(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     solid = len(raw) - sum(map(raw.count, (bytes([c]) for c in SPACE)))
     count = lambda kind: (len(raw) - len(raw.translate(None, kind))) / solid
-    kinds = set(ws)
+    kinds = Counter(ws)
     marked = {w for w in kinds if len(w) > 2 and w[-1] in MARKS and w[-2] in MARKS}
     bare = {w for w in kinds if w[0] in MARKS and not w.strip(MARKS)}
     loud = {w for w in kinds if len(w) > 1 and w.isupper()}
@@ -49,7 +50,7 @@ def features(text: str | None) -> list[float]:
         math.log1p(n), solid / n, count(UPPER), count(MARKS), count(DIGITS), math.log1p(len(kinds)) / math.log1p(n),
         sum(map(operator.eq, ws, ws[1:])) / pairs, sum(share[w] for w in marked) / n, sum(share[w] for w in bare) / n,
         sum(share[w] for w in loud) / n, sum(len(w) <= 3 for w in ws) / n, 1 - len(set(zip(ws, ws[1:], strict=False))) / pairs,
-        max(map(ws.count, kinds)) / n if len(kinds) <= 8 else 0.0,
+        (sum(map(operator.mul, kinds.values(), kinds.values())) - n) / (n * pairs),  # chance that two words are the same
     ]
 
 
@@ -134,7 +135,8 @@ def keep(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, rows: int = SA
     rows and rows with a null id are judged like any other. Empty tables give empty results.
     """
     ranking = learn(docs, labels, rows=rows)
-    return docs.withColumn("_quality_x", feature_column(F.col("text").cast("string"))).where(ranking.score(F.col("_quality_x"), cutoff) >= cutoff).drop("_quality_x")
+    rated = docs.select(F.struct("*").alias("row"), feature_column(F.col("text").cast("string")).alias("x"))
+    return rated.where(ranking.score(F.col("x"), cutoff) >= cutoff).select("row.*")
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
