@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import cut, ship
 
 
 def ranking(units: DataFrame, probe: str, rank: str, grade: str, k: int = 5) -> DataFrame:
@@ -53,7 +53,7 @@ def at_ranks(df: DataFrame, group: str | None, value: str, ranks: dict[str, Call
     group without values has n 0 and nulls.
     """
     own = df.select((F.lit(0) if group is None else F.col(group)).alias("_g"), F.col(value).alias("_v"))
-    counts = own.groupBy("_g", "_v").agg(F.count("_v").alias("_c"))
+    counts = cut(own.groupBy("_g", "_v").agg(F.count("_v").alias("_c")))  # once, for the edges and the sums
     edges = counts.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)])).first()[0] or []
     bucket = F.lit(0)
     if edges:

@@ -234,12 +234,14 @@ def scoped_context(spark, sf_dir):
 
     Every benchmark item asks, as the tenant ``src<item_id mod 20>``; chunks of 50 words.
     """
-    d = _t(spark, sf_dir, "documents")
-    chunks = chunking.fixed_chunks(d, 50, 10).join(d.select("doc_id", "source"), "doc_id")
+    d = _t(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("id"), "text")
+    chunks = chunking.fixed_chunks(d, 50, 10, id_col="id").select("id.*", "chunk", "body")
     tokens = chunks.select("doc_id", "chunk", "source", F.length("body").alias("chars"), X.token_set(F.col("body")).alias("tokens"))
     a = tokens.select("doc_id", "chunk", "source", "chars", F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), _text(F.col("item_id") % 20)).alias("source"), X.token_set(F.col("text")).alias("tokens"))
     b = items.select("item_id", "source", F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
+    # few enough questions meet a chunk's tokens in its own task
+    b = F.broadcast(b) if (items.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= V.PROBE_TOKENS else b
     both = a.join(b, ["source", "t"]).groupBy("item_id", "doc_id", "chunk", "chars", "na", "nb").agg(F.count("*").alias("n"))
     scored = both.select("item_id", "doc_id", "chunk", "chars", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("score"))
     best = V.top_k(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id"), F.col("chunk")], 12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking
+from ..operators import evaluation as E
 from ..operators import lifecycle as L
 from ..operators import retrieval as V
 from ..operators import runs as N
@@ -188,11 +189,66 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_t(spark, sf_dir, "documents"), 60, 12)
 
 
+def reindex_requests(spark, sf_dir):
+    """An operator asks for one company's rows again; some carry notes already, some notes that aren't JSON."""
+    k = F.col("document_id")
+    notes = F.when(k % 4 == 0, F.concat(F.lit('{"keep": "k'), k.cast("string"), F.lit('", "worker": {"tries": 2, "reindex_force": true}}'))).when(k % 4 == 1, "old note")
+    r = L.request_reindex(_rows(spark, sf_dir).withColumns({"source_type": F.lit("upload"), "warnings_json": notes}), company="company1")
+    said = lambda path: F.get_json_object("warnings_json", path)
+    return r.select("document_id", "outcome", "message", "status", "error_stage", "error_message", F.get_json_object("error_detail", "$.scope.company").alias("asked_company"), said("$.keep").alias("keep"), said("$.legacy_warning").alias("legacy"), said("$.worker.tries").alias("tries"),
+                    said("$.worker.reindex_requested").alias("requested"), said("$.worker.reindex_force").alias("force"), said("$.reindex.requested_from_status").alias("was"), L.reindex_requested(r).alias("marked"))
+
+
+REINDEX_REQUESTS = f"""WITH {REG}, r AS (SELECT *, CASE WHEN status = 'ingested' AND error_code IS NULL THEN 'Document is already query-ready; use force=true to resubmit intentionally' WHEN status IN ('submitted', 'processing') THEN 'Document is already in the upstream ingestion workflow; use force=true to replace that submission'
+  WHEN status = 'rejected' OR validation_state = 'reject' THEN 'Document is validation-rejected; use force=true to send it back through worker validation' WHEN validation_state = 'auto_split' THEN 'Document is blocked for manual splitting; use force=true only if you want the worker to re-evaluate the same file' END AS message, document_id % 4 AS m FROM reg WHERE company = 'company1'),
+q AS (SELECT *, message IS NULL AS free FROM r)
+SELECT document_id, CASE WHEN free THEN 'queued' ELSE 'blocked' END AS outcome, message, CASE WHEN free THEN 'pending' ELSE status END AS status, CASE WHEN free THEN 'reindex' END AS error_stage, CASE WHEN free THEN '{L.REQUESTED}' END AS error_message, CASE WHEN free THEN 'company1' END AS asked_company,
+  CASE WHEN m = 0 THEN 'k' || document_id END AS keep, CASE WHEN free AND m = 1 THEN 'old note' END AS legacy, CASE WHEN m = 0 THEN '2' END AS tries, CASE WHEN free THEN 'true' END AS requested, CASE WHEN free THEN 'false' WHEN m = 0 THEN 'true' END AS force, CASE WHEN free THEN status END AS was, free AS marked FROM q"""
+
+
+def rewrite_checks(spark, sf_dir):
+    """What conversations say, as rewrites in many dresses of a question of 60 characters."""
+    c = _t(spark, sf_dir, "conversations")
+    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    n = (F.col("conv_id") * 3 + F.col("turn")) % 10
+    head, q = F.substring(t, 1, 40), F.substring(t, 1, 60)
+    forms = [F.upper(F.lit(" what? ")), F.concat(F.lit("<think>so</think>Rewritten question: “What of "), head, F.lit("?”")), F.concat(F.lit("<think>"), head), F.concat(F.lit("What\nof "), head), F.concat(F.lit("Here is "), head), F.concat(F.lit("What of "), t, t, F.lit("?")),
+             F.concat(F.lit("```\nWhat of "), F.length(t).cast("string"), F.lit("?\n```")), F.lit('{"function": "x"}'), F.lit(" \"\" "), F.lit("So it was  Said")]
+    text = F.element_at(F.array(*forms), (n + 1).cast("int"))
+    r = E.checked_rewrite(F.when(n == 0, F.lit("What?")).otherwise(q), text, F.lit("so it was said"))
+    return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.source", "r.reason", F.length("r.text").alias("n_chars"))
+
+
+REWRITE_CHECKS = r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, (conv_id * 3 + turn) % 10 AS n FROM conversations),
+d AS (SELECT *, length(trim(substr(t, 1, 60))) AS own, 2 * length(t) + 9 AS whole, length(substr(t, 1, 60)) AS q, length(trim(substr(t, 1, 40))) AS h FROM c),
+s AS (SELECT *, CASE n WHEN 2 THEN 'reasoning_markers' WHEN 3 THEN CASE WHEN trim('of ' || substr(t, 1, 40)) <> '' THEN 'multi_line' END WHEN 4 THEN 'answer_like' WHEN 5 THEN CASE WHEN whole > 600 OR whole > 4 * own + 200 THEN 'too_long' END WHEN 7 THEN 'tool_call_shape' WHEN 8 THEN 'empty' WHEN 9 THEN 'identical_to_last_assistant' END AS reason FROM d)
+SELECT conv_id, turn, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN n = 0 THEN 'unchanged' ELSE 'rewritten' END AS source, reason, CAST(CASE WHEN n = 0 THEN 5 WHEN reason IS NOT NULL THEN q WHEN n = 1 THEN length(substr(t, 1, 40)) + 9 WHEN n = 5 THEN whole ELSE length('What of ' || length(t) || '?') END AS INTEGER) AS n_chars FROM s"""
+
+
+def retrieval_separation(spark, sf_dir):
+    """Runs of ten vectors as what a probe retrieved, labels as scores; chunks hold two codes each."""
+    e = _t(spark, sf_dir, "embeddings")
+    i = F.col("vec_id")
+    ranked = e.select(F.floor(i / 10).cast("long").alias("probe"), (i % 50).alias("chunk"), (i % 10 + 1).alias("rank"), (F.col("label") / 10).alias("score"))
+    codes = ranked.select("chunk", F.explode(F.array(F.concat(F.lit("C-"), (F.col("chunk") % 7).cast("string")), F.concat(F.lit("C-"), (F.col("chunk") % 11).cast("string")))).alias("code")).distinct()
+    probes = ranked.select("probe").distinct().select("probe", F.when(F.col("probe") % 3 == 0, "unanswerable").otherwise("scoped").alias("shape"), F.concat(F.lit("C-"), (F.col("probe") % 13).cast("string")).alias("code"))
+    return N.separation(probes, ranked, codes, 5)
+
+
+SEPARATION = """WITH r AS (SELECT vec_id // 10 AS probe, vec_id % 50 AS chunk, vec_id % 10 + 1 AS rank, label / 10 AS score FROM embeddings), c AS (SELECT DISTINCT chunk, 'C-' || chunk % 7 AS code FROM r UNION SELECT DISTINCT chunk, 'C-' || chunk % 11 FROM r),
+p AS (SELECT DISTINCT probe, CASE WHEN probe % 3 = 0 THEN 'unanswerable' ELSE 'scoped' END AS shape, 'C-' || probe % 13 AS code FROM r), b AS (SELECT probe, max(score) AS best FROM r WHERE rank <= 5 GROUP BY probe),
+f AS (SELECT p.probe, min(rank) AS first_ FROM p JOIN r USING (probe) JOIN c ON c.chunk = r.chunk AND c.code = p.code GROUP BY p.probe), o AS (SELECT p.probe, count(DISTINCT c.code) AS others FROM p JOIN r USING (probe) JOIN c ON c.chunk = r.chunk AND c.code <> p.code WHERE rank <= 5 GROUP BY p.probe),
+j AS (SELECT shape, coalesce(best, 0) AS best, first_, coalesce(others, 0) AS others, row_number() OVER (PARTITION BY shape ORDER BY coalesce(best, 0), probe) - 1 AS n, count(*) OVER (PARTITION BY shape) AS of_ FROM p LEFT JOIN b USING (probe) LEFT JOIN f USING (probe) LEFT JOIN o USING (probe))
+SELECT shape, count(*) AS probes, count(*) FILTER (WHERE first_ <= 5) AS code_in_top_k, min(others) AS lookalikes_min, max(others) AS lookalikes_max, round(min(best), 4) AS best_min, round(max(best) FILTER (WHERE n = of_ // 2), 4) AS best_median, round(max(best), 4) AS best_max,
+  min(first_) AS rank_min, max(first_) AS rank_max, count(first_) AS with_code_chunk FROM j GROUP BY shape"""
+
 QUERIES = {
     "reindex_command": reindex_command, "skip_marks": skip_marks, "duplicate_marks": duplicate_marks, "attribution_changes": attribution_changes, "enriched_citations": enriched_citations, "name_owners": name_owners, "run_log_join": run_log_join,
     "run_manifest_join": run_manifest_join, "near_miss_codes": near_miss_codes, "probe_means": probe_means, "context_hits": context_hits, "question_problems": question_problems, "identifier_survival": identifier_survival, "recursive_chunks": recursive_chunks,
+    "reindex_requests": reindex_requests, "rewrite_checks": rewrite_checks, "retrieval_separation": retrieval_separation,
 }
 ORACLE = {
     "reindex_command": REINDEX, "skip_marks": SKIPS, "duplicate_marks": MARKS, "attribution_changes": ATTRIBUTION, "enriched_citations": ENRICHED, "name_owners": NAME_OWNERS, "run_log_join": LOG_JOIN,
     "run_manifest_join": MANIFEST_JOIN, "near_miss_codes": NEAR, "probe_means": MEANS, "context_hits": HITS, "question_problems": PROBLEMS,
+    "reindex_requests": REINDEX_REQUESTS, "rewrite_checks": REWRITE_CHECKS, "retrieval_separation": SEPARATION,
 }
