@@ -141,6 +141,12 @@ def chunking_diff(spark, sf_dir):
     return E.positional_diff(a, b, "doc_id", "chunk", "body")
 
 
+DIFF = r"""WITH d AS (SELECT doc_id, 0 AS side, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents UNION ALL SELECT doc_id, 1, regexp_extract_all(regexp_replace(text, '^[^ ]+ ', ''), '[^\x20\x09-\x0D]+') FROM documents),
+s AS (SELECT doc_id, side, w, unnest(range(0, len(w), 40)) AS i FROM d), c AS (SELECT doc_id, side, i // 40 AS chunk, array_to_string(w[i + 1 : i + 50], ' ') AS body FROM s WHERE i = 0 OR i + 10 < len(w)),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.body AS a, b.body AS b FROM (SELECT * FROM c WHERE side = 0) a FULL JOIN (SELECT * FROM c WHERE side = 1) b USING (doc_id, chunk))
+SELECT doc_id, count(*) FILTER (WHERE a = b) AS same, count(*) FILTER (WHERE a <> b) AS changed, count(*) FILTER (WHERE b IS NULL) AS only_left, count(*) FILTER (WHERE a IS NULL) AS only_right FROM j GROUP BY doc_id"""
+
+
 def speaker_shares(spark, sf_dir):
     return E.speakers(_t(spark, sf_dir, "conversations"))
 
@@ -154,6 +160,9 @@ def chat_bodies(spark, sf_dir):
     return E.chat_completion(c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("answer")), "veldspar")
 
 
+BODIES = """SELECT conv_id || '-' || turn AS id, '{"id":"chatcmpl-' || conv_id || '-' || turn || '","object":"chat.completion","model":"veldspar","choices":[{"index":0,"message":{"role":"assistant","content":' || to_json(text) || '},"finish_reason":"stop"}]}' AS body FROM conversations WHERE role = 'assistant'"""
+
+
 def second_judge_sample(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(E.sampled(F.col("doc_id"), F.lit(1), 0.2)).alias("sampled"), F.count("*").alias("n"))
 
@@ -165,5 +174,5 @@ QUERIES = {
 }
 ORACLE = {
     "character_census": CENSUS, "duplication": DUPLICATION, "rewrite_triggers": TRIGGERS, "content_shape_census": SHAPES, "chunk_sizes": SIZES, "gold_quotes": GOLD, "run_drift": DRIFT, "gate_crosstab": CROSSTAB,
-    "poll_actions": POLLS, "evidence_fusion": FUSION, "stream_answers": STREAM, "scope_widening": WIDENING, "quote_locations": LOCATIONS, "speaker_shares": SPEAKERS,
+    "poll_actions": POLLS, "evidence_fusion": FUSION, "stream_answers": STREAM, "scope_widening": WIDENING, "quote_locations": LOCATIONS, "speaker_shares": SPEAKERS, "chunking_diff": DIFF, "chat_bodies": BODIES,
 }

@@ -10,7 +10,7 @@ from ..operators import lifecycle as L
 from ..operators import retrieval as V
 from ..operators import runs as N
 from .registry_queries import REG, registry
-from .retrieval_queries import CITE, _t, citations
+from .retrieval_queries import _CHUNKS, CITE, _t, citations
 
 
 def _rows(spark, sf_dir):
@@ -185,6 +185,11 @@ def identifier_survival(spark, sf_dir):
     return N.survival(codes, d, F.lower("text"), pieces)
 
 
+SURVIVAL = f"""WITH {_CHUNKS}, k AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'absent-code' ELSE regexp_extract(text, '[A-Za-z]{{4,}}') END AS code FROM documents),
+f AS (SELECT *, contains(text, code) AS raw, contains(lower(text), code) AS clean, EXISTS (SELECT 1 FROM ch WHERE ch.doc_id = k.doc_id AND contains(array_to_string(p, ' '), code)) AS kept FROM k)
+SELECT count(*) AS total, count(*) FILTER (WHERE NOT raw) AS missing_in_raw, count(*) FILTER (WHERE raw AND NOT clean) AS lost_to_cleaning, count(*) FILTER (WHERE raw AND clean AND NOT kept) AS lost_to_pieces FROM f"""
+
+
 def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_t(spark, sf_dir, "documents"), 60, 12)
 
@@ -250,5 +255,5 @@ QUERIES = {
 ORACLE = {
     "reindex_command": REINDEX, "skip_marks": SKIPS, "duplicate_marks": MARKS, "attribution_changes": ATTRIBUTION, "enriched_citations": ENRICHED, "name_owners": NAME_OWNERS, "run_log_join": LOG_JOIN,
     "run_manifest_join": MANIFEST_JOIN, "near_miss_codes": NEAR, "probe_means": MEANS, "context_hits": HITS, "question_problems": PROBLEMS,
-    "reindex_requests": REINDEX_REQUESTS, "rewrite_checks": REWRITE_CHECKS, "retrieval_separation": SEPARATION,
+    "reindex_requests": REINDEX_REQUESTS, "rewrite_checks": REWRITE_CHECKS, "identifier_survival": SURVIVAL, "retrieval_separation": SEPARATION,
 }

@@ -209,7 +209,7 @@ def piece_payloads(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("as <<<CHUNK-BREAK>>> says. "), F.col("text"))).otherwise(F.col("text"))
     found = structure.payloads(structure.pieces(d.withColumn("text", text), 400, 40))
-    held = F.size(F.filter(F.split("payload", "<<<[A-Z-]+>>>"), lambda x: x != ""))
+    held = F.when(F.col("delimiter").isNull(), 1).otherwise(F.size(F.call_function("split", F.col("payload"), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))))
     return found.select("doc", F.trim(F.translate("delimiter", "\n", "")).alias("delimiter"), held.alias("texts"), F.length("payload").alias("n_chars"))
 
 

@@ -88,6 +88,9 @@ def log_json(spark, sf_dir):
     return e.select("event_id", P.salvaged_json(F.concat(F.lit("note {broken "), F.col("props"), F.lit(" end"))).alias("json"))
 
 
+LOG_JSON = "SELECT event_id, props AS json FROM events"
+
+
 def line_kinds(spark, sf_dir):
     lines = chunking.lines(_t(spark, sf_dir, "documents"))
     return lines.select(chunking.line_kind(F.col("line")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
@@ -271,5 +274,5 @@ QUERIES = {
 ORACLE = {
     "text_scalars": SCALARS, "pii_counts": PII, "identifier_support": SUPPORT, "line_kinds": KINDS, "running_lines": RUNNING, "fixed_token_chunks": CHUNKS, "chunk_statistics": STATISTICS,
     "word_coverage": COVERAGE, "texttiling_depth": TILING, "conversation_view": VIEW, "history_block": HISTORY, "latest_prompt": PROMPT, "sources_block": SOURCES, "two_hop_neighbors": HOPS,
-    "seed_labels": LABELS, "event_windows": WINDOWS, "event_sessions": SESSIONS, "log_sessions": BLOCKS, "query_log_rollup": ROLLUP,
+    "seed_labels": LABELS, "event_windows": WINDOWS, "event_sessions": SESSIONS, "log_json": LOG_JSON, "log_sessions": BLOCKS, "query_log_rollup": ROLLUP,
 }
