@@ -252,8 +252,6 @@ def test_serving_functions(spark):
     assert m.select(E.merged_warnings(F.col("old"), F.col("new")).alias("m")).first().m == {"x": "1", "z": "3"}
     assert E.word_pieces("unaffable", {"un", "##aff", "##able"}) == ["un", "##aff", "##able"]
     assert E.word_pieces("xyz", {"x"}) == ["[UNK]"]
-    assert E.longest_shared_run("the cat sat", "a cat sits") == len(" cat s")
-    assert E.wrapped_rows("Name   Value\n     more of it\nNext   Row") == "Name   Value more of it\nNext   Row"
     arms = spark.createDataFrame([("a", 80.0, 9), ("b", 90.0, 9), ("c", 90.0, 5), ("d", None, 1)], "arm string, correct_pct double, p95_ms int")
     assert E.best_arm(arms).first().arm == "c"
     assert one(spark, E.is_weak(F.col("t")), t="Sorry, I don't know") is False

@@ -130,3 +130,46 @@ def test_payloads(spark):
     got = {r.doc: (r.delimiter, r.payload) for r in S.payloads(spark.createDataFrame(rows, "doc int, part bigint, body string")).collect()}
     assert got[1] == (S.DELIMITERS[0], "a" + S.DELIMITERS[0] + "b") and got[2][0] == S.DELIMITERS[1] and got[3] == (None, "alone")
     assert got[4][0].startswith("\n\n<<<CHUNK-BREAK-") and got[4][0] not in S.DELIMITERS and len(got[4][1].split(got[4][0])) == 4
+
+
+def plain_rows(text):
+    """Wrapped rows told with two loops."""
+    import re
+
+    def tabular(x):
+        t = x.strip()
+        return bool(t) and len(t) <= 600 and (t[0] in "|│" or len(t.split()) > 1 and bool(re.search(r"\S[ \t]{2,}\S", t) or len(re.findall(r"(?<![\w.])[-+−]?\d[\d,\u00a0.]*%?(?![\w])", t)) > 1))
+
+    indent = lambda x: len(x.replace("\t", "    ")) - len(x.replace("\t", "    ").lstrip(" "))
+    out, block = [], []
+
+    def close():
+        rows = []
+        for x in block:
+            if rows and indent(x) > min(map(indent, block)):
+                rows[-1] += "  " + x.strip()
+            else:
+                rows.append(x.strip())
+        out.extend(rows)
+        block.clear()
+
+    for x in text.split("\n"):
+        if block and x.strip() and (tabular(x) or indent(x) > indent(block[0])):
+            block.append(x)
+            continue
+        close()
+        if tabular(x):
+            block.append(x)
+        else:
+            out.append(x.rstrip())
+    close()
+    return "\n".join(out)
+
+
+def test_wrapped_rows(spark):
+    rng = random.Random(8)
+    line = lambda: " " * rng.randint(0, 5) + rng.choice(["a  b", "word", "1 2", "", "| x", "one two", "7% of 3.5", "\tx  y", "end "])
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 15))) for _ in range(80)] + ["Name   Value\n     more of it\nNext   Row", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc: r.text for r in S.wrapped_rows(df).collect()}
+    assert got == {i: None if t is None else plain_rows(t) for i, t in enumerate(texts)}

@@ -82,7 +82,7 @@ def test_keyword_fallback(spark, table):
     for r in got:
         text = texts[r.conv_id, r.turn] or ""
         high = [x for x in r.high.split("|") if x]
-        assert len(high) <= 10 and len(set(high)) == len(high) and all(x in text.lower() for x in high) and all(" ".join(x.split()) in " ".join(text.split()) for x in r.low.split("|"))
+        assert len(high) <= 10 and len(set(high)) == len(high) and all(x in text.lower() for x in high) and all(w in text for x in r.low.split("|") for w in x.split())
 
 
 def test_companies_detected(spark, table):

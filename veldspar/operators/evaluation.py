@@ -219,19 +219,6 @@ def topic_groups(depths: DataFrame, within: str, order: str, depth: str = "depth
     return depths.groupBy(within).applyInPandas(run, f"{within} {kinds[within]}, {order} {kinds[order]}, topic long")
 
 
-def longest_shared_run(a: str, b: str, most: int = 200) -> int:
-    """Length of the longest common substring up to ``most``, by bisection on its length."""
-    low, high = 0, min(len(a), len(b), most)
-    while low < high:
-        mid = (low + high + 1) // 2
-        own = {a[i : i + mid] for i in range(len(a) - mid + 1)}
-        if any(b[i : i + mid] in own for i in range(len(b) - mid + 1)):
-            low = mid
-        else:
-            high = mid - 1
-    return low
-
-
 def word_pieces(word: str, vocabulary: frozenset[str] | set[str], unknown: str = "[UNK]", longest: int = 100) -> list[str]:
     """Greedy longest match: the first piece as it is, later ones with ##; unknown if some part has no piece."""
     if len(word) > longest:
@@ -246,20 +233,6 @@ def word_pieces(word: str, vocabulary: frozenset[str] | set[str], unknown: str =
     return out
 
 
-def wrapped_rows(text: str) -> str:
-    """Lines of a column layout that only continue the row above (deeper indent, no second column) are joined to it."""
-    out: list[str] = []
-    for line in text.split("\n"):
-        indent = len(line) - len(line.lstrip())
-        table = bool(re.search(r"\S {2,}\S", line))
-        above = out[-1] if out else ""
-        if line.strip() and not table and re.search(r"\S {2,}\S", above) and indent > len(above) - len(above.lstrip()) + 2:
-            out[-1] = above + " " + line.strip()
-        else:
-            out.append(line)
-    return "\n".join(out)
-
-
 def scope_round(references: DataFrame, narrow: int, wide: int) -> DataFrame:
     """(query_id, round, kept): the wider retrieval only where it keeps strictly more."""
     g = references.groupBy("query_id").agg(F.count_if(F.col("kept") & (F.col("rank") <= narrow)).alias("n"), F.count_if(F.col("kept") & (F.col("rank") <= wide)).alias("w"))

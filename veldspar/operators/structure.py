@@ -305,3 +305,46 @@ def payloads(cut_docs: DataFrame, delimiters: Sequence[str] = DELIMITERS) -> Dat
     made = F.concat(F.lit("\n\n<<<CHUNK-BREAK-"), F.upper(F.substring(F.sha2(F.concat_ws("\n", "all"), 256), 1, 16)), F.lit(">>>\n\n"))
     g = g.withColumn("delimiter", F.when(F.size("all") > 1, F.coalesce(F.get(absent, F.lit(0)), made)))
     return g.select("doc", "delimiter", F.call_function("array_join", F.col("all"), F.coalesce("delimiter", F.lit(""))).alias("payload"))
+
+
+#: What makes a line look like a row of a table set in columns.
+GAP = r"\S[ \t]{2,}\S"
+FIGURE = r"(?U)(?<![\w.])[-+−]?\d[\d,\u00a0.]*%?(?![\w])"
+
+
+def looks_tabular(line: Column) -> Column:
+    """A line set in columns: it starts with a bar, has a gap between words, or two figures."""
+    t = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    return (t != "") & (F.length(t) <= 600) & (t.rlike("^[|│]") | ((_words(t) >= 2) & (t.rlike(GAP) | (F.regexp_count(t, F.lit(FIGURE)) >= 2))))
+
+
+def _indent(line: Column) -> Column:
+    wide = F.replace(line, F.lit("\t"), F.lit("    "))
+    return F.length(wide) - F.length(F.regexp_replace(wide, "^ +", ""))
+
+
+def wrapped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, text): texts whose table rows were wrapped over lines, one line a row again; no character is lost but white space at ends.
+
+    A block opens with a line set in columns and goes on while lines aren't blank and are such lines too or stand deeper than its first;
+    in it, lines at its smallest indent open rows and deeper ones go on with the row above. Other lines stay. A null text stays null.
+    """
+    own = F.split(F.regexp_replace(F.col(text_col), r"\r\n?", "\n"), "\n", -1)
+    marked = F.transform(own, lambda x: F.struct(x.alias("line"), (F.trim(F.regexp_replace(x, r"(?U)\s", "")) == "").alias("blank"), looks_tabular(x).alias("row"), _indent(x).alias("indent")))
+    start = F.struct(F.lit(0).alias("block"), F.lit(False).alias("open"), F.lit(0).alias("floor"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes_on = acc["open"] & ~x["blank"] & (x["row"] | (x["indent"] > acc["floor"]))
+        opens = ~goes_on & ~x["blank"] & x["row"]
+        block = acc["block"] + opens.cast("int")
+        return F.struct(block.alias("block"), (goes_on | opens).alias("open"), F.when(opens, x["indent"]).otherwise(acc["floor"]).alias("floor"), F.concat(acc["out"], F.array(F.when(goes_on | opens, block).otherwise(0))).alias("out"))
+
+    texts = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("_row"), marked.alias("ls"))
+    zipped = texts.withColumn("b", F.aggregate("ls", start, step, lambda acc: acc["out"]))
+    each = zipped.select("doc", "_row", F.posexplode_outer(F.arrays_zip("ls", "b")).alias("pos", "z")).select("doc", "_row", "pos", "z.ls.*", F.col("z.b").alias("block"))
+    least = F.min("indent").over(Window.partitionBy("_row", "block"))
+    opens = (F.col("block") == 0) | (F.col("indent") <= least) | ~F.lag("block").over(Window.partitionBy("_row").orderBy("pos")).eqNullSafe(F.col("block"))
+    each = each.withColumn("n", F.sum(opens.cast("int")).over(Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    shown = F.when(F.col("block") > 0, F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).otherwise(F.regexp_replace("line", r"(?U)\s+$", ""))
+    rows = each.groupBy("doc", "_row", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("x")))), lambda y: y["x"]), "  ").alias("x"), F.count("line").alias("lines"))
+    return rows.groupBy("doc", "_row").agg(F.when(F.sum("lines") > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda y: y["x"]), "\n")).alias("text")).drop("_row")

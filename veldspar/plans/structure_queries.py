@@ -213,10 +213,17 @@ def piece_payloads(spark, sf_dir):
     return found.select("doc", F.trim(F.translate("delimiter", "\n", "")).alias("delimiter"), held.alias("texts"), F.length("payload").alias("n_chars"))
 
 
+def joined_rows(spark, sf_dir):
+    """The reports with their tables set in columns, as a page's text layer gives them: cells wrap onto lines of their own."""
+    r = reports(spark, sf_dir)
+    columns = F.regexp_replace(F.regexp_replace("text", r"\| first \| (\d+) \|", "  first cell    $1   7\n        that wraps"), r"\| second \| (\d+) \|", "  second   $1\n           and more\nprose again")
+    return structure.wrapped_rows(r.withColumn("text", columns))
+
+
 QUERIES = {
     "json_shapes": json_shapes, "context_units": context_units, "payload_sources": payload_sources, "subgraph_nodes": subgraph_nodes, "graph_evidence": graph_evidence, "related_neighbors": related_neighbors,
     "graph_citations": graph_citations, "shared_runs": shared_runs, "report_kinds": report_kinds, "report_furniture": report_furniture, "report_pieces": report_pieces, "report_coverage": report_coverage,
-    "document_pieces": document_pieces, "piece_payloads": piece_payloads,
+    "document_pieces": document_pieces, "piece_payloads": piece_payloads, "joined_rows": joined_rows,
 }
 ORACLE = {
     "json_shapes": JSON_SHAPES, "context_units": CONTEXT_UNITS, "payload_sources": PAYLOAD_SOURCES, "subgraph_nodes": SUBGRAPH_NODES, "graph_evidence": GRAPH_EVIDENCE, "related_neighbors": RELATED,
