@@ -23,7 +23,7 @@ CAPTION = r"(?i)^\s*(?:table|figure|fig\.|exhibit|ex\.)[ \t]*[\divx]+[:.)\s]"
 PIPE_RULE = r"^\|[ \t:|-]{3,}\|?$"
 PLAIN_RULE = r"^[-–—]{3,}(?:[ \t]+[-–—]{3,})+$"
 REPEATS, SHORT_CHARS, SHORT_WORDS, LEVELS = 3, 90, 12, 6
-DELIMITERS = ("\n\n<<<CHUNK-BREAK>>>\n\n", "\n\n<<<CHUNK-BREAK-HERE>>>\n\n", "\n\n<<<GRAGGLE-PIECE-BOUNDARY>>>\n\n", "\n\n<<<PIECE-DONE-NEXT-PIECE>>>\n\n")
+DELIMITERS = ("\n\n<<<CHUNK-BREAK>>>\n\n", "\n\n<<<CHUNK-BREAK-HERE>>>\n\n", "\n\n<<<PIECE-DONE-NEXT-PIECE>>>\n\n")
 #: A line that opens a speaker's turn is never furniture.
 TURN = r"^(?:\([^)]{1,60}\)\s*\S|\[?[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}\]?\s*:\s)"
 
