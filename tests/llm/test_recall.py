@@ -113,3 +113,26 @@ def test_clustered_vectors_are_probed(spark):
     score[np.arange(120), np.arange(0, 2400, 20)] = -np.inf
     true = {(20 * i, int(j)) for i in range(120) for j in np.argsort(-score[i], kind="stable")[:20]}
     assert len(got) == 2400 and len(got & true) >= 0.9 * len(true)
+
+
+@pytest.mark.parametrize("kind", ["plain", "short queries", "few long rows"])
+def test_nearest_of_other_rows(spark, kind):
+    """Blocks dealt over several tasks, queries unlike the rows, and neighbours that a sample of the rows hardly holds."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "short queries":
+        x[::20] *= 0.01
+    elif kind == "few long rows":
+        x[rng.choice(4000, 24, replace=False)] *= 50
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, str(kind != "plain").lower())
+    try:
+        got = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, sample=400, index_rows=500).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    true = {(20 * i, int(j)) for i in range(200) for j in np.argsort(-score[i], kind="stable")[:20]}
+    assert len(got) == 4000 and len(got & true) >= 0.95 * len(true)
