@@ -112,6 +112,16 @@ def search(codes: Codes, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple
     return np.concatenate(left), np.concatenate(right)
 
 
+def bounds(queries: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of queries i and rows j, less and more what rounding can make of them."""
+    score = np.empty(len(i))
+    for at in range(0, len(i), 4096):
+        part = slice(at, at + 4096)
+        score[part] = np.einsum("nd,nd->n", queries[i[part]], rows[j[part]])
+    slack = np.linalg.norm(queries, axis=1)[i] * np.linalg.norm(rows, axis=1)[j] * 4 * rows.shape[1] * np.finfo(float).eps
+    return np.nan_to_num(score - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf), score + slack
+
+
 def radius_of(apart: list[list[int]], recall: float) -> int:
     """The smallest radius that holds so large a share of all neighbours, given their distances for each query, and for MOST queries the share EACH.
 
@@ -209,14 +219,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
 
         def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(r):
-                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64")})
+                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "low": pd.Series(dtype="float64"), "high": pd.Series(dtype="float64")})
             x, rows = np.stack(q["v"].to_numpy()), np.stack(r["v"].to_numpy())
             found = [search(codes, x[at : at + query_rows], rows, k + 1) for at in range(0, len(x), query_rows)]
             i = np.concatenate([a + at for (a, _), at in zip(found, range(0, len(x), query_rows), strict=True)])
             j = np.concatenate([b for _, b in found])
-            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "uid": r["uid"].to_numpy()[j]})
-
-        return left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(run, "query_id bigint, uid bigint")
+            low, high = bounds(x, rows, i, j)
+            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "uid": r["uid"].to_numpy()[j], "low": low, "high": high})
+
+        met = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(run, "query_id bigint, uid bigint, low double, high double")
+        # of all blocks of a query, the k+1 best and what rounding leaves open
+        met = met.groupBy("query_id").agg(F.collect_list(F.struct("uid", "low", "high")).alias("c"))
+        edge = F.coalesce(F.get(F.sort_array(F.col("c.low"), False), F.lit(k)), F.lit(float("-inf")))
+        return met.select("query_id", "c", edge.alias("edge")).select("query_id", F.explode(F.filter("c", lambda x: ~(x.high < F.col("edge")))).alias("x")).select("query_id", "x.uid")
 
     def ranked(pairs: DataFrame) -> DataFrame:
         ids = pairs.join(unique.select("uid", "ids", F.col("v").alias("rv")), "uid").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
