@@ -136,3 +136,17 @@ def test_nearest_of_other_rows(spark, kind):
     score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
     true = {(20 * i, int(j)) for i in range(200) for j in np.argsort(-score[i], kind="stable")[:20]}
     assert len(got) == 4000 and len(got & true) >= 0.95 * len(true)
+
+
+def test_distances_of_many_pairs():
+    """Bands of many pairs at a time tell the same as one pair at a time, whatever the lengths, widths and characters."""
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "ab"), ("ab", "")]
+    for n in [1, 2, 5, 20, 60, 200] * 40:
+        a = [rng.choice("abcé漢") for _ in range(n)]
+        b = [c for c in a for c in ([c], [c, "x"], [], ["y"], *[[c]] * 12)[rng.randrange(16)]]
+        pairs.append(("".join(a), "".join(b)))
+    most = np.array([rng.choice([0, 1, 3, 8, 40]) for _ in pairs])
+    whole = np.array([round((1 - line_dedup.edit_similarity(a, b)) * max(len(a), len(b))) for a, b in pairs])
+    got = line_dedup.distances(pairs, most)
+    assert ((got == whole) | ((got > most) & (whole > most))).all() and 20 < (whole <= most).sum() < 220

@@ -27,6 +27,8 @@ ROWS, BANDS, APART = 4, 12, 22
 SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
 CAP, BLOCK, KEYS = 16384, 256, 1_000_000
+#: Characters up to which distances are told by bands of 16-bit cells; pairs and lines that are compared at once.
+LONGEST, PAIRS, LINES = 8000, 2000, 4000
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -221,6 +223,78 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_similarity(a, b, _most(a, b, similarity)) >= similarity - 1e-9 if said is None else said
 
 
+def distances(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of each pair, or any number above its ``most`` if it is above; bands of many pairs at a time."""
+    out = most + 1
+    order = np.lexsort(([len(a) for a, _ in pairs], most))
+    while len(order):
+        n = min(256, int(np.searchsorted(most[order], 1.25 * most[order[0]] + 4, "right")))
+        at, order = order[:n], order[n:]
+        if n < 4 or max(max(map(len, pairs[p])) for p in at) > LONGEST:
+            out[at] = [_distance(*pairs[p], int(most[p])) if all(pairs[p]) else max(map(len, pairs[p])) for p in at]
+        else:
+            out[at] = _banded([pairs[p] for p in at], most[at])
+    return out
+
+
+def _banded(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """The cells of each pair's table within the largest ``most`` of its diagonal, row by row; a pair whose row is above its own ends there."""
+    m, n = int(most.max()), np.array([len(a) for a, _ in pairs])
+    ends, out = np.array([len(b) for _, b in pairs]) - n + m, most + 1
+    left = np.zeros((len(pairs), n.max()), np.int32)
+    right = np.ones((len(pairs), n.max() + 2 * m + 1), np.int32)
+    for p, (a, b) in enumerate(pairs):
+        left[p, : len(a)] = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.int32) + 2
+        b = b[: right.shape[1] - m]
+        right[p, m : m + len(b)] = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.int32) + 2
+    if max(left.max(initial=0), right.max()) < 256:
+        left, right = left.astype(np.uint8), right.astype(np.uint8)
+    own = np.flatnonzero((ends >= 0) & (ends <= 2 * m))
+    left, right = np.ascontiguousarray(left[own].T), np.ascontiguousarray(right[own].T)
+    step = np.arange(2 * m + 1, dtype=np.int16)[:, None]
+    # a cell less its place in the band, so that an insertion costs nothing
+    row = np.where(step >= m, np.int16(-m), np.int16(LONGEST)) * np.ones((1, len(own)), np.int16)
+    stops = set(n[own].tolist())
+    for i in range(n.max() + 1):
+        if i:
+            grown = np.not_equal(right[i - 1 : i + 2 * m], left[i - 1]).view(np.uint8).astype(np.int16)
+            grown += row
+            row += np.int16(2)
+            np.minimum(grown[:-1], row[1:], out=grown[:-1])
+            k = 1
+            while k < len(step):  # the least so far, from left to right
+                row[:k] = grown[:k]
+                np.minimum(grown[k:], grown[:-k], out=row[k:])
+                grown, row = row, grown
+                k *= 2
+            row = grown
+        if i % 16 == 0 or i in stops:
+            done = n[own] == i
+            at = ends[own[done]]
+            out[own[done]] = row[at, np.flatnonzero(done)] + at
+            alive = ~done & ((row + step).min(0) <= most[own])
+            if not alive.all():
+                own, row, left, right = own[alive], row[:, alive], left[:, alive], right[:, alive]
+            if not len(own):
+                break
+    return out
+
+
+def all_alike(pairs: list[tuple[str, str]], similarity: float) -> list[bool]:
+    """``alike`` of many pairs at once."""
+    said = [_in_place(a, b, similarity) for a, b in pairs]
+    rest = [p for p, s in enumerate(said) if s is None]
+    cut_ = []
+    for a, b in (pairs[p] for p in rest):
+        lo = _shared(a, b, min(len(a), len(b)), True)
+        hi = _shared(a[lo:], b[lo:], min(len(a), len(b)) - lo, False)
+        cut_.append((a[lo : len(a) - hi], b[lo : len(b) - hi]))
+    most = np.array([_most(*pairs[p], similarity) for p in rest], np.int64)
+    for p, d, x in zip(rest, distances(cut_, most), most, strict=True):
+        said[p] = bool(d <= x)
+    return said
+
+
 def _shared(a: str, b: str, most: int, front: bool) -> int:
     """Length of the longest common start, or end."""
     low = 0
@@ -252,24 +326,54 @@ def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) ->
     return fine
 
 
-def verified(lines: list[str], sets: np.ndarray, sides: np.ndarray, nth: int, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Positions of lines that are similar enough and join different ``sets``, as few as join them.
-
-    Sides tell which lines are compared: 0 with 1, 2 with 2. Only candidates are: lines whose
-    SimHashes differ in at most APART bits and that share a cell, none before the ``nth``.
-    """
-    out, label = [], sets.copy()
-    fp, cell = cells_of(lines, radius)
-    sizes, bags = np.array([len(x) for x in lines]), _bags(lines)
-    for i in np.flatnonzero(sides != 1):
+def _verified(lines: list[str], prepared: tuple[np.ndarray, np.ndarray, np.ndarray], sets: np.ndarray, sides: np.ndarray, nth: int, similarity: float, out: list[tuple[int, int]]) -> Iterator[list[tuple[str, str]]]:
+    """Fills ``out``, see ``verified``; yields pairs of lines and is sent whether they are alike."""
+    label = sets.copy()
+    fp, cell, bags = prepared
+    sizes = np.array([len(x) for x in lines])
+    asked: list[tuple[int, int]] = []
+    todo = np.flatnonzero(sides != 1)
+    for i in todo:
         ahead = np.flatnonzero((sides == 1) & (label != label[i])) if sides[i] == 0 else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         ahead = ahead[np.bitwise_count(fp[ahead] ^ fp[i]) <= APART]
         shared = cell[ahead] == cell[i]
         ahead = ahead[shared[:, nth:].any(1) & ~shared[:, :nth].any(1)]
-        for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)] if len(ahead) else ():
-            if label[j] != label[i] and alike(lines[i], lines[j], similarity):
-                out.append((int(i), int(j)))
-                label[label == label[j]] = label[i]
+        if len(ahead):
+            asked += [(int(i), int(j)) for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)]]
+        if asked and (len(asked) >= PAIRS or i == todo[-1]):
+            for (x, y), same in zip(asked, (yield [(lines[x], lines[y]) for x, y in asked]), strict=True):
+                if same and label[x] != label[y]:
+                    out.append((x, y))
+                    label[label == label[y]] = label[x]
+            asked = []
+
+
+def verified(groups: list[tuple[list[str], np.ndarray, np.ndarray, int]], radius: int, similarity: float) -> list[list[tuple[int, int]]]:
+    """Of each group, positions of lines that are similar enough and join different sets, as few as join them.
+
+    A group has lines, their sets and sides, and nth. Sides tell which lines are compared: 0 with 1, 2 with 2.
+    Only candidates are: lines whose SimHashes differ in at most APART bits and that share a cell, none before
+    the ``nth``. Distances of all groups are told together.
+    """
+    every = [x for lines, *_ in groups for x in lines]
+    fp, cell = cells_of(every, radius)
+    bags, ends = _bags(every), np.cumsum([len(lines) for lines, *_ in groups])
+    out: list[list[tuple[int, int]]] = [[] for _ in groups]
+    open_, answers = [], []
+    for (lines, sets, sides, nth), found, end in zip(groups, out, ends, strict=True):
+        part = slice(end - len(lines), end)
+        open_.append(_verified(lines, (fp[part], cell[part], bags[part]), sets, sides, nth, similarity, found))
+        answers.append(None)
+    while open_:
+        more, asked = [], []
+        for g, said in zip(open_, answers, strict=True):
+            try:
+                asked.append(g.send(said))
+                more.append(g)
+            except StopIteration:
+                pass
+        same = iter(all_alike([p for x in asked for p in x], similarity))
+        open_, answers = more, [[next(same) for _ in x] for x in asked]
     return out
 
 
@@ -278,36 +382,43 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -
 
     In the nth cell of its lines, a pair that met in an earlier one is passed over.
     """
-    own, last = [], None
+    own, last, held, n = [], None, [], 0
 
     def done() -> pa.RecordBatch:
-        found = verified([r[3] for r in own], np.array([r[2] for r in own]), np.array([r[1] for r in own]), own[0][4], radius, similarity)
-        return pa.RecordBatch.from_arrays([pa.array([own[x[k]][2] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = verified([([r[3] for r in g], np.array([r[2] for r in g]), np.array([r[1] for r in g]), g[0][4]) for g in held], radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([g[x[k]][2] for g, f in zip(held, found, strict=True) for x in f], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if row[0] != last and own:
-                yield done()
+                held.append(own)
+                n += len(own)
                 own = []
+                if n >= LINES:
+                    yield done()
+                    held, n = [], 0
             last = row[0]
             own.append(row)
     if own:
+        held.append(own)
         yield done()
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(a, b, line, other) to (a, b, same): whether the two lines are similar enough."""
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at in range(0, b.num_rows, PAIRS):
+            part = b.slice(at, PAIRS)
             pairs = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
             same = [_in_place(x, y, similarity) for x, y in pairs]
             rest = [i for i, s in enumerate(same) if s is None]
             if rest:
                 left, right = zip(*(pairs[i] for i in rest), strict=True)
                 near = _near(_bags(left), _bags(right), np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)]), similarity)
-                for i, n in zip(rest, near, strict=True):
-                    same[i] = bool(n) and alike(*pairs[i], similarity)
+                some = [i for i, n in zip(rest, near, strict=True) if n]
+                said = dict(zip(some, all_alike([pairs[i] for i in some], similarity), strict=True))
+                for i in rest:
+                    same[i] = said.get(i, False)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
 
