@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,32 @@ def test_distances_of_many_pairs():
     whole = np.array([round((1 - line_dedup.edit_similarity(a, b)) * max(len(a), len(b))) for a, b in pairs])
     got = line_dedup.distances(pairs, most)
     assert ((got == whole) | ((got > most) & (whole > most))).all() and 20 < (whole <= most).sum() < 220
+
+
+def test_buckets_are_dealt_packed(monkeypatch):
+    """A line's sixteen buckets travel packed by parts, not as rows; links of small buckets are found and members of large ones sent on, in parts too large to hold as well."""
+    rng = random.Random(2)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(12)) for _ in range(40)]
+    lines = [" ".join(w if rng.random() > 0.06 else "x" + w for w in b.split()) for b in base for _ in range(15)] + base[:20]
+    fp, band = line_dedup.prints(lines)
+    signs = pa.RecordBatch.from_arrays([pa.array(fp), pa.array([x.tobytes() for x in band], pa.binary())], names=["fp", "bands"])
+    apart = np.bitwise_count((fp[:, None] ^ fp[None]).view(np.uint64))
+    met = ((band[:, None] == band[None]).any(2) & (apart <= line_dedup.APART)) | (apart <= 3)
+    at = {f: i for i, f in reversed(list(enumerate(fp.tolist())))}  # links are of SimHashes
+    links = {(at[int(fp[i])], at[int(fp[j])]) for i, j in zip(*np.nonzero(met), strict=True)}
+    for cap, held in ((16384, 4_000_000), (5, 4_000_000), (5, 300)):
+        monkeypatch.setattr(line_dedup, "CAP", cap)
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        dealt = list(line_dedup._deal(iter([signs.slice(0, 300), signs.slice(300)]), 3, 7))
+        assert sum(b.num_rows for b in dealt) <= 2 * 7 and sum(len(x) for b in dealt for x in b.column(2).to_pylist()) == 16 * 16 * len(lines)
+        rows = [r for b in line_dedup._meet((b.slice(i, 1) for b in dealt for i in range(b.num_rows)), 3) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        pairs = [(at[a], at[b]) for level, _, a, b in rows if level < 0]
+        assert set(pairs) <= links
+        large = {}
+        for level, key, a, _ in rows:
+            if level >= 0:
+                large.setdefault((level, key), set()).add(at[a])
+        assert bool(large) == (cap == 5)
+        pairs += [(i, j) for (level, _), x in large.items() for i in x for j in x if i < j and apart[i, j] <= (line_dedup.APART, 3)[level]]
+        same = [(i, at[f]) for i, f in enumerate(fp.tolist())]
+        assert roots(len(lines), pairs + same) == roots(len(lines), [*links, *same])

@@ -18,7 +18,7 @@ from ..runtime import ship
 from . import minhash
 from .common import cut, keep, table
 from .components import components
-from .hamming import block_masks, bucket_links, links, majority, mixed, signed
+from .hamming import LINK, _search, block_masks, bucket_links, links, majority, mixed, signed
 
 MIN_WORDS, RADIUS, SIMILARITY = 4, 3, 0.9
 #: Places of a MinHash band of a line's words, bands, and the bits in which SimHashes that meet in a band may differ.
@@ -27,12 +27,15 @@ ROWS, BANDS, APART = 4, 12, 22
 SHORT = 4
 #: Members of a bucket, lines of a block that is verified at once, candidate keys that are broadcast.
 CAP, BLOCK, KEYS = 16384, 256, 1_000_000
-#: Characters up to which distances are told by bands of 16-bit cells; pairs and lines that are compared at once.
-LONGEST, PAIRS, LINES = 8000, 2000, 4000
+#: Pairs and lines that are compared at once.
+PAIRS, LINES = 4000, 10_000
+#: Edits within which all pairs are tried first, pairs for each word of a band from which they share steps, words of a table of characters.
+NARROW, FEW, CELLS = 40, 32, 1 << 22
+#: Lines that are dealt at once, entries of buckets that a task holds before it sends large buckets on.
+DEALT, HELD = 50_000, 4_000_000
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-BLANKS = re.compile(" {2,}")
 #: ASCII at once: lower case, anything but letters, digits and line ends as a space.
 PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 or c == 10 else 32 for c in range(256))
 #: Ideographs and kana: each counts as a word.
@@ -40,9 +43,10 @@ CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 @cache
-def _letters() -> np.ndarray:
-    """Of every code point, whether it is a letter, a digit, a space or a line end."""
-    return np.array([chr(c).isalnum() or c in (10, 32) for c in range(0x110000)])
+def _plain_codes(n: int) -> np.ndarray:
+    """Of each code point below n: itself in lower case if that is a letter, a digit or a line end, else a space."""
+    low = (chr(c).lower() for c in range(n))
+    return np.array([ord(x) if len(x) == 1 and x.isalnum() or x == "\n" else 32 for x in low], np.uint32)
 
 
 def normal(text: str) -> str:
@@ -50,11 +54,16 @@ def normal(text: str) -> str:
     if text.isascii():
         plain = text.encode().translate(PLAIN).decode()
     else:
-        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        plain = np.where(_letters()[code], code, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass")
-        if code.max() >= 0x3040:
+        if "\u0130" in text or "\u03a3" in text:
+            text = text.lower()  # becomes two characters, or depends on its neighbours
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        top = code.max()
+        plain = _plain_codes(0x3040 if top < 0x3040 else 0x110000)[code].tobytes().decode("utf-32-le", "surrogatepass")
+        if top >= 0x3040:
             plain = CJK.sub(r" \g<0> ", plain)
-    return BLANKS.sub(" ", plain)
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    return plain
 
 
 def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[int, int, str | None]]:
@@ -64,7 +73,7 @@ def lines_of(text: str | None, min_words: int, short: bool) -> Iterator[tuple[in
     key is that of exactly their words, or marks.
     """
     for pos, (plain, raw) in enumerate(zip(normal(text).split("\n"), text.split("\n"), strict=True) if text else ()):
-        line = plain.strip()
+        line = plain.strip(" ")
         if line.count(" ") >= min_words - 1:
             yield pos, signed(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))), line
         elif short and (line or raw.strip()):
@@ -133,15 +142,97 @@ def _simhash(batches: Iterator[pa.RecordBatch], min_words: int, short: bool) ->
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "pos", "key", "fp", "bands"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, bands) to (key, fp): one row for each band."""
+def _deal(batches: Iterator[pa.RecordBatch], radius: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(fp, bands) to (part, level, packed): of each band (level 0) and pigeonhole block (1), the bucket and the SimHash, packed for each part of the buckets."""
+    masks = np.array([signed(m) for m in block_masks(radius)])
+    held: list[tuple[np.ndarray, bytes]] = []
+
+    def dealt() -> pa.RecordBatch:
+        fp = np.concatenate([x for x, _ in held])
+        band = np.frombuffer(b"".join(x for _, x in held), np.uint32).reshape(len(fp), BANDS)
+        rows = []
+        for level, key in enumerate([band.astype(np.int64) + (np.arange(BANDS) << 32), (fp[:, None] & masks) ^ (np.arange(len(masks)) << 8)]):
+            key, own = mixed(key.ravel().view(np.uint64)), np.repeat(fp, key.shape[1])
+            part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, own, part = key[order], own[order], part[order]
+            ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
+            rows += [(part[e - 1], level, key[s:e].tobytes() + own[s:e].tobytes()) for s, e in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "level", "packed"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column(0).to_numpy(zero_copy_only=False), b"".join(b.column(1).to_pylist())))
+        if sum(len(x) for x, _ in held) >= DEALT:
+            yield dealt()
+            held = []
+    if held:
+        yield dealt()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Packed buckets to (level, key, a, b) as ``hamming._search`` gives them: links as level -1, members of buckets above CAP as they came."""
+    held: list[list[np.ndarray]] = [[], []]
+    full = [np.empty(0, np.int64)] * 2  # buckets that were above CAP before
+
+    def over(level: int, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level), pa.int32()), pa.array(key), pa.array(fp), pa.array(fp)], schema=LINK)
+
+    def shrunk(level: int) -> Iterator[pa.RecordBatch]:
+        """Leaves no bucket above CAP and no repeated row."""
+        key, fp = np.concatenate(held[level], axis=1)
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
+        key, fp = key[new], fp[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        full[level] = np.union1d(full[level], key[starts[sizes > CAP]])
+        gone = np.isin(key, full[level])
+        if gone.any():
+            yield over(level, key[gone], fp[gone])
+        held[level] = [np.stack([key[~gone], fp[~gone]])]
+
     for b in batches:
-        own = b.column(1).to_pylist()
-        if not own:
+        for level, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            held[level].append(np.frombuffer(x, np.int64).reshape(2, -1))
+        for level in (0, 1):
+            if sum(x.shape[1] for x in held[level]) > HELD:
+                yield from shrunk(level)
+    for level in (0, 1):
+        if not held[level]:
+            continue
+        key, fp = np.concatenate(held[level], axis=1)
+        held[level] = []
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.r_[same, False] | np.r_[False, same]
+        if not several.any():
             continue
-        band = np.frombuffer(b"".join(own), np.uint32).reshape(len(own), BANDS)
-        key = band.astype(np.int64) + (np.arange(BANDS) << 32)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "fp"])
+        held[level] = [np.stack([key[several], fp[order[several]]])]
+        yield from shrunk(level)
+        key, fp = held[level].pop()
+        rows = (pa.RecordBatch.from_arrays([pa.array(np.full(len(key[at : at + 10_000]), level), pa.int32()), pa.array(key[at : at + 10_000]), pa.array(fp[at : at + 10_000])], names=["level", "key", "fp"]) for at in range(0, len(key), 10_000))
+        yield from _search(rows, (APART, radius)[level], CAP)
+
+
+def _candidates(signs: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of SimHashes that differ in at most ``radius`` bits, or share a band and differ in at most APART. ``signs`` has fp and bands.
+
+    Buckets above CAP are searched by ``bucket_links`` and ``links``, so none of their links is lost.
+    """
+    parts = max(256, 4 * int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = signs.mapInArrow(lambda it: _deal(it, radius, parts), "part int, level int, packed binary")
+    result = cut(dealt.repartition("part").mapInArrow(lambda it: _meet(it, radius), "level int, key bigint, a bigint, b bigint"))
+    near = result.where("level = -1").select("a", "b")
+    over = [result.where(F.col("level") == level).select("key", F.col("a").alias("fp")) for level in (0, 1)]
+    large = {r.level for r in result.where("level >= 0").select("level").distinct().collect()}
+    if 0 in large:
+        near = near.unionByName(bucket_links(over[0], APART, CAP))
+    if 1 in large:
+        near = near.unionByName(links(over[1].select("fp").distinct(), radius, block_masks(radius), CAP))
+    return near.where("a <> b").distinct()
 
 
 def cells_of(lines: list[str], radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,24 +273,32 @@ def edit_similarity(a: str, b: str, most: int | None = None) -> float:
 
 
 def _distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by Myers' bit vectors, or any number above ``most`` if it is above."""
-    peq: dict[str, int] = {}
+    """Levenshtein distance, or any number above ``most`` if it is above; as ``_bits``, one pair. ``a`` is no shorter than ``b``."""
+    more = len(a) - len(b)
+    if more > most:
+        return most + 1
+    up, low = (most + more) // 2, (most - more) // 2
+    top, full = 1 << up + low, (2 << up + low) - 1
+    # of each character the band's bits at the step of its last use
+    eqs: dict[str, tuple[int, int]] = {}
+    for q, c in enumerate(a[:up]):
+        eqs[c] = (eqs.get(c, (0, 0))[0] | 1 << low + q, 0)
+    vp, vn, met, place, n = full >> low << low, 0, 0, low + more, len(a) - up
     for i, c in enumerate(b):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    pv, mv, score, room = full, 0, len(b), most + len(a)
-    for c in a:
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        room -= 1
-        if score > room:  # a column lowers the score by one at most
+        if i < n:
+            x = a[i + up]
+            bits, at = eqs.get(x, (0, i))
+            eqs[x] = (bits >> i - at | top, i)
+        bits, at = eqs.get(c, (0, i))
+        eq = bits >> i - at
+        d = ((eq & vp) + vp ^ vp | eq | vn) & full
+        hp = vn | (d | vp) ^ full
+        met += d >> place & 1
+        if more + i + 1 - met > most:
             return most + 1
-        ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-    return score
+        hn, d = d & vp, d >> 1
+        vp, vn = hn | (d | hp) ^ full, d & hp
+    return more + len(b) - met
 
 
 def _in_place(a: str, b: str, similarity: float) -> bool | None:
@@ -224,59 +323,118 @@ def alike(a: str, b: str, similarity: float) -> bool:
 
 
 def distances(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of each pair, or any number above its ``most`` if it is above; bands of many pairs at a time."""
-    out = most + 1
-    order = np.lexsort(([len(a) for a, _ in pairs], most))
+    """Levenshtein distance of each pair, or any number above its ``most`` if it is above; many pairs at a time.
+
+    All are tried within NARROW edits first, which one word holds; what is above goes on to its own bound.
+    """
+    out = _within(pairs, np.minimum(most, NARROW))
+    rest = np.flatnonzero((out > NARROW) & (most > NARROW))
+    out[rest] = _within([pairs[p] for p in rest], most[rest])
+    return out
+
+
+def _within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """As ``distances``: pairs of like lengths and bounds together, few or wide ones one by one."""
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    size, longer = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    out = np.where(size == 0, longer, most + 1)
+    order = np.flatnonzero((size > 0) & (longer - size <= most))
+    words = 3 * most // 128 + 1
+    order = order[np.lexsort((size[order], words[order]))]
     while len(order):
-        n = min(256, int(np.searchsorted(most[order], 1.25 * most[order[0]] + 4, "right")))
-        at, order = order[:n], order[n:]
-        if n < 4 or max(max(map(len, pairs[p])) for p in at) > LONGEST:
-            out[at] = [_distance(*pairs[p], int(most[p])) if all(pairs[p]) else max(map(len, pairs[p])) for p in at]
-        else:
-            out[at] = _banded([pairs[p] for p in at], most[at])
+        at = order[: int(np.argmin(np.r_[(size[order] <= 1.5 * size[order[0]] + 32) & (words[order] == words[order[0]]), False]))]
+        if len(at) >= FEW * words[at[0]]:
+            code = np.frombuffer("".join([pairs[p][k] for k in (0, 1) for p in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            seen = np.zeros(int(code.max()) + 1, bool)
+            seen[code] = True
+            kinds = int(seen.sum())
+            n = CELLS // ((kinds + 1) * (int(longer[at].max()) // 64 + words[at[0]] + 2))
+            if n >= len(at):
+                out[at] = _bits((np.cumsum(seen) - 1)[code], kinds, size[at], longer[at], most[at])
+                order = order[len(at) :]
+                continue
+            at = at[: max(n // 2, 1)]
+            if n // 2 >= FEW * words[at[0]]:
+                out[at] = _within([pairs[p] for p in at], most[at])
+                order = order[len(at) :]
+                continue
+        out[at] = [_distance(pairs[p][1], pairs[p][0], int(most[p])) for p in at]
+        order = order[len(at) :]
+    return out
+
+
+def _rows(code: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
+    out = np.full((len(size), int(size.max())), fill)
+    out[np.arange(out.shape[1]) < size[:, None]] = code
     return out
 
 
-def _banded(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
-    """The cells of each pair's table within the largest ``most`` of its diagonal, row by row; a pair whose row is above its own ends there."""
-    m, n = int(most.max()), np.array([len(a) for a, _ in pairs])
-    ends, out = np.array([len(b) for _, b in pairs]) - n + m, most + 1
-    left = np.zeros((len(pairs), n.max()), np.int32)
-    right = np.ones((len(pairs), n.max() + 2 * m + 1), np.int32)
-    for p, (a, b) in enumerate(pairs):
-        left[p, : len(a)] = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.int32) + 2
-        b = b[: right.shape[1] - m]
-        right[p, m : m + len(b)] = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.int32) + 2
-    if max(left.max(initial=0), right.max()) < 256:
-        left, right = left.astype(np.uint8), right.astype(np.uint8)
-    own = np.flatnonzero((ends >= 0) & (ends <= 2 * m))
-    left, right = np.ascontiguousarray(left[own].T), np.ascontiguousarray(right[own].T)
-    step = np.arange(2 * m + 1, dtype=np.int16)[:, None]
-    # a cell less its place in the band, so that an insertion costs nothing
-    row = np.where(step >= m, np.int16(-m), np.int16(LONGEST)) * np.ones((1, len(own)), np.int16)
-    stops = set(n[own].tolist())
-    for i in range(n.max() + 1):
-        if i:
-            grown = np.not_equal(right[i - 1 : i + 2 * m], left[i - 1]).view(np.uint8).astype(np.int16)
-            grown += row
-            row += np.int16(2)
-            np.minimum(grown[:-1], row[1:], out=grown[:-1])
-            k = 1
-            while k < len(step):  # the least so far, from left to right
-                row[:k] = grown[:k]
-                np.minimum(grown[k:], grown[:-k], out=row[k:])
-                grown, row = row, grown
-                k *= 2
-            row = grown
-        if i % 16 == 0 or i in stops:
-            done = n[own] == i
-            at = ends[own[done]]
-            out[own[done]] = row[at, np.flatnonzero(done)] + at
-            alive = ~done & ((row + step).min(0) <= most[own])
-            if not alive.all():
-                own, row, left, right = own[alive], row[:, alive], left[:, alive], right[:, alive]
-            if not len(own):
+def _bits(code: np.ndarray, kinds: int, size: np.ndarray, longer: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Bit vectors of a band around the diagonal (Hyyro, 2003), a step for each character of the shorter lines, all pairs at once.
+
+    ``code`` has the characters of the shorter lines, then of the longer ones, numbered from 0. An alignment of d edits
+    whose lines differ by k in length stays within (d + k) / 2 diagonals above and (d - k) / 2 below the first. The
+    cells of the last diagonal grow by 0 or 1 a step; a pair above its ``most`` there ends.
+    """
+    more, cut_ = longer - size, int(size.sum())
+    up, down = int(((most + more) // 2).max()), int(((most - more) // 2).max())
+    words = (up + down) // 64 + 1
+    low = 64 * words - 1 - up  # the bit of the main diagonal
+    # bit q + low of a pair and character: whether it is the q-th of the longer line
+    base = np.arange(len(size))[:, None] * (kinds + 1)
+    text, other = _rows(code[:cut_], size, kinds) + base, _rows(code[cut_:], longer, kinds) + base
+    table = np.zeros(((max(text.shape[1] + 64 * words, other.shape[1] + low) >> 6) + 2, len(size) * (kinds + 1)), np.uint64)
+    flat = table.reshape(-1)
+    for j in range(min(64, other.shape[1])):
+        q = np.arange(j, other.shape[1], 64) + low
+        flat[other[:, j::64] + (q >> 6) * table.shape[1]] |= np.uint64(1 << (j + low & 63))
+    text = np.ascontiguousarray(text.T)
+    start = (1 << 64 * words) - (1 << low)
+    vp = np.repeat(np.array([[start >> 64 * w & (1 << 64) - 1] for w in range(words)], np.uint64), len(size), axis=1)
+    vn, met, one = np.zeros_like(vp), np.zeros(len(size), np.uint64), np.uint64(1)
+    word, bit = low + more >> 6, (low + more & 63).astype(np.uint64)
+    own, out, stops, begun = np.arange(len(size)), most + 1, set(size.tolist()), 0
+    for i in range(int(size.max())):
+        part = table[i >> 6 : (i >> 6) + words + 1].take(text[i - begun], axis=1)
+        eq = part[:-1]
+        if i & 63:
+            eq = eq >> np.uint64(i & 63)
+            eq |= part[1:] << np.uint64(64 - (i & 63))
+        d = eq & vp
+        carry = None
+        for x, v in zip(d, vp, strict=True):
+            x += v
+            if words > 1:
+                over = x < v
+                if carry is not None:
+                    x += carry
+                    over |= x < carry
+                carry = over.astype(np.uint64)
+        d ^= vp
+        d |= eq
+        d |= vn
+        hp = d | vp
+        np.invert(hp, out=hp)
+        hp |= vn
+        vp &= d
+        met += (d[0] if words == 1 else d[word, np.arange(len(own))]) >> bit & one
+        down_ = d >> one
+        if words > 1:
+            down_[:-1] |= d[1:] << np.uint64(63)
+        np.bitwise_and(down_, hp, out=vn)
+        down_ |= hp
+        np.invert(down_, out=down_)
+        vp |= down_
+        if i + 1 in stops:
+            done = np.flatnonzero(size[own] == i + 1)
+            out[own[done]] = more[own[done]] + (i + 1) - met[done].astype(np.int64)
+        if i % 32 == 31:
+            alive = (size[own] > i + 1) & (more[own] + (i + 1) - met.astype(np.int64) <= most[own])
+            if not alive.any():
                 break
+            if alive.sum() < 0.8 * len(own):
+                own, vp, vn, met, word, bit = own[alive], vp[:, alive], vn[:, alive], met[alive], word[alive], bit[alive]
+                text, begun = text[i + 1 - begun :, alive], i + 1
     return out
 
 
@@ -308,18 +466,24 @@ def _shared(a: str, b: str, most: int, front: bool) -> int:
 
 
 def _bags(lines: list[str]) -> np.ndarray:
-    """Counts of characters in 64 bins and, halved, of character pairs in 256 bins; one row for each line."""
-    out = np.zeros((len(lines), 320), np.float32)
-    for i, x in enumerate(lines):
-        c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[i, :64] = np.bincount(c & 63, minlength=64)
-        out[i, 64:] = np.bincount(((c[:-1] * np.uint32(2654435761) + c[1:]) >> np.uint32(3)) & np.uint32(255), minlength=256) / 2
+    """Counts of characters in 64 bins, doubled, and of character pairs in 256 bins; one row for each line."""
+    out = np.zeros((len(lines), 320), np.int32)
+    for at in range(0, len(lines), 500):
+        part = lines[at : at + 500]
+        c = np.frombuffer("\n".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.flatnonzero(c == 10)
+        of = np.repeat(np.arange(len(part)), np.diff(np.r_[-1, ends]))
+        # a line's end, and the pair that it closes, aren't counted
+        own = c != 10
+        out[at : at + 500, :64] = 2 * np.bincount((of * 64 + (c & np.uint32(63)))[own], minlength=64 * len(part)).reshape(-1, 64)
+        two = (c[:-1] * np.uint32(2654435761) + c[1:]) >> np.uint32(3) & np.uint32(255)
+        out[at : at + 500, 64:] = np.bincount((of[:-1] * 256 + two)[own[:-1] & own[1:]], minlength=256 * len(part)).reshape(-1, 256)
     return out
 
 
 def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
     """False where bags rule a similarity out: an edit brings in one character and two pairs at most, and takes out as many."""
-    apart, most = a - b, (1 - similarity) * sizes + 1e-3
+    apart, most = a - b, 2 * (1 - similarity) * sizes + 2e-3
     fine = np.ones(len(sizes), bool)
     for part in (apart[:, :64], apart[:, 64:]):
         fine &= (np.maximum(part, 0).sum(1) <= most) & (np.maximum(-part, 0).sum(1) <= most)
@@ -331,21 +495,24 @@ def _verified(lines: list[str], prepared: tuple[np.ndarray, np.ndarray, np.ndarr
     label = sets.copy()
     fp, cell, bags = prepared
     sizes = np.array([len(x) for x in lines])
-    asked: list[tuple[int, int]] = []
-    todo = np.flatnonzero(sides != 1)
-    for i in todo:
-        ahead = np.flatnonzero((sides == 1) & (label != label[i])) if sides[i] == 0 else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        ahead = ahead[np.bitwise_count(fp[ahead] ^ fp[i]) <= APART]
-        shared = cell[ahead] == cell[i]
-        ahead = ahead[shared[:, nth:].any(1) & ~shared[:, :nth].any(1)]
-        if len(ahead):
-            asked += [(int(i), int(j)) for j in ahead[_near(bags[ahead], bags[i], np.maximum(sizes[ahead], sizes[i]), similarity)]]
-        if asked and (len(asked) >= PAIRS or i == todo[-1]):
-            for (x, y), same in zip(asked, (yield [(lines[x], lines[y]) for x, y in asked]), strict=True):
+    right = np.flatnonzero(sides != 0)
+    for at in range(0, len(lines), BLOCK):
+        left = at + np.flatnonzero(sides[at : at + BLOCK] != 1)
+        fine = (label[left, None] != label[right]) & ((sides[left, None] == 0) | (left[:, None] < right))
+        fine &= np.bitwise_count(fp[left, None] ^ fp[right]) <= APART
+        i, j = (x[y] for x, y in zip((left, right), np.nonzero(fine), strict=True))
+        shared = cell[i] == cell[j]
+        met = shared[:, nth:].any(1) & ~shared[:, :nth].any(1)
+        i, j = i[met], j[met]
+        near = [_near(bags[x], bags[y], np.maximum(sizes[x], sizes[y]), similarity) for x, y in ((i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS))]
+        asked = np.flatnonzero(np.concatenate(near)) if near else np.empty(0, int)
+        while len(asked):
+            now, asked = asked[:PAIRS], asked[PAIRS:]
+            for x, y, same in zip(i[now].tolist(), j[now].tolist(), (yield [(lines[x], lines[y]) for x, y in zip(i[now], j[now], strict=True)]), strict=True):
                 if same and label[x] != label[y]:
                     out.append((x, y))
                     label[label == label[y]] = label[x]
-            asked = []
+            asked = asked[label[i[asked]] != label[j[asked]]]
 
 
 def verified(groups: list[tuple[list[str], np.ndarray, np.ndarray, int]], radius: int, similarity: float) -> list[list[tuple[int, int]]]:
@@ -407,8 +574,8 @@ def _verify(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(a, b, line, other) to (a, b, same): whether the two lines are similar enough."""
     for b in batches:
-        for at in range(0, b.num_rows, PAIRS):
-            part = b.slice(at, PAIRS)
+        for at in range(0, b.num_rows, LINES):
+            part = b.slice(at, LINES)
             pairs = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
             same = [_in_place(x, y, similarity) for x, y in pairs]
             rest = [i for i, s in enumerate(same) if s is None]
@@ -422,6 +589,15 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, raw), all of a key in one task, to (key, line): one normalised line for each key."""
+    seen: set[int] = set()
+    for b in batches:
+        keys = b.column(0).to_pylist()
+        own = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([normal(b.column(1)[i].as_py()).strip() for i in own], pa.string())], names=["key", "line"])
+
+
 def _between(members: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b): similar lines of different sets. ``members`` has (group, set, key, line); groups hold several sets.
 
@@ -466,7 +642,7 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     hashed = keep(own.mapInArrow(lambda it: _simhash(it, min_words, short), "doc_id bigint, doc bigint, pos int, key bigint, fp bigint, bands binary"))
     signs = hashed.where("bands is not null").select("fp", "bands")
-    near = links(signs.select("fp").distinct(), radius, block_masks(radius), CAP).unionByName(bucket_links(signs.mapInArrow(_deal, "key bigint, fp bigint"), APART, CAP))
+    near = _candidates(signs, radius)
     # candidates as pairs of keys: of fingerprints that are linked, or that several keys share
     names = hashed.where("fp is not null").groupBy("fp").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     left, right = (names.select(F.col("fp").alias(c), F.col("low").alias(f"key_{c}")) for c in "ab")
@@ -475,14 +651,13 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
     edges = cut(met.unionByName(several).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # one occurrence of each candidate; only its document is read again
     keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some = cut(hashed.where("bands is not null").join(keys, "key").groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at")).select("key", F.col("at.doc").alias("_doc"), F.col("at.pos").alias("_pos")))
+    some = cut(hashed.where("bands is not null").join(keys, "key").select("key", F.col("doc").alias("_doc"), F.col("pos").alias("_pos")).dropDuplicates(["key"]))
     read = docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("_text"))
     holders = some.select(F.col("_doc").alias("doc")).distinct()
     few = some.count() <= KEYS
     read = read.join(F.broadcast(holders) if few else holders, "doc", "left_semi")
     raw = read.select("doc", F.posexplode(F.split("_text", "\n")).alias("pos", "raw")).join(F.broadcast(some) if few else some, (F.col("doc") == F.col("_doc")) & (F.col("pos") == F.col("_pos")))
-    plain = F.pandas_udf(lambda x: x.map(lambda t: normal(t).strip()), "string")
-    text = keep(raw.groupBy("key").agg(F.first("raw").alias("raw")).select("key", plain("raw").alias("line")))
+    text = keep(raw.select("key", "raw").repartition("key").mapInArrow(_plain, "key bigint, line string"))
     lines, others = text.select(F.col("key").alias("a"), "line"), text.select(F.col("key").alias("b"), F.col("line").alias("other"))
     tried = cut(edges.join(lines, "a").join(others, "b").select("a", "b", "line", "other").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint, same boolean"))
     found = cut(components(tried.where("same").select("a", "b")).select(F.col("id").alias("key"), F.col("root").alias("set")))
@@ -497,9 +672,18 @@ def groups(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, si
         group = sets.join(more, "set", "left").select("key", F.coalesce("group", "set").alias("group"))
     found = group
     # a line that is linked to none is a group of its own key
-    line = hashed.select("doc_id", "doc", "pos", "key").join(found, "key", "left").select("doc_id", "doc", "pos", F.coalesce("group", "key").alias("group"))
-    heads = line.groupBy("group").agg(F.min(F.struct("doc_id", "doc", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return line.join(heads, "group").select("doc_id", "doc", "pos", F.struct("doc_id", "doc", "pos").eqNullSafe(F.col("head")).alias("keeps"))
+    counts = hashed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.count("doc_id").alias("ids"))
+    named = cut(counts.join(found, "key", "left").where("group is not null or n > 1"))
+    linked = named.where("group is not null")
+    whole = linked.groupBy("group").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    alone = named.where("group is null").select("key", F.col("key").alias("group"), "low", "n", "ids")
+    of = linked.select("key", "group").join(whole, "group").select("key", "group", "low", "n", "ids").unionByName(alone)
+    # lines of the group's lowest id, null before all, of which one stays
+    lowest = F.when(F.col("ids") < F.col("n"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("low")))
+    line = cut(hashed.select("doc_id", "doc", "pos", "key").join(of.hint("shuffle_hash"), "key").select("doc_id", "doc", "pos", "group", lowest.alias("lowest")))
+    heads = line.where("lowest").groupBy("group").agg(F.min(F.struct("doc", "pos")).alias("head"))
+    first = line.where("lowest").join(heads, "group").select("doc_id", "doc", "pos", (F.struct("doc", "pos") == F.col("head")).alias("keeps"))
+    return first.unionByName(line.where("not lowest").select("doc_id", "doc", "pos", F.lit(False).alias("keeps")))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -524,7 +708,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, sim
     document: they keep and lose the same lines. An empty table gives an empty result.
     """
     gone = groups(docs, min_words, radius, similarity, id_col, text_col, short).where(~F.col("keeps")).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    own = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("key")).join(gone, F.col("key") == F.col("doc"), "left")
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("key")).join(gone.hint("shuffle_hash"), F.col("key") == F.col("doc"), "left")
     text = F.col("row").getField(text_col)
     clean = F.when(F.col("gone").isNull(), text).otherwise(without(text, F.col("gone")))
     count = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
