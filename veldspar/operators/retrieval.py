@@ -130,34 +130,51 @@ def jaccard_top_k(docs: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["probe_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
+#: Far above the error of a matrix product, so that no row of the first k is lost before scores are told exactly.
+SLACK = 1e-9
+
+
+def _cosines(v: np.ndarray, m: np.ndarray, vv: float, mm: np.ndarray) -> np.ndarray:
+    """Cosines of ``v`` with the rows of ``m``, summed from the first component to the last, so that equal vectors have equal scores wherever they stand; ``vv`` and ``mm`` are the squared lengths."""
+    den = np.sqrt(vv * mm)
+    s = np.divide(np.cumsum(m * v, axis=1)[:, -1], den, out=np.zeros_like(den), where=den > 0)
+    return np.clip(s, -1.0, 1.0)
+
+
 def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, block: int = 16384) -> DataFrame:
     """(query_id, vec_id, score, rank): the query rows against all others, block by block.
 
     Each pair of a query block and a row block is one group of bounded size that returns its
-    own top k; ties go to the smaller id.
+    own top k; ties go to the smaller id. A matrix product finds what may be among the first k, their
+    scores are then summed in one order. Vectors with components that aren't finite take no part.
     """
     ship(vectors.sparkSession)
     clean = vectors.where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), is_query.alias("q"))
     n, asked = clean.agg(F.count("*"), F.count_if("q")).first()
     rows_n, sets = max(1, -(-n // block)), max(1, -(-asked // (4 * block)))
-    left = clean.where("q").select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(rows_n - 1))).alias("b"))
-    right = clean.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(rows_n)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"))
+    # both sides keyed by the same types: an int and a long of one value hash to different tasks
+    dealt = lambda c, of: F.pmod(c, F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = clean.where("q").select("vec_id", "v", dealt(F.xxhash64("vec_id"), sets).alias("s"), every(rows_n).alias("b"))
+    right = clean.select("vec_id", "v", dealt(F.xxhash64("vec_id", F.lit(1)), rows_n).alias("b"), every(sets).alias("s"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
+            xx, yy = (np.cumsum(m * m, axis=1)[:, -1] for m in (x, y))
             ids = b["vec_id"].to_numpy()
             for at in range(0, len(x), 256):
-                den = nx[at : at + 256, None] * ny[None, :]
+                den = np.sqrt(xx[at : at + 256, None] * yy[None, :])
                 s = np.divide(x[at : at + 256] @ y.T, den, out=np.zeros_like(den), where=den > 0)
+                s[~np.isfinite(s) | ~np.isfinite(den)] = -np.inf
                 for i, row in enumerate(s):
                     row[ids == a["vec_id"].iloc[at + i]] = -np.inf
-                    best = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-                    best = best[np.lexsort((ids[best], -row[best]))][:k]
-                    best = best[np.isfinite(row[best])]
-                    out.append(pd.DataFrame({"query_id": a["vec_id"].iloc[at + i], "vec_id": ids[best], "score": row[best]}))
+                    least = np.partition(row, len(row) - k)[len(row) - k] - SLACK if len(row) > k else -np.inf
+                    best = np.flatnonzero((row >= least) & np.isfinite(row))
+                    score = _cosines(x[at + i], y[best], xx[at + i], yy[best])
+                    first = np.lexsort((ids[best], -score))[:k]
+                    out.append(pd.DataFrame({"query_id": a["vec_id"].iloc[at + i], "vec_id": ids[best[first]], "score": score[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
