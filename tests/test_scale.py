@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from veldspar.operators import retrieval
+from veldspar.operators import retrieval, structure
 
 
 def test_cosine_top_k_over_many_blocks(spark):
@@ -29,3 +29,13 @@ def test_cosine_top_k_over_many_blocks(spark):
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == want
+
+
+def test_lines_are_cleaned_once(spark):
+    df = spark.createDataFrame([(1, "Foot of page  \nfoot of page\t\r\nFoot  of page\n \t \nbody text goes on."), (2, None)], "doc_id int, text string")
+    marked = structure.lines(df)
+    assert [(r.pos, r.line, r.kind) for r in marked.orderBy("pos").collect()] == [(1, "Foot of page", "text"), (2, "foot of page", "text"), (3, "Foot  of page", "text"), (4, "", "blank"), (5, "body text goes on.", "text")]
+    found = structure.furniture(marked)
+    assert [tuple(r) for r in found.collect()] == [(1, "foot of page", 3, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s+$") == 1  # not once for each use of a line
