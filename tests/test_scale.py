@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from veldspar.operators import retrieval, structure
+from veldspar.operators import probes, retrieval, structure
+from veldspar.runtime import cut
 
 
 def test_cosine_top_k_over_many_blocks(spark):
@@ -39,3 +40,13 @@ def test_lines_are_cleaned_once(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "foot of page", 3, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\s+$") == 1  # not once for each use of a line
+
+
+def test_shared_runs_keep_only_what_meets(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(probes, "cut", lambda df: (kept.append(df.count()), cut(df))[1])
+    left = spark.createDataFrame([(1, "the quick brown fox"), (2, "nothing alike 123"), (3, "short")], "id int, text string")
+    right = spark.createDataFrame([(f"{i:05d} unlike words {i * 7919:07d}",) for i in range(300)] + [("a QUICK  brown dog",)], "text string")
+    got = {r.id: r.longest for r in probes.longest_shared_run(left, right, least=8, cap=16).collect()}
+    assert got == {1: 13, 2: 0, 3: 0}
+    assert max(kept) < 40  # not the thousands of places of texts that share nothing

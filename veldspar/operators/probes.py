@@ -9,6 +9,10 @@ from ..functions.text import identifiers
 from ..runtime import cut
 
 
+#: Distinct grams that are broadcast at most; more meet the other side by a shuffle.
+GRAMS = 1_000_000
+
+
 def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
@@ -27,12 +31,17 @@ def longest_shared_run(left: DataFrame, right: DataFrame, id_col: str = "id", te
         raise ValueError("least must be a power of two, and cap not below it")
 
     def places(df: DataFrame, *cols: str) -> DataFrame:
-        t = df.select(*cols, _plain(F.col(text_col)).alias("_t"))
+        t = df.select(*cols, _plain(F.col(text_col)).alias("_t")).distinct()
         at = F.when(F.length("_t") >= least, F.sequence(F.lit(1), F.length("_t") - (least - 1)))
-        return t.select(*cols, F.explode(F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(cap)))).alias("rest"))
+        return t.select(*cols, F.explode(F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(cap)))).alias("rest")).withColumn("g", F.substring("rest", 1, least))
 
-    ours = places(left, id_col).distinct().withColumn("c", F.lit(0))
-    theirs = places(right).distinct().withColumn("c", F.lit(0))
+    # what shares no gram of the least length takes no further part, so it is left out before anything is shuffled or kept
+    ours = places(left, id_col)
+    grams = cut(ours.select("g").distinct())
+    few = F.broadcast(grams) if grams.count() <= GRAMS else grams
+    theirs = cut(places(right).join(few, "g", "left_semi").distinct())
+    ours = cut(ours.distinct().join(theirs.select("g").distinct(), "g", "left_semi").select(id_col, "rest", F.lit(least).alias("c")))
+    theirs = theirs.select("rest", F.lit(least).alias("c"))
 
     def tried(ours: DataFrame, theirs: DataFrame, fits: Column, n: Column) -> tuple[DataFrame, DataFrame]:
         gram = F.when(fits & (F.length("rest") >= n), F.substring(F.col("rest"), F.lit(1), n))
@@ -42,9 +51,9 @@ def longest_shared_run(left: DataFrame, right: DataFrame, id_col: str = "id", te
         ours = ours.join(both.withColumn("hit", F.lit(True)), key, "left").select(id_col, "rest", F.when(F.col("hit"), n).otherwise(F.col("c")).alias("c"))
         return cut(ours), cut(theirs.select("rest", "c").unionByName(theirs.join(both, key, "left_semi").select("rest", n.alias("c"))))
 
-    length = least
+    length = 2 * least
     while length <= cap:
-        ours, theirs = tried(ours, theirs, F.col("c") == (0 if length == least else length // 2), F.lit(length))
+        ours, theirs = tried(ours, theirs, F.col("c") == length // 2, F.lit(length))
         length *= 2
     step = length // 4
     while step:  # what stands at a multiple of two steps may grow by one: its longer half has failed
